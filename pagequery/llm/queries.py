@@ -26,6 +26,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"), k=5, num=80, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def contamination(hits: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
@@ -33,7 +39,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
