@@ -1,4 +1,61 @@
-STAGES = []
+"""A training corpus from ``documents``: language ID, exact dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next stage's
+``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequery.llm.decontaminate import decontaminate
+from pagequery.llm.exact_dedup import exact_dedup
+from pagequery.llm.jaccard import jaccard_components
+from pagequery.llm.language_id import fit, verdict
+from pagequery.llm.packing import pack
+from pagequery.llm.queries import contamination
+from pagequery.llm.shared import new_path, read, without
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones have; those that the models reject go."""
+    rejected = verdict(spark, fit(docs))
+    return docs.where(~rejected("text"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the one with the largest id."""
+    return without(docs, exact_dedup(docs, keep="max").where("not kept").select("doc_id"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 hold together: the one with the smallest id."""
+    groups = jaccard_components(docs, k=5, num=80, den=100)
+    return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages, or where these make less than a twentieth of the words."""
+    hits = contamination(decontaminate(docs, read(spark, sf_dir, "benchmark"), window=13))
+    return without(docs, hits.where("contaminated").select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 4096 tokens."""
+    return pack(docs, capacity=4096, end_id=1)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("jaccard_join", near), ("decontaminate", leaks), ("packing", packing)]
+
+#: SQL can't express the language models, the tokenizer and the packing; tests/llm holds run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

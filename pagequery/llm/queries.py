@@ -14,6 +14,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = fit(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -39,7 +48,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op6_language_id, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """

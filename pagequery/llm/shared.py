@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +64,13 @@ def forget(df: DataFrame) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Up to so many ids (8 bytes each) go to every executor; more are joined by a shuffle.
+SEND = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id isn't among ``ids`` (one column); rows with a null id stay."""
+    ids = cut(ids.toDF(id_col), "without")
+    return docs.join(F.broadcast(ids) if ids.count() <= SEND else ids, id_col, "left_anti").select(*docs.columns)
