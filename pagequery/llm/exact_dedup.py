@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size`` (long), ``kept`` and ``text_sha256``.
@@ -32,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.select("h", "keep_id", "n", (F.col("lo") == F.col("hi")).alias("same"))
     # Ids only from here: the text has been read, hashed and compared. Most groups have one row and join nothing.
     slim = rows.select("id", "h", F.sha2("t", 256).alias("sha"))
-    shared = groups.where("n > 1")
+    shared = cut(groups.where("n > 1"), "copies")
     joined = slim.join(shared, "h", "left")
     clean = joined.where("same is null or same").select(
         "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
