@@ -14,6 +14,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    lexicon = learn(docs, labels.where(~held_out))
+    return score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
@@ -48,7 +57,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_language_id, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op6_language_id, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
