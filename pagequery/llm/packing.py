@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ GROUP = 1 << 16
 
 #: Sequences below this share of the capacity are packed again with those of other groups.
 FULL = 0.97
-#: Characters of text encoded at once.
+#: Bytes of text encoded at once.
 BATCH = 1 << 20
 
 
@@ -63,15 +64,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in lists of about BATCH characters."""
+    """Ids and texts in lists of about BATCH bytes."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
+        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy() if len(ids) else np.zeros(0)
         at = 0
         while at < len(ids):
-            end, size = at, 0
-            while end < len(ids) and size < BATCH:
-                size += len(texts[end].as_py() or "")
-                end += 1
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")))
             yield ids[at:end].to_pylist(), [t or "" for t in texts[at:end].to_pylist()]
             at = end
 

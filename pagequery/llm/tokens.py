@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks kept in a worker; the cache is emptied when it has more.
-CACHE = 600_000
+#: Distinct chunks in each of a worker's two generations; when the newer is full it becomes the older, and what the older alone had is gone.
+CACHE = 350_000
 
 #: Marks that may end a chunk; no apostrophe, which the tokenizer joins to letters.
 _MARKS = ".,;:!?&%$#*|)]}\"/"
 #: Anything that makes a text go to the tokenizer whole.
-_WHOLE = re.compile("<\\||[\x00-\x08\x0e-\x1f\x7f̀-ͯᄀ-ᇿ​-‏⁠﻿�]")
+_WHOLE = re.compile("<\\||[\x00-\x08\x0e-\x1f\x7f\u0300-\u036f\u1100-\u11ff\u200b-\u200f\u2060\ufeff\ufffd]")
+#: Outside these characters lower-casing isn't certain to be the tokenizer's.
+_FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
 def default_path() -> str:
@@ -40,35 +42,44 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         # Letters and the marks after them never share a token, so `word.`, `word,` and `word` cost one encoding.
-        known, apart = self.known, []
+        known, old, apart, fresh = self.known, self.old, [], set()
         for c in chunks:
+            ids = old.get(c)
+            if ids is not None:
+                known[c] = ids
+                continue
             stem = c.rstrip(_MARKS)
             if stem and len(stem) < len(c) and stem[-1].isalpha():
-                apart.append((c, stem, c[len(stem) :]))
-        split = {c for c, _, _ in apart}
-        fresh = {c for c in chunks if c not in split}
-        for _, stem, tail in apart:
-            fresh.add(stem)
-            fresh.add(tail)
+                tail = c[len(stem) :]
+                apart.append((c, stem, tail))
+                fresh.add(stem)
+                fresh.add(tail)
+            else:
+                fresh.add(c)
+        for c in fresh.intersection(old):
+            known[c] = old[c]
         fresh = list(fresh.difference(known))
         for chunk, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+            known[chunk] = array("I", e.ids).tobytes()
         for c, stem, tail in apart:
             known[c] = known[stem] + known[tail]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as bytes. Call it with about a megabyte of texts at once."""
         # str.split() cuts at the tokenizer's white space only, once control characters are ruled out.
-        chunks = [None if _WHOLE.search(t) else t.split() for t in texts]
-        distinct = set(chain.from_iterable(c for c in chunks if c is not None))
+        chunks = [None if _WHOLE.search(t) else (t.lower() if t.isascii() or not _FOREIGN.search(t) else t).split() for t in texts]
+        distinct: set[str] = set()
+        for c in chunks:
+            if c is not None:
+                distinct.update(c)
         missing = distinct.difference(self.known)
         if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = distinct
-        self._learn(list(missing))
+            self.old, self.known, missing = self.known, {}, distinct
+        self._learn(missing)
         get = self.known.__getitem__
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
 
