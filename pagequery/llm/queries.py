@@ -44,6 +44,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write
+
+    uri, index = write(read(spark, sf_dir, "pages"), least=1000)
+    back = read_records(uri, index)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -57,7 +65,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op6_language_id, op7_exact_dedup, op8_decontaminate, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
@@ -65,6 +73,12 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        g AS (SELECT t, max(page_id) AS m FROM p WHERE strlen(t) >= 1000 GROUP BY t)
+        SELECT page_id, strlen(p.t)::bigint AS payload_bytes, sha1(p.t) AS payload_digest,
+          CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m > page_id THEN m END AS refers_to
+        FROM p LEFT JOIN g ON p.t = g.t""",
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
