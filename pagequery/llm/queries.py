@@ -23,6 +23,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    placed = shard(read(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
@@ -65,7 +72,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
