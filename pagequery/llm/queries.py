@@ -23,6 +23,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    model, counts = fit(docs.where(~held_out))
+    scored = score(docs, model, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -72,7 +82,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lm_score, op4_sharding, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
