@@ -40,6 +40,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_spans
+
+    found = repeated_spans(read(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
@@ -82,7 +90,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lm_score, op4_sharding, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lm_score, op4_sharding, op5_suffix_dedup, op6_language_id, op7_exact_dedup, op8_decontaminate, op9_warc, op10_jaccard)}
 
 ORACLES = {
     "op7_exact_dedup": """
