@@ -31,8 +31,10 @@ from .shared import cut, forget
 MOST = 5
 #: Cost of comparing two documents against that of reading one entry of a token's list.
 COMPARE = 12.0
+#: Matches demanded of every pair whose sizes leave room for them in the prefixes as they are.
+FREE = 5
 #: Buckets of the frequency sketch (a power of two); 4 bytes each in a counting task, 1 byte in a reading one.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 #: Up to so many ids (8 bytes each) are sent to all executors to pick texts; beyond it they are joined by a shuffle.
 SEND = 1_000_000
 
@@ -67,11 +69,17 @@ def _sketch(slim: DataFrame, k: int) -> np.ndarray:
     parts, size = 64, BUCKETS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(BUCKETS, dtype=np.int32)
+        held, size_held = [], 0
         for batch in batches:
             for _, data, offs in slices(batch.column(0), batch.column(1)):
-                h, _ = shingles(data, offs, k)
-                total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                held.append((shingles(data, offs, k)[0] & np.uint64(BUCKETS - 1)).astype(np.int32))
+                size_held += len(held[-1])
+                if size_held > 1_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+                    held, size_held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
         blobs = [zlib.compress(total[i * size : (i + 1) * size].tobytes(), 1) for i in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
@@ -79,8 +87,8 @@ def _sketch(slim: DataFrame, k: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in table:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(blob), dtype=np.int64)
-                sums[part] = sums[part] + x if part in sums else x
+                x = np.frombuffer(zlib.decompress(blob), dtype=np.int32)
+                sums[part] = sums[part] + x if part in sums else x.astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
@@ -206,11 +214,11 @@ def jaccard_components(
     extra = labels.where("sent and id <> rep").select("id")
     tokens = sets.where("tokens is not null").select("id", "n", "m", "base", "tokens").join(extra, "id", "left_anti")
     tokens = tokens.select("id", "n", "m", "base", F.posexplode("tokens").alias("at", "token"))
-    tokens = tokens.select("token", F.struct("id", "n", "m", F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).alias("level")).alias("x"))
+    tokens = tokens.select("token", F.struct("id", "n", "m", (F.col("base") + F.col("m") - 1).alias("p"), "at").alias("x"))
     over = Window.partitionBy("token")
     tokens = tokens.withColumn("p", F.min("x").over(over)).withColumn("last", F.max("x.id").over(over))
     tokens = cut(tokens.where("p.id <> last").select("token", "x", "p"), "tokens")
-    first = _candidates(tokens.where("p.id <> x.id").select(F.col("p").alias("x"), F.col("x").alias("y")), num, den)
+    first = _candidates(tokens.where("p.id <> x.id").select(F.col("p").alias("x"), F.col("x").alias("y")), num, den, True)
     first = cut(first, "pairs")
     links = cut(_verified(first, sets, slim, k, num, den), "links")
     comp = cut(components(links), "comp")
@@ -219,7 +227,7 @@ def jaccard_components(
     rows = rows.withColumn("lo", F.min("c").over(over)).withColumn("hi", F.max("c").over(over)).where("lo <> hi").select("token", "x", "c")
     rows = cut(rows, "apart")
     pairs = rows.alias("l").join(rows.select("token", F.col("x").alias("y"), F.col("c").alias("d")).alias("r"), "token").where("c <> d and x.id < y.id")
-    second = _candidates(pairs.select("x", "y"), num, den).join(first, ["a", "b"], "left_anti")
+    second = _candidates(pairs.select("x", "y"), num, den, False).join(first, ["a", "b"], "left_anti")
     more = cut(_verified(cut(second, "pairs"), sets, slim, k, num, den), "links")
     if more.isEmpty():
         found = comp
@@ -240,12 +248,20 @@ def jaccard_components(
     )
 
 
-def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of fitting sizes that share as many prefix tokens as the smaller of their demands."""
-    pairs = pairs.where(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)").withColumn("m", F.least("x.m", "y.m"))
-    pairs = pairs.where("x.level <= m and y.level <= m")
+def _candidates(pairs: DataFrame, num: int, den: int, part: bool) -> DataFrame:
+    """Pairs of fitting sizes that share as many prefix tokens as they must.
+
+    A pair that links shares ``need`` tokens or more, so its prefixes of length ``n - need + m`` share m. The prefixes that documents sent are made for the
+    smallest partner; with one of like size the surplus allows more than either's own m. ``part``: only some of the
+    pair's matches are in the table, so half of them do.
+    """
+    pairs = pairs.where(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
+    pairs = pairs.withColumn("need", F.expr(f"({num} * (x.n + y.n) + {num + den - 1}) div {num + den}"))
+    most = F.least(F.expr("x.p - x.n"), F.expr("y.p - y.n")) + F.col("need")
+    pairs = pairs.withColumn("m", F.least(most, F.greatest(F.lit(FREE), F.least("x.m", "y.m"))))
+    pairs = pairs.where("x.at < x.n - need + m and y.at < y.n - need + m")
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "m")
-    return pairs.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("c")).where("c >= m").select("a", "b")
+    return pairs.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("c")).where("2 * c >= m" if part else "c >= m").select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
