@@ -1,4 +1,274 @@
 """Registered queries of the extraction engine and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import format as fmt
+from ..functions import scalars
+from ..operators.document import block_at, blocks
+from ..operators.frontier import keep_first, normalise_entries
+from ..operators.kernel import TEXTS, URLS, css_extract, extract, extract_list
+from ..sources import store
+from ..sources.records import host_of
+from .native import merge_zip, regex_rows, replace_all, replace_first
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages")
+
+
+_ENT = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_NAV = r"regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"([^\"]*)\"', 1)"
+_NAVT = r"regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
+_TITLE = _ENT.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@query(f"SELECT page_id, regexp_replace(trim({_TITLE}), '\\s+', ' ', 'g') AS title FROM pages")
+def dsl_page_title(spark, sf_dir):
+    return extract(_pages(spark, sf_dir), {"title": "tag.title.0@text"}).select("page_id", "title")
+
+
+@query(f"SELECT page_id, regexp_replace(trim({_TITLE}), '\\s+', ' ', 'g') AS title, list_extract({_NAV}, 1) AS first_link, list_extract({_NAV}, -1) AS last_link, len({_NAVT})::bigint AS links FROM pages")
+def dsl_page_fields(spark, sf_dir):
+    """Several rules on a page, fused: it is parsed once."""
+    rules = {"title": "@CSS:title@text", "first_link": "tag.nav@tag.a.0@href", "last_link": "tag.nav@tag.a.-1@href", "texts": ("tag.nav@tag.a@text", TEXTS)}
+    out = extract(_pages(spark, sf_dir), rules)
+    return out.select("page_id", "title", "first_link", "last_link", F.size("texts").cast("long").alias("links"))
+
+
+@query(f"SELECT page_id, (i - 1)::int AS pos, list_extract({_NAV}, i) AS href FROM (SELECT page_id, html, unnest(range(1, len({_NAV}) + 1)) AS i FROM pages)")
+def dsl_nav_links(spark, sf_dir):
+    return extract_list(_pages(spark, sf_dir), "tag.nav@tag.a", {"href": "href"}).select("page_id", "pos", "href")
+
+
+@query(f"WITH p AS (SELECT page_id, {_NAVT} AS l FROM pages) SELECT page_id, array_to_string(list_slice(l, 2, 4), '|') AS slice, array_to_string(list_slice(l, 2, len(l)), '|') AS excluded, array_to_string([x for x in [list_extract(l, 3), list_extract(l, 1)] if x IS NOT NULL], '|') AS picked, array_to_string(list_reverse(l), '|') AS reversed FROM p")
+def dsl_nav_indexes(spark, sf_dir):
+    rules = {"slice": ("tag.nav@tag.a[1:3]@text", TEXTS), "excluded": ("tag.nav@tag.a!0@text", TEXTS), "picked": ("tag.nav@tag.a.2:0@text", TEXTS), "reversed": ("tag.nav@tag.a[-1:0]@text", TEXTS)}
+    out = extract(_pages(spark, sf_dir), rules)
+    return out.select("page_id", *[F.array_join(n, "|").alias(n) for n in rules])
+
+
+@query(f"WITH p AS (SELECT page_id, html, {_NAVT} AS t, {_NAV} AS h FROM pages), q AS (SELECT page_id, t, list_filter(h, lambda x, i: list_position(h, x) = i) AS h FROM p) SELECT page_id, array_to_string([x for x in flatten([[list_extract(h, i), list_extract(t, i)] for i in range(1, len(h) + 1)]) if x IS NOT NULL], '|') AS turns FROM q")
+def dsl_nav_interleave(spark, sf_dir):
+    """``%%``; the attribute action lists each value once, the text action repeats."""
+    out = extract(_pages(spark, sf_dir), {"turns": ("tag.nav@tag.a@href%%tag.nav@tag.a@text", TEXTS)})
+    return out.select("page_id", F.array_join("turns", "|").alias("turns"))
+
+
+@query(f"SELECT page_id, regexp_replace(trim({_ENT.format('regexp_extract(html, $$<h1>([^<]*)</h1>$$, 1)')}), '\\s+', ' ', 'g') AS fallback, regexp_replace(trim({_ENT.format('regexp_extract(html, $$<h1>([^<]*)</h1>$$, 1)')}), '\\s+', ' ', 'g') || chr(10) || regexp_replace(trim({_TITLE}), '\\s+', ' ', 'g') AS both FROM pages")
+def dsl_merge(spark, sf_dir):
+    return extract(_pages(spark, sf_dir), {"fallback": "class.missing@text||tag.h1.0@text", "both": "tag.h1.0@text&&tag.title.0@text"}).select("page_id", "fallback", "both")
+
+
+@query(f"SELECT page_id, array_to_string({_NAV}, '|') AS css, array_to_string({_NAV}, '|') AS xpath, len({_NAV})::bigint AS n FROM (SELECT page_id, html FROM pages)")
+def css_xpath_agree(spark, sf_dir):
+    out = css_extract(_pages(spark, sf_dir), "nav > ul > li > a[href]", "attr:href", out="css")
+    out = extract(out, {"xpath": ("@XPath://nav//li/a/@href", TEXTS), "n": "@XPath:count(//nav//a)"})
+    return out.select("page_id", F.array_join("css", "|").alias("css"), F.array_join("xpath", "|").alias("xpath"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, {_NAV} AS h FROM pages) SELECT page_id, (i - 1)::int AS pos, CASE WHEN starts_with(x, 'http') THEN x ELSE o || x END AS link FROM (SELECT page_id, o, unnest(d) AS x, unnest(range(1, len(d) + 1)) AS i FROM (SELECT page_id, o, list_filter(h, lambda x, i: list_position(h, x) = i) AS d FROM p))")
+def absolute_links(spark, sf_dir):
+    out = extract(_pages(spark, sf_dir), {"links": ("tag.nav@tag.a@href", URLS)})
+    return out.select("page_id", F.posexplode("links").alias("pos", "link"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages")
+def page_host(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", host_of(F.col("url")).alias("host"))
+
+
+@query(r"SELECT page_id, (i - 1)::int AS pos, list_extract(h, i) AS href, list_extract(t, i) AS label FROM (SELECT page_id, h, t, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)<', 1) AS h, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)<', 2) AS t FROM pages))")
+def regex_list(spark, sf_dir):
+    """A chain of regular expressions as a list rule, on native columns."""
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(regex_rows(F.col("html"), '<li><a href="([^"]*)">([^<]*)<', 2)).alias("pos", "r"))
+    return rows.select("page_id", "pos", F.col("r.g1").alias("href"), F.col("r.g2").alias("label"))
+
+
+@query(r"SELECT page_id, (i - 1)::int AS pos, list_extract(h, i) AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1) AS h FROM pages))")
+def regex_list_kernel(spark, sf_dir):
+    return extract_list(_pages(spark, sf_dir), ':<li><a href="([^"]*)">', {"href": "$1"}).select("page_id", "pos", "href")
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[aeiou]', '_', 'g') AS replaced, CASE WHEN regexp_matches(coalesce(text, ''), '([A-Z])[a-z]+') THEN regexp_replace(regexp_extract(coalesce(text, ''), '([A-Z])[a-z]+', 0), '([A-Z])[a-z]+', '<\\1>', 'g') ELSE '' END AS first FROM documents")
+def replace_native(spark, sf_dir):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return _t(spark, sf_dir, "documents").select("doc_id", replace_all(text, "[aeiou]", "_").alias("replaced"), replace_first(text, "([A-Z])[a-z]+", "<$1>").alias("first"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::varchar AS k FROM events")
+def jsonpath_scalar(spark, sf_dir):
+    out = extract(_t(spark, sf_dir, "events").withColumn("url", F.lit("")), {"k": "$.k"}, content="props")
+    return out.select("event_id", "k")
+
+
+@query("SELECT o_custkey, count(*)::bigint AS n, string_agg(o_orderkey::varchar, ',' ORDER BY o_orderkey) AS big FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey")
+def jsonpath_filter(spark, sf_dir):
+    """A filter inside JSON documents, one per customer."""
+    item = F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    docs = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("o"))).alias("json")).withColumn("url", F.lit(""))
+    out = extract(docs, {"big": ("@Json:$.o[?(@.p > 200000)].k", TEXTS)}, content="json").where(F.size("big") > 0)
+    return out.select("o_custkey", F.size("big").cast("long").alias("n"), F.array_join("big", ",").alias("big"))
+
+
+@query("SELECT conv_id, turn, (i - 1)::int AS pos, list_extract(l, i) AS line FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))")
+def content_paragraphs(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def dedup_keep_first(spark, sf_dir):
+    return keep_first(_t(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+_TOC = "SELECT o_custkey AS book_url, o_orderpriority AS url, o_orderkey AS pos FROM orders"
+
+
+@query(f"WITH e AS ({_TOC}), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_url, url ORDER BY pos DESC) AS r FROM e) WHERE r = 1) SELECT book_url, url, pos, (row_number() OVER (PARTITION BY book_url ORDER BY pos) - 1)::int AS index FROM k")
+def toc_keep_last(spark, sf_dir):
+    e = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_url"), F.col("o_orderpriority").alias("url"), F.col("o_orderkey").alias("pos"))
+    return normalise_entries(e).select("book_url", "url", "pos", "index")
+
+
+@query(f"WITH e AS ({_TOC}), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_url, url ORDER BY pos) AS r FROM e) WHERE r = 1) SELECT book_url, url, pos, (row_number() OVER (PARTITION BY book_url ORDER BY pos DESC) - 1)::int AS index FROM k")
+def toc_reverse(spark, sf_dir):
+    e = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_url"), F.col("o_orderpriority").alias("url"), F.col("o_orderkey").alias("pos"))
+    return normalise_entries(e, reverse=True).select("book_url", "url", "pos", "index")
+
+
+@query(f"WITH p AS (SELECT page_id, url, {_NAV} AS h, {_NAVT} AS t FROM pages), r AS (SELECT page_id, h, t, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, unnest(range(1, len(h) + 1)) AS i FROM p), q AS (SELECT page_id, (i - 1)::int AS pos, trim(list_extract(t, i)) AS name, CASE WHEN starts_with(list_extract(h, i), 'http') THEN list_extract(h, i) ELSE o || list_extract(h, i) END AS book_url FROM r) SELECT page_id, pos, name, book_url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, book_url ORDER BY pos) AS k FROM q WHERE name <> '') WHERE k = 1")
+def step_listing(spark, sf_dir):
+    """The list step: items of a page with their fields, those without a name dropped, each url once."""
+    from ..operators.steps import listing
+
+    rows = listing(_pages(spark, sf_dir), {"bookList": "tag.nav@tag.a", "name": "text", "bookUrl": "href"}, content="html")
+    return rows.select("page_id", "pos", "name", "book_url")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages), s AS (SELECT DISTINCT host, 'src-' || length(host)::varchar AS source FROM p)
+SELECT source, count(*)::bigint AS n, count(DISTINCT page_id)::bigint AS pages FROM p JOIN s USING (host) GROUP BY source""")
+def listing_source_join(spark, sf_dir):
+    """Pages meet the rules of their host."""
+    p = _pages(spark, sf_dir).select("page_id", host_of(F.col("url")).alias("host"))
+    s = p.select("host").distinct().withColumn("source", F.concat(F.lit("src-"), F.length("host").cast("string")))
+    return p.join(s, "host").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+w AS (SELECT conv_id, turn, r, 0 AS depth FROM o WHERE r = 1 UNION ALL SELECT o.conv_id, o.turn, o.r, w.depth + 1 FROM w JOIN o ON o.conv_id = w.conv_id AND o.r = w.r + 1)
+SELECT conv_id, max(depth)::bigint AS last_page, count(*)::bigint AS n FROM w GROUP BY conv_id""")
+def frontier_chain(spark, sf_dir):
+    """Chains of next pages, followed breadth first: the turns of a conversation are pages that link to the next one."""
+    from ..operators.frontier import follow
+
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    url = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumn("url", url).withColumns({"body": F.coalesce(F.lead("url").over(w), F.lit("")), "r": F.row_number().over(w)})
+    start = turns.where("r = 1").select(F.col("conv_id").alias("book_url"), "url")
+    read = lambda pages: pages.withColumn("next_urls", F.when(F.col("body") != "", F.array("body")).otherwise(F.array().cast("array<string>")))
+    seen = follow(start, turns.select("url", "body"), read)
+    return seen.groupBy(F.col("book_url").alias("conv_id")).agg(F.max("page").cast("long").alias("last_page"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH new AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey + 1000000, c_name, 0.0 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 <> 0)
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new) AND c_name NOT IN (SELECT c_name FROM new) UNION ALL SELECT * FROM new""")
+def store_upsert(spark, sf_dir):
+    """Rows replace those with their key, and those of another key with their unique values."""
+    t = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    third = F.col("c_custkey") % 3 == 0
+    new = t.where(third).withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(t.where(~third & (F.col("c_custkey") % 5 == 0)).select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_name", F.lit(0.0).alias("c_acctbal")))
+    return store.upsert(t, new, ["c_custkey"], ["c_name"])
+
+
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0) SELECT 'customer' AS t, count(*)::bigint AS n FROM customer WHERE c_custkey NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'orders', count(*)::bigint FROM orders WHERE o_custkey NOT IN (SELECT * FROM gone)""")
+def store_cascade_delete(spark, sf_dir):
+    tables = {"customer": _t(spark, sf_dir, "customer"), "orders": _t(spark, sf_dir, "orders")}
+    gone = tables["customer"].where("c_acctbal < 0").select("c_custkey")
+    left = store.cascade_delete(tables, gone, {"customer": "c_custkey", "orders": "o_custkey"})
+    return left["customer"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("customer").alias("t"), "n").unionByName(left["orders"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("t"), "n"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_type, 'PROMO') ORDER BY p_partkey")
+def store_prefix_scan(spark, sf_dir):
+    return store.prefix_scan(_t(spark, sf_dir, "part"), "p_type", "PROMO").select("p_partkey", "p_name")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 7 = 0 OR event_id = 0 OR event_id > 5000")
+def store_ttl_read(spark, sf_dir):
+    t = _t(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("user_id") % 7 == 0, 0).otherwise(F.col("event_id")).alias("deadline"))
+    return store.live(t, 5000).select("event_id", "user_id")
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def store_cached_flags(spark, sf_dir):
+    chapters = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"))
+    caches = _t(spark, sf_dir, "labels").select(F.concat(F.lit("content:"), F.col("doc_id").cast("string")).alias("key"))
+    return store.cached_flags(chapters, caches).select(F.col("url").cast("long").alias("doc_id"), "cached")
+
+
+@query("""WITH b AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM b),
+n AS (SELECT doc_id, i, len(l) AS k, length(list_extract(l, i)) AS s FROM p)
+SELECT doc_id, (i - 1)::int AS block, (sum(s + CASE WHEN i < k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - s - CASE WHEN i < k THEN 1 ELSE 0 END)::bigint AS start, (sum(s + CASE WHEN i < k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i))::bigint AS "end" FROM n""")
+def document_blocks(spark, sf_dir):
+    return blocks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "block", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, (length(coalesce(text, '')) // 2)::int AS o FROM documents WHERE length(coalesce(text, '')) > 0)
+SELECT doc_id, o AS "offset", (length(substring(t, 1, o)) - length(replace(substring(t, 1, o), chr(10), '')))::int AS block FROM d""")
+def block_at_offset(spark, sf_dir):
+    """A range join: the paragraph in the middle of each document."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("length(text) > 0")
+    offsets = d.select("doc_id", (F.expr("length(text) div 2")).cast("int").alias("offset"))
+    return block_at(offsets, blocks(d, "doc_id"), "doc_id").select("doc_id", "offset", "block")
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN '' WHEN n_chars * 40 <= 10000 THEN (n_chars * 40)::varchar || '字'
+ELSE regexp_replace(printf('%.1f', round_even((n_chars * 40) / 10000.0, 1)), '\\.0$', '') || '万字' END AS words FROM documents""")
+def word_count_format(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", fmt.word_count(F.col("n_chars") * 40).alias("words"))
+
+
+@query("SELECT item_id, md5(text) AS md5, substr(md5(text), 9, 16) AS md5_16, to_base64(encode(text)) AS b64, text AS back, lower(hex(encode(text))) AS hex FROM benchmark")
+def script_digests(spark, sf_dir):
+    t = F.col("text")
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.md5(t).alias("md5"), scalars.md5_16(t).alias("md5_16"), F.regexp_replace(scalars.base64_text(t), "\\s", "").alias("b64"), scalars.unbase64_text(scalars.base64_text(t)).alias("back"), scalars.hex_text(t).alias("hex"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS shown FROM orders")
+def time_format(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", scalars.time_format(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("shown"))
+
+
+@query("SELECT page_id, array_to_string(flatten([[list_extract(a, i), list_extract(b, i)] for i in range(1, len(a) + 1)]), '|') AS turns FROM (SELECT page_id, string_split(url, '/') AS a, string_split(upper(url), '/') AS b FROM pages)")
+def merge_native(spark, sf_dir):
+    a, b = F.split("url", "/"), F.split(F.upper("url"), "/")
+    return _pages(spark, sf_dir).select("page_id", F.array_join(merge_zip(a, b), "|").alias("turns"))
+
+
+@query("SELECT page_id, 'p=2&k=' || page_id::varchar || '&u=' || url AS link FROM pages")
+def template_rule(spark, sf_dir):
+    """Templates with bindings and nested rules."""
+    p = _pages(spark, sf_dir).withColumn("json", F.to_json(F.struct("page_id", "url")))
+    return extract(p, {"link": "p={{page}}&k={{$.page_id}}&u={{$.url}}"}, content="json", bindings={"page": 2}).select("page_id", "link")
