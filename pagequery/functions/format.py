@@ -25,11 +25,11 @@ FORMAT_STEPS = (
 )
 
 
-def format_html(text: Column) -> Column:
-    """HTML as indented plain text."""
+def format_html(text: Column, indent: str = INDENT) -> Column:
+    """HTML as plain text, paragraphs indented."""
     out = F.coalesce(text, F.lit(""))
     for pattern, value in FORMAT_STEPS:
-        out = F.regexp_replace(out, pattern, value)
+        out = F.regexp_replace(out, pattern, value.replace(INDENT, indent))
     return out
 
 
@@ -56,13 +56,22 @@ def format_keep_images(text: str, base: str) -> str:
     return format_text(_IMAGE.sub(one, text), keep_images=True)
 
 
+# Author parts of titles, and labels of authors.
+NAME_TAIL = r"\s+作\s*者.*|\s+\S+\s+著"
+AUTHOR_LABEL = r"^\s*作\s*者[:：\s]+|\s+著"
+
+
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def clean_name(name: Column) -> Column:
-    """Title without an author part or decoration."""
-    return F.trim(F.regexp_replace(name, r"\s+作\s*者.*|\s+\S+\s+著", ""))
+    """Title without an author part."""
+    return _trim(F.regexp_replace(name, NAME_TAIL, ""))
 
 
 def clean_author(author: Column) -> Column:
-    return F.trim(F.regexp_replace(author, r"^\s*作\s*者[:：\s]+|\s+著", ""))
+    return _trim(F.regexp_replace(author, AUTHOR_LABEL, ""))
 
 
 def word_count(n: Column) -> Column:

@@ -13,7 +13,7 @@ from functools import lru_cache
 from typing import Any
 
 from ..functions.render import java_double, java_string, json_text
-from ..plans.splitter import inner_rule, merge, split_rule
+from ..plans.splitter import RuleError, inner_rule, merge, split_rule
 
 
 class PathError(ValueError):
@@ -417,7 +417,10 @@ def string(doc: Any, rule: str) -> str:
     """Texts of a rule joined by line breaks; whatever fails yields an empty text."""
     if not rule.strip():
         return ""
-    branches, sep = split_rule(rule, ["&&", "||"], code=True)
+    try:
+        branches, sep = split_rule(rule, ["&&", "||"], code=True)
+    except RuleError:
+        return ""
     if len(branches) == 1:
         if filled := _filled(doc, rule):
             return filled

@@ -34,7 +34,7 @@ def _shaped(df: DataFrame, names: tuple) -> DataFrame:
         df = df.withColumn("kind", F.nullif(F.array_join("kind", ","), F.lit("")))
     if words is not None:
         df = df.withColumn("word_count", words("word_count"))
-    return df.withColumns({"name": clean_name(F.coalesce("name", F.lit(""))), "author": clean_author(F.coalesce("author", F.lit(""))), "intro": format_html(F.col("intro"))})
+    return df.withColumns({"name": clean_name(F.coalesce("name", F.lit(""))), "author": clean_author(F.coalesce("author", F.lit(""))), "intro": format_html(F.col("intro"), "")})
 
 
 def listing(pages: DataFrame, rules: dict, content: str = "body", url: str = "url", key: str = "page_id", scripts: ScriptRegistry | None = None, bindings: dict | None = None) -> DataFrame:
@@ -80,15 +80,15 @@ def contents(books: DataFrame, responses: DataFrame, rules: dict, scripts: Scrip
 
     start = books.select("book_url", F.coalesce("toc_url", "book_url").alias("url"))
     pages = follow(start, responses, read)
-    rows = pages.select("book_url", F.col("url").alias("base_url"), "path", F.posexplode("_items").alias("k", "_i"))
-    rows = rows.withColumn("pos", F.concat("path", F.array("k"))).select("book_url", "base_url", "pos", *[F.col(f"_i.`{f.name}`").alias(f.name) for f in item])
+    rows = pages.select("book_url", F.col("url").alias("base_url"), "page", "path", F.posexplode("_items").alias("k", "_i"))
+    rows = rows.withColumn("pos", F.struct("page", "path", "k")).select("book_url", "base_url", "pos", *[F.col(f"_i.`{f.name}`").alias(f.name) for f in item])
     have = {f.name for f in item}
     for n in ("title", "url", "tag", "volume", "vip", "pay"):
         if n not in have:
             rows = rows.withColumn(n, F.lit(""))
     yes = lambda c: ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "null", "false", "no", "not", "0", "0.0")
     rows = rows.withColumns({"title": title_line(F.coalesce("title", F.lit(""))), "is_volume": yes("volume"), "is_vip": yes("vip"), "is_pay": yes("pay")}).where("title <> ''")
-    empty_url = F.when(F.col("is_volume"), F.concat("title", F.array_join(F.transform("pos", lambda x: x.cast("string")), "_"))).otherwise(F.col("base_url"))
+    empty_url = F.when(F.col("is_volume"), F.concat("title", F.col("pos.k").cast("string"))).otherwise(F.col("base_url"))
     rows = rows.withColumn("url", F.when((F.coalesce("url", F.lit("")) == "") | F.col("is_volume") & (F.col("url") == F.col("base_url")), empty_url).otherwise(F.col("url")))
     done = normalise_entries(rows, reverse=reverse).select("book_url", "index", "url", "title", "base_url", "is_volume", "is_vip", "is_pay", "tag", F.lit(None).cast("string").alias("_error"))
     missing = books.join(done, "book_url", "left_anti").select("book_url", F.lit(None).cast("int").alias("index"), *[F.lit(None).cast(t).alias(c) for c, t in (("url", "string"), ("title", "string"), ("base_url", "string"), ("is_volume", "boolean"), ("is_vip", "boolean"), ("is_pay", "boolean"), ("tag", "string"))], F.lit("toc_empty").alias("_error"))
@@ -114,7 +114,7 @@ def content(chapters: DataFrame, responses: DataFrame, rules: dict, scripts: Scr
 
     start = chapters.select(F.col("url").alias("chapter_url"), "url")
     pages = follow(start, responses, read, key="chapter_url")
-    texts = join_pages(pages.withColumn("text", format_html(F.col("text"))).where("text is not null"), "chapter_url", "path")
+    texts = join_pages(pages.withColumn("text", format_html(F.col("text"))).where("text is not null").withColumn("_o", F.struct("page", "path")), "chapter_url", "_o")
     bad = pages.where("page = 0 and _error is not null").select("chapter_url", F.col("_error").alias("miss"))
     out = chapters.select(F.col("url").alias("chapter_url")).join(texts, "chapter_url", "left").join(bad, "chapter_url", "left")
     out = out.withColumn("content", F.col("text"))
