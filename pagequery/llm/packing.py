@@ -32,7 +32,7 @@ BATCH = 1 << 20
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item. Items are placed largest first (ties by position)."""
+    """Bin and offset of each item. Items are placed largest first (ties by position); a bin is opened only if none has room."""
     n = len(lengths)
     bins, offsets = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     count = np.zeros(capacity + 1, dtype=np.int64)  # open sequences by gap; a full one isn't open
@@ -48,9 +48,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             delta[:] = 0
         delta = np.where(count[size:] > 0, delta, np.iinfo(np.int64).max)
         best = int(np.argmin(delta))
-        fresh = 2 * int(count[capacity - size]) + 1 if size < capacity else 0
-        if delta[best] <= fresh or delta[0] < np.iinfo(np.int64).max:
-            gap = size if delta[0] < np.iinfo(np.int64).max else best + size
+        if delta[best] < np.iinfo(np.int64).max:
+            gap = size if delta[0] < np.iinfo(np.int64).max else best + size  # one that becomes full is never worse
             b = open_at[gap].pop()
             count[gap] -= 1
         else:
