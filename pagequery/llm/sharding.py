@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .shared import cut, forget
 
-ROUNDS = 8
+ROUNDS = 16
 #: Priorities of a move: by gain, then by hash of the group.
 PRIORITIES = 64
 
@@ -79,10 +79,11 @@ def _propagate(cells: DataFrame, shards: int, room: np.ndarray, rounds: int) ->
         load = np.zeros(shards)
         for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
             load[r["shard"]] = r["n"]
-        # Neighbours' most frequent shard; ties go to one that the group's hash chooses.
+        # Neighbours' most frequent shard among those with room left; ties go to one that the group's hash chooses.
         tie = F.pmod(F.xxhash64("h", "shard"), F.lit(1 << 30))
-        want = cells.groupBy("h").agg(F.max(F.struct("n", tie.alias("tie"), F.col("shard").alias("to"))).alias("best"))
-        moves = cells.join(want, "h").where("shard <> best.to").select("h", "shard", F.col("best.to").alias("to"), "n", F.col("best.n").alias("there"))
+        roomy = F.element_at(F.array(*[F.lit(bool(x)) for x in load < 0.98 * room]), F.col("shard") + 1)
+        want = cells.groupBy("h").agg(F.max(F.struct(roomy.alias("roomy"), "n", tie.alias("tie"), F.col("shard").alias("to"))).alias("best"))
+        moves = cells.join(want, "h").where("shard <> best.to and best.n >= n").select("h", "shard", F.col("best.to").alias("to"), "n", F.col("best.n").alias("there"))
         gain = F.least(F.lit(15), F.floor(2 * F.log2(F.col("there") + 1)).cast("int"))
         moves = cut(moves.withColumn("p", (gain * 4 + F.pmod(F.xxhash64("h"), F.lit(4))).cast("int")), "moves")
         table = moves.groupBy("shard", "to", "p").agg(F.sum("n").alias("n")).collect()  # shards x shards x priorities at most
@@ -100,8 +101,10 @@ def _propagate(cells: DataFrame, shards: int, room: np.ndarray, rounds: int) ->
         if x.sum() < 1:
             forget(moves)
             break
+        # Rounded up or down by the group's hash, so that small cells move too; a shard that ends above its share by that is mended at the end.
+        dither = F.pmod(F.xxhash64("h", "to"), F.lit(1 << 20)) / F.lit(float(1 << 20))
         share = spark.createDataFrame(parts, "shard int, to int, p int, part double")
-        gone = moves.join(F.broadcast(share), ["shard", "to", "p"]).withColumn("k", F.floor(F.col("n") * F.col("part") + 1e-9))
+        gone = moves.join(F.broadcast(share), ["shard", "to", "p"]).withColumn("k", F.floor(F.col("n") * F.col("part") + dither))
         gone = gone.where("k > 0")
         change = gone.select("h", "shard", (-F.col("k")).alias("n")).unionByName(gone.select("h", F.col("to").alias("shard"), F.col("k").alias("n")))
         after = cut(cells.unionByName(change).groupBy("h", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
