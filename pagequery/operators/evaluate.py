@@ -46,6 +46,10 @@ class Context:
         return self.base_url if name == "baseUrl" else self.bindings.get(name)
 
 
+class MapContent(dict):
+    """A map as content: a rule is the key of its value and nothing else."""
+
+
 class Content:
     """A document with its parsed forms, each made when first needed."""
 
@@ -154,8 +158,8 @@ class Evaluator:
     # --- results
     def value(self, plan: RulePlan, many: bool = False) -> Any:
         content = self.content.value
-        if isinstance(content, dict) and "__map__" in content:
-            return content.get(plan.source)
+        if isinstance(content, MapContent):
+            return content.get(plan.segments[0].rule) if plan.segments else None
         out: Any = content
         for s in plan.segments:
             if out is None:
@@ -184,6 +188,36 @@ class Evaluator:
             items = list(dict.fromkeys(u for u in (absolute(base, x) for x in items) if u))
         return items
 
+    def element(self, rule: str | RulePlan) -> Any:
+        """The value of a rule as a content for others: the first nodes or items, or a text where something was replaced."""
+        plan = rule if isinstance(rule, RulePlan) else compile_rule(rule)
+        value: Any = self.content.value
+        for s in plan.segments:
+            if value is None:
+                return None
+            if s.mode == SCRIPT:
+                value = self.context.scripts.find(s.rule)(value, self.context)
+                continue
+            self._puts(s)
+            text, pattern, replacement, first = self._filled(s, value)
+            source = self._of(value)
+            mode = _settled(s.mode, source)
+            if mode == JSON:
+                try:
+                    value = jsonpath.read(source.json(), text)
+                except (ValueError, LookupError):
+                    value = None
+            elif mode == XPATH:
+                value = xpath.elements(source.xtree(), text)
+            elif mode == REGEX:
+                rows = regex_rows(value_string(value), text.split("&&"))
+                value = rows[0] if rows else None
+            else:
+                value = dom.elements(source.tree(), text)
+            if pattern:
+                value = java_regex.replace("null" if value is None else value_string(value), pattern, replacement, first)
+        return value
+
     def items(self, rule: str | RulePlan) -> list[Any]:
         """Items of a list rule, each a content for the rules of its fields."""
         plan = rule if isinstance(rule, RulePlan) else compile_rule(rule, listing=True)

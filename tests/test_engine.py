@@ -206,3 +206,37 @@ def test_stream(spark, site, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["page_id"], r["title"]) for r in spark.table("titles").collect()) == [(1, "One"), (2, ""), (3, "")]
+
+
+def test_search_over_sources(spark):
+    from pagequery.operators.by_source import search
+
+    def source(url, **rules):
+        return json.dumps({"bookSourceUrl": url, "bookSourceName": url[-1], "searchUrl": "/s?q={{key}}&p={{page}}", **rules})
+
+    rule = {"bookList": "class.i", "name": "tag.a@text", "bookUrl": "tag.a@href"}
+    records = [source("http://a", ruleSearch=rule), source("http://b", ruleSearch={**rule, "bookList": "-class.i"}), source("http://c", ruleSearch={**rule, "name": "<js>x</js>"}), source("http://d", bookUrlPattern="http://d/.*", ruleBookInfo={"name": "tag.h1@text"}), source("http://e", searchUrl="<js>f()</js>{{f()}}")]
+    sources = read_sources(spark.createDataFrame([(r,) for r in records], "json string"))
+    queries = spark.createDataFrame([(i, f"http://{c}", "k", 1) for i, c in enumerate("abcde")] + [(9, "http://a", "miss", 1)], "query_id int, source_id string, key string, page int")
+    page = "<h1>Top</h1><p class=i><a href=/1>One</a><p class=i><a href=/2>Two</a><p class=i><a href=/1>Dup</a>"
+    responses = spark.createDataFrame([(request_key("GET", f"http://{c}/s?q=k&p=1", None), page) for c in "abcd"], "key string, body string")
+    rows = search(sources, queries, responses).orderBy("query_id", "pos").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["query_id"], []).append((r["name"], r["book_url"]) if r["_error"] is None else r["_error"].split(":")[0])
+    assert by[0] == [("One", "http://a/1"), ("Two", "http://a/2")] and by[1] == [("Two", "http://b/2"), ("One", "http://b/1")]
+    assert by[2] == ["pipeline_error"] or by[2] == ["rule_error"]
+    assert by[3] == [("Top", "http://d/s?q=k&p=1")] and by[4] == ["url_error"] and by[9] == ["snapshot_miss"]
+
+
+def test_stub_scripts():
+    from pagequery.operators.evaluate import Context, Evaluator, MapContent
+    from pagequery.plans.scripts import StubScripts
+
+    c = Context(base_url="http://h", scripts=StubScripts())
+    e = Evaluator("<p>x</p>", c)
+    assert [e.string(r) for r in ("tag.p@text<js>#result</js>", "@js:#num:2", "{{#num:2}}", "@js:#bool:TRUE", "@js:#put:a=b", "@js:#get:a", "{{#null}}", "@js:#baseUrl", "@js:free text")] == ["x", "2.0", "2", "true", "b", "b", "", "http://h", "free text"]
+    assert e.string_list("@js:#list:a|b") == ["a", "b"]
+    with pytest.raises(RuntimeError):
+        e.string("@js:#err")
+    assert Evaluator(MapContent(k="v"), c).string("k") == "v" and e.element("tag.p")[0].tag == "p"
