@@ -7,9 +7,9 @@ candidates it avoids. The frequencies come from a count sketch of fixed size ove
 cost only, since any order that depends on the token alone gives the same links.
 
 Documents with the same set are one class from the start. Candidates then come in two rounds. In the first, each
-token's documents are compared with one of them (linear in the list). In the second, pairs of a token's documents are made only where
+token's documents are compared with a few of them (linear in the list). In the second, pairs of a token's documents are made only where
 they lie in different components by then, so a group of thousands of near copies never becomes all its
-pairs. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
+pairs; and tokens with long lists are left out wherever the other tokens must show matches too. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .bytescan import LOWER, SPACED, grams, mix, slices, words
 from .components import components
-from .shared import cut, forget
+from .shared import SEND, cut, forget, without
 
 #: Largest number of matches that a document may demand.
 MOST = 5
@@ -33,10 +33,12 @@ MOST = 5
 COMPARE = 12.0
 #: Matches demanded of every pair whose sizes leave room for them in the prefixes as they are.
 FREE = 5
+#: Documents that each token's others are compared with in the first round.
+STARS = 3
+#: Entries above which a token is heavy in the second round.
+HEAVY = 6
 #: Buckets of the frequency sketch (a power of two); 4 bytes each in a counting task, 1 byte in a reading one.
 BUCKETS = 1 << 22
-#: Up to so many ids (8 bytes each) are sent to all executors to pick texts; beyond it they are joined by a shuffle.
-SEND = 1_000_000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,23 +213,38 @@ def jaccard_components(
     classes = sets.where("n > 0").groupBy(key).agg(F.min("id").alias("low"), F.min(F.expr("if(tokens is null, null, id)")).alias("rep"))
     meta = sets.select("id", *key, F.col("tokens").isNotNull().alias("sent"))
     labels = cut(meta.join(classes, key, "left").select("id", "n", "low", "rep", "sent"), "labels")
-    extra = labels.where("sent and id <> rep").select("id")
-    tokens = sets.where("tokens is not null").select("id", "n", "m", "base", "tokens").join(extra, "id", "left_anti")
-    tokens = tokens.select("id", "n", "m", "base", F.posexplode("tokens").alias("at", "token"))
-    tokens = tokens.select("token", F.struct("id", "n", "m", (F.col("base") + F.col("m") - 1).alias("p"), "at").alias("x"))
+    # A class that several tasks met was sent as often; one of them is kept.
+    tokens = without(sets.where("tokens is not null").select("id", "n", "m", "tokens"), labels.where("sent and id <> rep").select("id"), "id")
+    tokens = tokens.select("id", "n", "m", F.posexplode("tokens").alias("at", "token"))
+    # Size, matches and place in one number: rows of the widest shuffle are three longs.
+    meta = F.shiftleft(F.shiftleft(F.col("n").cast("long"), 3) + F.col("m"), 28) + F.col("at")
+    tokens = tokens.select("token", "id", meta.alias("meta"))
     over = Window.partitionBy("token")
-    tokens = tokens.withColumn("p", F.min("x").over(over)).withColumn("last", F.max("x.id").over(over))
-    tokens = cut(tokens.where("p.id <> last").select("token", "x", "p"), "tokens")
-    first = _candidates(tokens.where("p.id <> x.id").select(F.col("p").alias("x"), F.col("x").alias("y")), num, den, True)
-    first = cut(first, "pairs")
+    tokens = tokens.repartition("token")  # the orders below are made after the shuffle, not carried through it
+    # A document that a token comes early in has few tokens of its own, so it lies in the middle of the group that shares the token.
+    at = F.col("meta").bitwiseAND(F.lit((1 << 28) - 1))
+    order = [F.struct(F.floor(at / (1 << r)), F.xxhash64("id", F.lit(r))) for r in range(STARS)]
+    tokens = tokens.withColumns({f"o{r}": o for r, o in enumerate(order)})
+    tokens = tokens.withColumns({"low": F.min("id").over(over), "high": F.max("id").over(over), **{f"p{r}": F.min_by("id", f"o{r}").over(over) for r in range(STARS)}, **{f"q{r}": F.min_by("meta", f"o{r}").over(over) for r in range(STARS)}})
+    tokens = cut(tokens.where("low <> high").drop("low", "high", *[f"o{r}" for r in range(STARS)]), "tokens")
+    stars = F.array_distinct(F.array(*[F.struct(F.col(f"p{r}").alias("id2"), F.col(f"q{r}").alias("meta2")) for r in range(STARS)]))
+    first = tokens.select("id", "meta", F.explode(stars).alias("s")).select("id", "meta", "s.*").where("id <> id2")
+    first = cut(_candidates(first, num, den, "least(2 * c, c + 4) >= m").distinct(), "pairs")
     links = cut(_verified(first, sets, slim, k, num, den), "links")
     comp = cut(components(links), "comp")
 
-    rows = tokens.select("token", "x").join(comp, F.col("x.id") == F.col("id"), "left").select("token", "x", F.coalesce("root", "x.id").alias("c"))
-    rows = rows.withColumn("lo", F.min("c").over(over)).withColumn("hi", F.max("c").over(over)).where("lo <> hi").select("token", "x", "c")
+    rows = tokens.select("token", "id", "meta").join(comp, "id", "left").select("token", "id", "meta", F.coalesce("root", "id").alias("c"))
+    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi").select("token", "id", "meta", "c")
+    rows = rows.withColumn("heavy", F.count(F.lit(1)).over(over) > HEAVY)
     rows = cut(rows, "apart")
-    pairs = rows.alias("l").join(rows.select("token", F.col("x").alias("y"), F.col("c").alias("d")).alias("r"), "token").where("c <> d and x.id < y.id")
-    second = _candidates(pairs.select("x", "y"), num, den, False).join(first, ["a", "b"], "left_anti")
+    crowd = rows.where("heavy").groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    rows = cut(rows.join(crowd, "id", "left").withColumn("d", F.coalesce("d", F.lit(0))), "rows")
+    other = rows.select("token", *[F.col(x).alias(x + "2") for x in ("id", "meta", "c", "d")])
+    apart = "c <> c2 and id < id2"
+    # Pairs with more matches to show than heavy tokens show them in the light ones; their lists are short.
+    light = _candidates(rows.where("not heavy").join(other, "token").where(apart), num, den, None)
+    dense = _candidates(rows.where("d > 0").join(other.where("d2 > 0"), "token").where(apart), num, den, "c >= m", heavy=True)
+    second = light.unionByName(dense).distinct().join(first, ["a", "b"], "left_anti")
     more = cut(_verified(cut(second, "pairs"), sets, slim, k, num, den), "links")
     if more.isEmpty():
         found = comp
@@ -248,20 +265,30 @@ def jaccard_components(
     )
 
 
-def _candidates(pairs: DataFrame, num: int, den: int, part: bool) -> DataFrame:
+def _candidates(pairs: DataFrame, num: int, den: int, enough: str | None, heavy: bool = False) -> DataFrame:
     """Pairs of fitting sizes that share as many prefix tokens as they must.
 
-    A pair that links shares ``need`` tokens or more, so its prefixes of length ``n - need + m`` share m. The prefixes that documents sent are made for the
-    smallest partner; with one of like size the surplus allows more than either's own m. ``part``: only some of the
-    pair's matches are in the table, so half of them do.
+    A pair that links shares ``need`` tokens or more, so its prefixes of length ``n - need + m`` share m, for any m that the prefixes allow. The prefixes that
+    documents sent are made for the smallest partner; with one of like size they allow ``most``, which is more than either's own m. ``enough``
+    is the condition on m and the matches ``c``. Without it only light tokens are in the table: of ``most`` matches all but the heavy tokens of either
+    side are among them. Pairs that this leaves nothing to ask of come with ``heavy``, and those alone, from all tokens.
     """
-    pairs = pairs.where(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-    pairs = pairs.withColumn("need", F.expr(f"({num} * (x.n + y.n) + {num + den - 1}) div {num + den}"))
-    most = F.least(F.expr("x.p - x.n"), F.expr("y.p - y.n")) + F.col("need")
-    pairs = pairs.withColumn("m", F.least(most, F.greatest(F.lit(FREE), F.least("x.m", "y.m"))))
-    pairs = pairs.where("x.at < x.n - need + m and y.at < y.n - need + m")
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "m")
-    return pairs.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("c")).where("2 * c >= m" if part else "c >= m").select("a", "b")
+    p = {}
+    for k in ("", "2"):
+        n, m, at = f"shiftright(meta{k}, 31)", f"(shiftright(meta{k}, 28) & 7)", f"(meta{k} & {(1 << 28) - 1})"
+        p |= {f"n{k}": n, f"m{k}": m, f"at{k}": at, f"p{k}": f"({n} - ({n} * {num} + {den - 1}) div {den} + {m})"}
+    need = f"(({num} * ({p['n']} + {p['n2']}) + {num + den - 1}) div {num + den})"
+    most = f"(least({p['p']} - {p['n']}, {p['p2']} - {p['n2']}) + {need})"
+    pairs = pairs.where(f"{den} * least({p['n']}, {p['n2']}) >= {num} * greatest({p['n']}, {p['n2']})")
+    if heavy:
+        pairs = pairs.where(f"{most} <= least(d, d2)")
+    elif enough is None:
+        pairs = pairs.where(f"{most} > least(d, d2)")
+    m = most if enough is None else f"least({most}, greatest({FREE}L, least({p['m']}, {p['m2']})))"
+    pairs = pairs.where(f"{p['at']} < {p['n']} - {need} + {m} and {p['at2']} < {p['n2']} - {need} + {m}")
+    ask = F.expr(f"{m} - least(d, d2)" if enough is None else m)
+    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), ask.alias("m"))
+    return pairs.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("c")).where(enough or "c >= m").select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
