@@ -103,14 +103,16 @@ def content(chapters: DataFrame, responses: DataFrame, rules: dict, scripts: Scr
     fields = [rule_field("text", rule)]
     if rules.get("nextContentUrl"):
         fields.append(rule_field("next_urls", (rules["nextContentUrl"], URLS)))
+    own = [n for n in ("subContent", "title") if (rules.get(n) or "").strip()]
+    fields += [rule_field(n, rules[n]) for n in own]
     spec = Spec(tuple(fields), scripts=scripts or ScriptRegistry())
     stop = chapters.select(F.col("url").alias("chapter_url"), F.col("next_chapter_url").alias("stop")) if "next_chapter_url" in chapters.columns else chapters.select(F.col("url").alias("chapter_url"), F.lit(None).cast("string").alias("stop"))
 
     def read(pages: DataFrame) -> DataFrame:
         p = pages.join(stop, "chapter_url", "left").withColumn("_p", page_column(spec, F.col("body"), F.col("url")))
         none = F.array().cast("array<string>")
-        following = F.filter(F.coalesce("_p.next_urls", none), lambda u: F.coalesce(u != F.col("stop"), F.lit(True))) if len(fields) > 1 else none
-        return p.withColumns({"next_urls": following, "text": F.col("_p.text")}).drop("_p", "stop")
+        following = F.filter(F.coalesce("_p.next_urls", none), lambda u: F.coalesce(u != F.col("stop"), F.lit(True))) if rules.get("nextContentUrl") else none
+        return p.withColumns({"next_urls": following, "text": F.col("_p.text"), **{n: F.col(f"_p.{n}") for n in own}}).drop("_p", "stop")
 
     start = chapters.select(F.col("url").alias("chapter_url"), "url")
     pages = follow(start, responses, read, key="chapter_url")
@@ -118,10 +120,18 @@ def content(chapters: DataFrame, responses: DataFrame, rules: dict, scripts: Scr
     bad = pages.where("page = 0 and _error is not null").select("chapter_url", F.col("_error").alias("miss"))
     out = chapters.select(F.col("url").alias("chapter_url")).join(texts, "chapter_url", "left").join(bad, "chapter_url", "left")
     out = out.withColumn("content", F.col("text"))
+    first = pages.where("page = 0").select("chapter_url", *own)
+    if "subContent" in own:
+        # A further part of the content: an address whose response is appended, or the text itself.
+        sub = first.join(responses.select(F.col("url").alias("subContent"), F.col("body").alias("_sub")), "subContent", "left")
+        out = out.join(sub.select("chapter_url", F.when(F.col("subContent").startswith("http"), F.col("_sub")).otherwise(F.nullif("subContent", F.lit(""))).alias("_part")), "chapter_url", "left")
+        out = out.withColumn("content", F.concat_ws("\n", "content", "_part")).drop("_part")
+    if "title" in own:
+        out = out.join(first.select("chapter_url", F.nullif("title", F.lit("")).alias("title")), "chapter_url", "left")
     if replace := (rules.get("replaceRegex") or "").strip():
         out = _replaced(out, replace)
     blank = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), "[　\\s]+", "")) == ""
-    return out.select("chapter_url", "content", F.coalesce("miss", F.when(blank, F.lit("content_empty"))).alias("_error"))
+    return out.select("chapter_url", "content", *[c for c in ("title",) if c in out.columns], F.coalesce("miss", F.when(blank, F.lit("content_empty"))).alias("_error"))
 
 
 def _replaced(df: DataFrame, rule: str) -> DataFrame:
@@ -140,3 +150,16 @@ def explore_kinds(sources: DataFrame, rule: str = "explore_url") -> DataFrame:
     parts = sources.where(F.length(F.trim(F.coalesce(rule, F.lit("")))) > 0).select("*", F.posexplode(F.split(F.col(rule), "(&&|\n)+")).alias("pos", "_e"))
     bits = F.split("_e", "::")
     return parts.withColumns({"title": F.get(bits, F.lit(0)), "url": F.get(bits, F.lit(1))}).drop("_e")
+
+
+def images(chapters: DataFrame, responses: DataFrame, content: str = "content", url: str = "chapter_url") -> DataFrame:
+    """Images of chapters with their place and, where it was recorded, the response body."""
+    from ..functions.url import absolute, split_option
+    from .document import images as tags
+
+    @F.udf("array<string>")
+    def found(text: str, base: str) -> list[str]:
+        return [absolute(base or "", split_option(src)[0]) for _, _, src in tags(text or "")]
+
+    rows = chapters.select(F.col(url).alias("chapter_url"), F.posexplode(found(content, url)).alias("pos", "url"))
+    return rows.join(responses.select("url", "body"), "url", "left")

@@ -138,3 +138,26 @@ def listing_requests(sources: DataFrame, queries: DataFrame) -> DataFrame:
             return None, None, None, f"url_error: {e}"
 
     return joined.withColumn("_r", make("searchUrl", "source_id", "key", "page")).select(*queries.columns, "_r.*")
+
+
+#: Sent where a source names no agent of its own.
+USER_AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
+
+
+def source_headers(header: str | None, agent: str = USER_AGENT, scripts: ScriptRegistry | None = None) -> dict[str, str]:
+    """Headers of a source: JSON, or a script that gives JSON; an agent is added if there is none. What can't be read gives the agent alone."""
+    text = (header or "").strip()
+    m = re.match(r"(?is)<js>(.*?)</js>|@js:(.*)", text)
+    if m:
+        value = (scripts or ScriptRegistry()).find(m[1] if m[1] is not None else m[2])(None, Context())
+        text = "" if value is None else str(value)
+    out: dict[str, str] = {}
+    if text:
+        try:
+            value = lenient(text)
+            out = {str(k): str(v) for k, v in value.items()} if isinstance(value, dict) else {}
+        except ValueError:
+            out = {}
+    if not any(k.lower() == "user-agent" for k in out):
+        out["User-Agent"] = agent
+    return out

@@ -58,6 +58,14 @@ def shelf_order(books: DataFrame) -> DataFrame:
     return books.orderBy(F.col("order").asc(), F.col("durChapterTime").desc())
 
 
+def highlights(table: DataFrame, book: str, chapter: str | None = None) -> DataFrame:
+    """Annotations of a book or chapter in order of their intervals."""
+    rows = table.where(F.col("book_url") == book)
+    if chapter is not None:
+        return rows.where(F.col("chapter_url") == chapter).orderBy("chapter_pos", "chapter_pos_end", "time")
+    return rows.orderBy("chapter_index", "chapter_pos", "chapter_pos_end", "time")
+
+
 def exists(table: DataFrame, condition: Column) -> bool:
     return not table.where(condition).limit(1).isEmpty()
 

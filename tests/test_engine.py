@@ -118,6 +118,19 @@ def test_content(spark, responses):
     assert rows["http://h.x/c2"]["_error"] == "content_empty" and rows["http://h.x/zz"]["_error"] == "snapshot_miss"
 
 
+def test_content_parts(spark):
+    from pagequery.operators.steps import images
+    from pagequery.sources.requests import source_headers
+
+    responses = spark.createDataFrame([("http://h/c", "<h1>T</h1><div id=c>p1<img src='/i.png'></div><a class=s href=http://h/more>m</a>"), ("http://h/more", "more"), ("http://h/i.png", "bytes")], "url string, body string")
+    chapters = spark.createDataFrame([("http://h/c",)], "url string")
+    r = content(chapters, responses, {"content": "id.c@text", "subContent": "class.s@href", "title": "tag.h1@text"}).first()
+    assert r["title"] == "T" and r["content"].split("\n")[-1] == "more"
+    got = images(spark.createDataFrame([("http://h/c", "x<img src='/i.png'>")], "chapter_url string, content string"), responses).first()
+    assert (got["pos"], got["url"], got["body"]) == (0, "http://h/i.png", "bytes")
+    assert source_headers('{"X":1}')["X"] == "1" and "User-Agent" in source_headers("{bad")
+
+
 def test_entries_and_first(spark):
     e = spark.createDataFrame([("b", "u1", 0), ("b", "u2", 1), ("b", "u1", 2)], "book_url string, url string, pos int")
     assert [(r["url"], r["index"]) for r in normalise_entries(e).orderBy("index").collect()] == [("u2", 0), ("u1", 1)]
