@@ -11,7 +11,6 @@ from ..functions.render import java_string, value_string
 from ..functions.url import absolute, is_json
 from ..plans.rule_plan import DOM, JSON, REGEX, SCRIPT, XPATH, RulePlan, Segment, compile_rule, cut_replacement
 from ..plans.scripts import ScriptRegistry
-from ..plans.splitter import RuleError
 from . import dom, jsonpath, xpath
 from .html_tree import Node, parse
 
