@@ -7,7 +7,6 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagequery.llm.decontaminate import decontaminate
 from pagequery.llm.exact_dedup import exact_dedup

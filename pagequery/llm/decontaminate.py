@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bytescan import ALNUM, LOWER, Words, grams, slices, sliding_min, words
 from .shared import cut
