@@ -41,6 +41,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -62,12 +65,30 @@ class ChunkEncoder:
                 fresh.add(c)
         for c in fresh.intersection(old):
             known[c] = old[c]
-        fresh = list(fresh.difference(known))
-        for chunk, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        fresh.difference_update(known)
+        words = [c for c in fresh if c.isalpha() and (c.isascii() or not _FOREIGN.search(c))]
+        if self._words(words):
+            fresh.difference_update(words)
+        rest = list(fresh)
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[chunk] = array("I", e.ids).tobytes()
         for c, stem, tail in apart:
             known[c] = known[stem] + known[tail]
 
+    def _words(self, words: list[str]) -> bool:
+        """Learn chunks of letters alone in one call: each ends with the one token that carries the word's end."""
+        if not words:
+            return True
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.is_end[ids]) + 1
+        if len(stops) != len(words):
+            return False
+        raw, at = ids.tobytes(), 0
+        for word, stop in zip(words, (4 * stops).tolist(), strict=True):
+            self.known[word] = raw[at:stop]
+            at = stop
+        return True
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as bytes. Call it with about a megabyte of texts at once."""
         # str.split() cuts at the tokenizer's white space only, once control characters are ruled out.
