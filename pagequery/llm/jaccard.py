@@ -113,7 +113,7 @@ _ROW = pa.schema([
 def _rows_kernel(sent, k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, dtype=np.uint8)
-        weight = 2.0 ** (level / 8.0) - 1
+        weight = 2.0 ** (np.arange(256) / 8.0) - 1  # entries that a class stands for
         seen: set = set()
         for batch in batches:
             for ids, data, offs in slices(batch.column(0), batch.column(1)):
@@ -136,7 +136,7 @@ def _rows_kernel(sent, k: int, num: int, den: int):
                     most = max(1, min(MOST, -(-n * num // den)))
                     m = 1
                     if lev[order[min(n, base) - 1]]:  # the rarest tokens don't fill the prefix
-                        f = np.cumsum(weight[u[order[: base + most - 1]] & np.uint64(BUCKETS - 1)])
+                        f = np.cumsum(weight[lev[order[: base + most - 1]]])
                         want = np.arange(1, most + 1)
                         sums = f[np.minimum(base + want - 2, len(f) - 1)]
                         m = int(np.argmin(base + want - 1 + sums * (1 + COMPARE / want))) + 1

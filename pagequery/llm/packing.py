@@ -72,6 +72,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")))
             yield ids[at:end].to_pylist(), [t or "" for t in texts[at:end].to_pylist()]
             at = end
+        del ids, texts, size
+        pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, capacity: int, path: str, end_id: int, with_ids: bool = False) -> DataFrame:

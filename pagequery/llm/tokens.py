@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks in each of a worker's two generations; when the newer is full it becomes the older, and what the older alone had is gone.
-CACHE = 350_000
+CACHE = 250_000
 
 #: Marks that may end a chunk; no apostrophe, which the tokenizer joins to letters.
 _MARKS = ".,;:!?&%$#*|)]}\"/"
