@@ -1,18 +1,22 @@
 """Scoring texts with a log-bilinear language model.
 
 Token counts come from all training texts: tasks add up their own words, one shuffle adds the tasks up, and the table stays in the
-shared folder. The ``WORDS`` most frequent words and one class for all others are the model's vocabulary. The vector of a context
+shared folder. The words seen ``LEAST`` times or more (``FEW`` at least, ``WORDS`` at most) and one class for all others are the model's vocabulary. The vector of a context
 is a linear map of the vectors of the words before (mean of a window, and the last one); its product with a word's vector, plus the log of the word's frequency, is the
-word's energy. Vectors are trained in numpy by noise-contrastive estimation on a bounded sample (``SAMPLE`` texts).
+word's energy.
 
-For scoring, context vectors are replaced by the nearest of ``CENTRES``. One batched matrix product then gives normalised log-probabilities of the whole
-vocabulary in every centre; a token costs a look-up. A word of the class of others adds its share of that class, (c + 0.5) / (sum of those). Counts of
+Vectors are trained in numpy by noise-contrastive estimation on all training texts, each whole. They start from a pass over ``SAMPLE`` texts on the driver; in each of ``ROUNDS``
+every task goes through its texts from the same vectors, and a shuffle averages what the tasks changed, row by row, weighted by how often a task met the row.
+
+For scoring, context vectors are replaced by the nearest of ``CENTRES``, k-means over all training contexts (Lloyd's rounds in tasks from a start on the sample). The vocabulary's
+probabilities in every centre are normalised exactly; a token costs one product of vectors. A word of the class of others adds its share of that class, (c + 0.5) / (sum of those). Counts of
 the ``HEAD`` most frequent words (a fixed number) travel to the tasks; the rare words of all texts meet their counts in a join.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,23 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, SPACED, slices, words
-from .shared import cut
+from .shared import cut, forget
 
-#: Words with a vector of their own.
-WORDS = 4096
+#: Count from which a word has a vector of its own, and so many words have one whatever their counts.
+LEAST = 50
+FEW = 4096
 #: Most words whose counts are sent to the tasks, at 16 bytes each.
 HEAD = 1 << 18
+#: Most words with vectors, at 8 x WIDTH bytes each in a scoring task: a bound of memory.
+WORDS = HEAD
 #: Words before a token that its context holds.
 SPAN = 16
 #: Length of vectors.
 WIDTH = 16
-#: Context centres; the table of log-probabilities has CENTRES x (WORDS + 1) floats.
+#: Context centres; normalising them takes CENTRES x vocabulary products, once.
 CENTRES = 192
-#: Training texts of the vectors, and tokens of each that are used. Counts always cover all training texts.
+#: Texts, and tokens of each, from which vectors and centres start on the driver. Training itself covers all texts.
 SAMPLE = 2_500
 TOKENS = 1_200
-NOISE = 8
-EPOCHS = 3
+#: Passes over all training texts, for vectors and for centres.
+ROUNDS = 1
+LLOYD = 1
+#: Tokens of a step, and noise words that they share.
+BATCH = 1024
+NOISE = 64
+#: Tokens from which a task handles the texts that it has read.
+CHUNK = 1 << 18
+#: Parts in which tasks' changes are averaged.
+PARTS = 64
 #: Weight of the model against the frequencies alone.
 TRUST = 0.92
 #: Hash that stands for the end of a text.
@@ -83,6 +98,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*_tally(parts))
 
 
+def classes(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
+    return np.where(vocab[at] == h, at, len(vocab)) if len(vocab) else np.zeros(len(h), dtype=np.int64)
+
+
 @dataclass
 class Model:
     """What the tasks need: counts of frequent words, the vocabulary's vectors, centres and log10 probabilities."""
@@ -95,13 +115,14 @@ class Model:
     vectors: np.ndarray  # of a word in the context; the last row is the class of others
     gain: np.ndarray  # of the window's mean and of the last word
     centres: np.ndarray
-    logp: np.ndarray  # centres x (words + 1), log10
+    q: np.ndarray  # vectors of the words to predict
+    unigram: np.ndarray
+    logz: np.ndarray  # of each centre, log of the sum of exponents
     others: float  # log10 of the sum of c + 0.5 over the words without a vector, one unknown word included
     least: int  # step of the smallest count in the head
 
     def classes(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocab, h), max(len(self.vocab) - 1, 0))
-        return np.where(self.vocab[at] == h, at, len(self.vocab)) if len(self.vocab) else np.zeros(len(h), dtype=np.int64)
+        return classes(self.vocab, h)
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Training count of frequent words, -1 for others."""
@@ -112,12 +133,35 @@ class Model:
 
     def log10(self, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log10 probability of each token's class after its context."""
-        x = contexts(self.vectors, self.gain, cls, bounds)
-        half = 0.5 * (self.centres**2).sum(axis=1)
-        near = np.empty(len(cls), dtype=np.int64)
+        near = nearest(contexts(self.vectors, self.gain, cls, bounds), self.centres)
+        out = np.empty(len(cls))
         for a in range(0, len(cls), 1 << 14):
-            near[a : a + (1 << 14)] = np.argmax(x[a : a + (1 << 14)] @ self.centres.T - half, axis=1)
-        return self.logp[near, cls]
+            c, w = near[a : a + (1 << 14)], cls[a : a + (1 << 14)]
+            u = self.unigram[w]
+            out[a : a + (1 << 14)] = np.log10(TRUST * u * np.exp(np.einsum("nd,nd->n", self.centres[c], self.q[w]) - self.logz[c]) + (1 - TRUST) * u)
+        return out
+
+    def normalise(self) -> None:
+        """Exact sums over the vocabulary, one centre at a time."""
+        self.logz = np.empty(len(self.centres))
+        for j, c in enumerate(self.centres.astype(float)):
+            e = self.q @ c
+            top = e.max()
+            self.logz[j] = top + np.log(np.exp(e - top) @ self.unigram)
+
+    @property
+    def logp(self) -> np.ndarray:
+        """Centres x (words + 1), log10; for small vocabularies."""
+        p = self.unigram * np.exp(self.centres.astype(float) @ self.q.T.astype(float) - self.logz[:, None])
+        return np.log10(TRUST * p + (1 - TRUST) * self.unigram)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres**2).sum(axis=1)
+    near = np.empty(len(x), dtype=np.int64)
+    for a in range(0, len(x), 1 << 14):
+        near[a : a + (1 << 14)] = np.argmax(x[a : a + (1 << 14)] @ centres.T - half, axis=1)
+    return near
 
 
 def contexts(vectors: np.ndarray, gain: np.ndarray, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -132,61 +176,177 @@ def contexts(vectors: np.ndarray, gain: np.ndarray, cls: np.ndarray, bounds: np.
     return (mean * gain[0] + last * gain[1]).astype(np.float32)
 
 
-def train(texts: list[np.ndarray], unigram: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of words in the context and of words to predict, scales, and context vectors of the sample, by noise-contrastive estimation."""
+@dataclass
+class State:
+    """Vectors in training: of words in the context, of words to predict, scales; mean squared gradients' sums by row, for Adagrad."""
+
+    r: np.ndarray
+    q: np.ndarray
+    gain: np.ndarray
+    gr: np.ndarray
+    gq: np.ndarray
+    gg: np.ndarray
+
+    def copy(self) -> State:
+        return State(*(x.copy() for x in vars(self).values()))
+
+
+def start(k: int, seed: int = 7) -> State:
     rng = np.random.default_rng(seed)
-    k = len(unigram)
-    cls = np.concatenate(texts)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    begin = np.repeat(bounds[:-1], np.diff(bounds))
-    r = rng.normal(0, 0.3, (k + 1, WIDTH)).astype(np.float32)  # the last row stands for nothing before
-    r[k] = 0
-    q = rng.normal(0, 0.05, (k, WIDTH)).astype(np.float32)
-    gain = np.ones((2, WIDTH), dtype=np.float32)
-    bias = np.log(unigram).astype(np.float32)
-    noise_bias = (np.log(NOISE) + np.log(unigram)).astype(np.float32)
-    deal = np.cumsum(unigram)
-    # Sums of squared gradients, for Adagrad.
-    gr, gq, gg = np.full_like(r, 1e-6), np.full_like(q, 1e-6), np.full_like(gain, 1e-6)
-    size, rate = 1024, 0.15
-    back = np.arange(1, SPAN + 1)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(cls))
-        for a in range(0, len(order), size):
-            t = order[a : a + size]
-            where = t[:, None] - back
-            window = np.where(where >= begin[t][:, None], cls[np.maximum(where, 0)], k)
-            rows = r[window]
-            mean, last = rows.sum(axis=1) / SPAN, rows[:, 0]
-            h = mean * gain[0] + last * gain[1]
-            w = np.empty((len(t), NOISE + 1), dtype=np.int64)
-            w[:, 0] = cls[t]
-            w[:, 1:] = np.minimum(np.searchsorted(deal, rng.random((len(t), NOISE)) * deal[-1]), k - 1)
-            qw = q[w]
-            z = np.einsum("bd,bnd->bn", h, qw) + bias[w] - noise_bias[w]
-            e = 1 / (1 + np.exp(-z))
-            e[:, 0] -= 1
-            e = e.astype(np.float32)
-            dh = np.einsum("bn,bnd->bd", e, qw)
-            for target, acc, index, g in (
-                (q, gq, w.ravel(), (e[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)),
-                (r, gr, window.ravel(), (np.repeat((dh * gain[0] / SPAN)[:, None, :], SPAN, axis=1) + np.concatenate([(dh * gain[1])[:, None, :], np.zeros((len(t), SPAN - 1, WIDTH), np.float32)], axis=1)).reshape(-1, WIDTH)),
-            ):
-                touched, inv = np.unique(index, return_inverse=True)
-                total = np.zeros((len(touched), WIDTH), dtype=np.float32)
-                np.add.at(total, inv, g)
-                acc[touched] += total**2
-                target[touched] -= rate * total / np.sqrt(acc[touched])
-            r[k] = 0
-            d = np.stack([(dh * mean).sum(axis=0), (dh * last).sum(axis=0)])
-            gg += d**2
-            gain -= 0.02 * d / np.sqrt(gg)
-    vectors = r[:k].copy()
-    return vectors, q, gain, contexts(vectors, gain, cls, bounds)
+    r, q = rng.normal(0, 0.3, (k, WIDTH)).astype(np.float32), rng.normal(0, 0.05, (k, WIDTH)).astype(np.float32)
+    return State(r, q, np.ones((2, WIDTH), np.float32), *(np.full(n, 1e-6, np.float32) for n in (k, k, (2, WIDTH))))
+
+
+def _sums(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of what each gets, and how often."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(index)))
+
+
+def learn(s: State, cls: np.ndarray, bounds: np.ndarray, deal: np.ndarray, rng: np.random.Generator, met: np.ndarray | None = None, rate: float = 0.15) -> None:
+    """One pass over texts (classes, bounds), changing ``s``; ``deal`` is the running sum of frequencies. ``met`` counts how often the rows of r and q were changed."""
+    begin, end = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
+    k = len(s.r)
+    for a in range(0, len(cls), BATCH):
+        lo, b = max(0, a - SPAN), min(a + BATCH, len(cls))
+        c, new = cls[lo:b], slice(a - lo, None)
+        i = np.arange(len(c))
+        first, after = np.maximum(begin[lo:b] - lo, np.maximum(i - SPAN, 0)), np.minimum(end[lo:b] - lo, len(c))
+        rows = s.r[c]
+        total = np.zeros((len(c) + 1, WIDTH), np.float32)
+        np.cumsum(rows, axis=0, out=total[1:])
+        mean = ((total[i] - total[first]) / SPAN)[new]
+        last = np.zeros_like(rows)
+        last[1:] = rows[:-1]
+        last[i == begin[lo:b] - lo] = 0
+        last = last[new]
+        h = mean * s.gain[0] + last * s.gain[1]
+        noise = np.minimum(np.searchsorted(deal, rng.random(NOISE) * deal[-1]), k - 1)
+        qt, qn = s.q[c[new]], s.q[noise]
+        with np.errstate(over="ignore"):
+            own = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - np.einsum("nd,nd->n", h, qt))) - 1
+            other = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - h @ qn.T))
+        dh = own[:, None] * qt + other @ qn
+        # A word gets what the contexts of the SPAN words after it in its text get.
+        run = np.zeros((len(c) + 1, WIDTH), np.float32)
+        np.cumsum(dh, axis=0, out=run[a - lo + 1 :])
+        dr = (run[np.minimum(i + SPAN + 1, after)] - run[i + 1]) * (s.gain[0] / SPAN)
+        follows = np.flatnonzero((i + 1 < after) & (i + 1 >= a - lo))
+        dr[follows] += dh[follows + 1 - (a - lo)] * s.gain[1]
+        for j, (target, acc, index, g) in enumerate(((s.q, s.gq, np.concatenate([c[new], noise]), np.concatenate([own[:, None] * h, other.T @ h])), (s.r, s.gr, c, dr))):
+            touched, g, times = _sums(index, g)
+            acc[touched] += (g**2).mean(axis=1)
+            target[touched] -= rate * g / np.sqrt(acc[touched])[:, None]
+            if met is not None:
+                met[j, touched] += times
+        d = np.stack([(dh * mean).sum(axis=0), (dh * last).sum(axis=0)])
+        s.gg += d**2
+        s.gain -= 0.02 * d / np.sqrt(s.gg)
+
+
+def _joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of all texts of a column, and the texts' bounds in them, some whole texts at a time."""
+    texts: list[np.ndarray] = []
+    size = 0
+    for i, x in enumerate(column):
+        texts.append(np.frombuffer(x.as_buffer(), dtype=np.int32))
+        size += len(texts[-1])
+        if size > CHUNK or i == len(column) - 1:
+            yield np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            texts, size = [], 0
+
+
+def _pass(table: DataFrame, s: State, deal: np.ndarray, seed: int) -> State:
+    """A pass over all texts: tasks train on their own from ``s``, and rows are averaged over the tasks that met them."""
+    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps((s, deal)))
+    k = len(s.r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        old, dealt = pickle.loads(sent.value)
+        now, met, n = old.copy(), np.zeros((2, k), np.float32), 0
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+        for batch in batches:
+            for cls, bounds in _joined(batch.column(0)):
+                learn(now, cls, bounds, dealt, rng, met)
+                n += len(cls)
+        if not n:
+            return
+        for part in range(PARTS):
+            blobs = []
+            for j, (new, was, acc, acc_was) in enumerate(((now.r, old.r, now.gr, old.gr), (now.q, old.q, now.gq, old.gq))):
+                m = met[1 - j]
+                rows = np.flatnonzero(m[part::PARTS]).astype(np.int32)
+                at = rows * PARTS + part
+                blobs.append((rows, m[at], (new[at] - was[at]).astype(np.float16), acc[at] - acc_was[at]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(pickle.dumps(blobs), 1)], pa.binary())], names=["part", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([PARTS], pa.int32()), pa.array([pickle.dumps((n, now.gain - old.gain, now.gg - old.gg))], pa.binary())], names=["part", "x"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part == PARTS:
+                    n, gain, gg = pickle.loads(x.as_buffer())
+                    v = (n, n * gain, n * gg)
+                    sums[part] = tuple(p + q for p, q in zip(sums[part], v, strict=True)) if part in sums else v
+                    continue
+                size = len(range(part, k, PARTS))
+                held = sums.setdefault(part, [(np.zeros(size), np.zeros((size, WIDTH)), np.zeros(size)) for _ in range(2)])
+                for (w, d, g), (rows, m, delta, acc) in zip(held, pickle.loads(zlib.decompress(x.as_buffer())), strict=True):
+                    w[rows] += m
+                    d[rows] += m[:, None] * delta.astype(float)
+                    g[rows] += m * acc
+        for part, v in sums.items():
+            out = (v[1] / v[0], v[2] / v[0]) if part == PARTS else [((d / np.maximum(w, 1)[:, None]).astype(np.float32), (g / np.maximum(w, 1)).astype(np.float32)) for w, d, g in v]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(out)], pa.binary())], names=["part", "x"])
+
+    schema = "part int, x binary"
+    after = s.copy()
+    for row in table.mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(mean, schema).toLocalIterator():
+        v = pickle.loads(row["x"])
+        if row["part"] == PARTS:
+            after.gain += v[0].astype(np.float32)
+            after.gg += v[1].astype(np.float32)
+        else:
+            for (d, g), target, acc in zip(v, (after.r, after.q), (after.gr, after.gq), strict=True):
+                target[row["part"] :: PARTS] += d
+                acc[row["part"] :: PARTS] += g
+    sent.unpersist()
+    return after
+
+
+def _lloyd(table: DataFrame, s: State, centres: np.ndarray) -> np.ndarray:
+    """One of Lloyd's rounds over the contexts of all texts; a task sends a row a centre."""
+    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps((s.r, s.gain, centres)))
+    names = [f"x{j}" for j in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, gain, c = pickle.loads(sent.value)
+        total, n = np.zeros((len(c), WIDTH)), np.zeros(len(c), np.int64)
+        for batch in batches:
+            for cls, bounds in _joined(batch.column(0)):
+                x = contexts(r, gain, cls, bounds)
+                near = nearest(x, c)
+                n += np.bincount(near, minlength=len(c))
+                for j in range(WIDTH):
+                    total[:, j] += np.bincount(near, weights=x[:, j], minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c)), pa.int32()), pa.array(n), *(pa.array(t) for t in total.T)], names=["j", "n", *names])
+
+    rows = table.mapInArrow(run, "j int, n long, " + ", ".join(f"{x} double" for x in names)).groupBy("j").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).collect()
+    out = centres.copy()
+    for row in rows:
+        if row["n"]:
+            out[row["j"]] = [row[x] / row["n"] for x in names]
+    sent.unpersist()
+    return out
 
 
 def _centres(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
-    """Lloyd's k-means."""
+    """Lloyd's k-means on a sample, where the rounds over all contexts start."""
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))[:60_000]]
     c = x[rng.permutation(len(x))[:k]].copy()
@@ -221,40 +381,46 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     c = rows.column("c").to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    top = np.sort(np.argsort(-c, kind="stable")[:WORDS])
+    top = np.sort(np.argsort(-c, kind="stable")[: min(WORDS, max(FEW, int((c >= LEAST).sum())))])
     vocab, own = h[top], c[top]
     rest = n - int(own.sum()) + 0.5 * (v - len(vocab) + 1)
-    model = Model(n, v, h, c, vocab, np.zeros((len(vocab) + 1, WIDTH), np.float32), np.ones((2, WIDTH), np.float32), np.zeros((1, WIDTH), np.float32), np.zeros((1, 1), np.float32), float(np.log10(rest)), least)
     weight = np.append(own + 0.5, rest)
-    unigram = weight / weight.sum()
+    blank = np.zeros((len(vocab) + 1, WIDTH), np.float32)
+    model = Model(n, v, h, c, vocab, blank, np.ones((2, WIDTH), np.float32), np.zeros((1, WIDTH), np.float32), blank, weight / weight.sum(), np.zeros(1), float(np.log10(rest)), least)
     if n:
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+        sent = docs.sparkSession.sparkContext.broadcast(vocab.tobytes())
         size = slim.count()
-        drawn = slim.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < min(1.0, SAMPLE / size) * (1 << 20))
-        texts = [np.frombuffer(bytes(r["c"]), dtype=np.int32) for r in drawn.mapInArrow(_classes(sent), "c binary").collect()]
-        texts = [t for t in texts if len(t)]
-        if texts:
-            vectors, q, gain, x = train(texts, unigram)
-            model.vectors, model.gain, model.centres = vectors, gain, _centres(x, CENTRES).astype(np.float32)
-            energy = model.centres.astype(float) @ q.T.astype(float) + np.log(unigram)
-            energy -= energy.max(axis=1, keepdims=True)
-            p = np.exp(energy)
-            p /= p.sum(axis=1, keepdims=True)
-            model.logp = np.log10(TRUST * p + (1 - TRUST) * unigram).astype(np.float32)
-        else:
-            model.logp = np.log10(unigram)[None].astype(np.float32)
+        table = cut(slim.mapInArrow(_classes(sent), "c binary, draw double"), "classes")
+        drawn = table.where(F.col("draw") < SAMPLE / size).select(F.substring("c", 1, 4 * TOKENS).alias("c"))
+        texts = [np.frombuffer(bytes(r["c"]), dtype=np.int32) for r in drawn.collect()]
+        cls, bounds = np.concatenate([*texts, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        deal, state = np.cumsum(model.unigram), start(len(weight))
+        if len(cls):
+            learn(state, cls, bounds, deal, np.random.default_rng(7))
+        for i in range(ROUNDS):
+            state = _pass(table.select("c"), state, deal, i)
+        model.vectors, model.q, model.gain = state.r, state.q, state.gain
+        if len(cls):
+            model.centres = _centres(contexts(state.r, state.gain, cls, bounds), CENTRES).astype(np.float32)
+        for _ in range(LLOYD):
+            model.centres = _lloyd(table.select("c"), state, model.centres)
+        model.normalise()
+        forget(table)
     return model, counts
 
 
 def _classes(sent):
+    """Classes of each whole text, and a number from 0 to 1 that draws texts for the start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(sent.value)
+        vocab = np.frombuffer(sent.value, dtype=np.uint64)
         for batch in batches:
-            for _, data, offs in slices(batch.column(0), batch.column(1)):
+            for ids, data, offs in slices(batch.column(0), batch.column(1)):
                 h, bounds = tokens(data, offs)
-                cls = model.classes(h).astype(np.int32)
-                out = [cls[a:b][:TOKENS].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["c"])
+                cls = classes(vocab, h).astype(np.int32)
+                out = [cls[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                draw = [(zlib.crc32(x) ^ zlib.crc32(str(i).encode())) / 2**32 for i, x in zip(pa.array(ids).to_pylist(), out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(draw, pa.float64())], names=["c", "draw"])
 
     return run
 

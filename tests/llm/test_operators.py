@@ -410,6 +410,26 @@ def test_lm(spark):
     assert (r["train_tokens"], r["base_score"], r["score"]) == (0, 0.0, 0.0)
 
 
+def test_lm_trains_on_all_texts_and_whole_ones(spark, monkeypatch):
+    import pyarrow as pa
+
+    from pagequery.llm import lm_score as m
+
+    monkeypatch.setattr(m, "SAMPLE", 0)
+    monkeypatch.setattr(m, "TOKENS", 0)
+    monkeypatch.setattr(m, "FEW", 1)
+    monkeypatch.setattr(m, "LEAST", 20)
+    rng = random.Random(3)
+    tongues = [[f"{p}{i}" for i in range(120)] for p in "abc"]
+    model, _ = m.fit(table(spark, [(i, prose(rng, rng.randint(40, 80), tongues[i % 3])) for i in range(300)]).repartition(3))
+    # The end of a text is in no context.
+    moved = np.abs(model.vectors - m.start(len(model.vectors)).r).sum(axis=1)
+    assert len(model.vocab) > 300 and (moved[:-1] > 0).sum() >= len(model.vocab) - 1 and (np.abs(model.q[:-1]).sum(axis=1) > 0).all()
+    long = m._classes(type("Sent", (), {"value": model.vocab.tobytes()}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a1 " * 5_000])], names=["id", "t"])
+    assert len(next(long(iter([batch]))).column(0)[0].as_py()) == 4 * 5_001
+
+
 def test_lm_rare_words_meet_their_counts(spark, monkeypatch):
     from pagequery.llm import lm_score as m
 
