@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 hold together: the one with the smallest id."""
-    groups = jaccard_components(docs, k=5, num=80, den=100)
+    groups = jaccard_components(docs, k=5, num=80, den=100, count_links=False)
     return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
 
 

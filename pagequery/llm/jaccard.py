@@ -8,8 +8,8 @@ cost only, since any order that depends on the token alone gives the same links.
 
 Documents with the same set are one class from the start. Candidates then come in two rounds. In the first, each
 token's documents are compared with a few of them (linear in the list). In the second, pairs of a token's documents are made only where
-they lie in different components by then, so a group of thousands of near copies never becomes all its
-pairs; and tokens with long lists are left out wherever the other tokens must show matches too. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
+they lie in different components by then, so for components a group of thousands of near copies never becomes all its
+pairs. Where links are counted, the second round makes all pairs, since each is a link that counts; and tokens with long lists are left out wherever the other tokens must show matches too. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
 """
 
 from __future__ import annotations
@@ -195,10 +195,10 @@ def _verify_text(k: int, num: int, den: int):
 
 
 def jaccard_components(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
 ) -> DataFrame:
     """One row per document: id, ``n_shingles`` (long), ``component_id`` (smallest id reachable over links, its own included) and ``n_links``
-    (links found and checked from its class; pairs inside a component that its other links imply aren't all checked).
+    (links of its class of equal sets with other classes, all of them). Without ``count_links`` there is no ``n_links``, and pairs that lie in one component already aren't checked.
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets of ``k``-word shingles. Null and empty texts and those without words have no
     shingles and link with nothing, not even with each other; a text of fewer than ``k`` words is one shingle. Ids must be unique and not null. An
@@ -234,13 +234,14 @@ def jaccard_components(
     comp = cut(components(links), "comp")
 
     rows = tokens.select("token", "id", "meta").join(comp, "id", "left").select("token", "id", "meta", F.coalesce("root", "id").alias("c"))
-    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi").select("token", "id", "meta", "c")
+    if not count_links:
+        rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi").select("token", "id", "meta", "c")
     rows = rows.withColumn("heavy", F.count(F.lit(1)).over(over) > HEAVY)
     rows = cut(rows, "apart")
     crowd = rows.where("heavy").groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     rows = cut(rows.join(crowd, "id", "left").withColumn("d", F.coalesce("d", F.lit(0))), "rows")
     other = rows.select("token", *[F.col(x).alias(x + "2") for x in ("id", "meta", "c", "d")])
-    apart = "c <> c2 and id < id2"
+    apart = "id < id2" if count_links else "c <> c2 and id < id2"
     # Pairs with more matches to show than heavy tokens show them in the light ones; their lists are short.
     light = _candidates(rows.where("not heavy").join(other, "token").where(apart), num, den, None)
     dense = _candidates(rows.where("d > 0").join(other.where("d2 > 0"), "token").where(apart), num, den, "c >= m", heavy=True)
@@ -256,6 +257,9 @@ def jaccard_components(
 
     lows = labels.where("id = rep").select("rep", "low").join(found.withColumnRenamed("id", "rep"), "rep")
     lowest = lows.groupBy("root").agg(F.min("low").alias("component"))
+    if not count_links:
+        by_rep = lows.join(lowest, "root").select("rep", "component")
+        return labels.join(by_rep, "rep", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"))
     ends = links.unionByName(more)
     degree = ends.select(F.col("a").alias("rep")).unionByName(ends.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     by_rep = lows.join(lowest, "root").join(degree, "rep", "left").select("rep", "component", "n_links")

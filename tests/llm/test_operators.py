@@ -178,6 +178,25 @@ def test_jaccard(spark, monkeypatch, seed, send):
     assert got == brute_components(rows)
 
 
+def test_jaccard_counts_every_link(spark):
+    from pagequery.llm import jaccard as m
+
+    rng = random.Random(5)
+    body = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        words = list(body)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(200)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(196)) for i, t in rows}
+    classes = set(sets.values())
+    want = {i: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in classes) for i, a in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in m.jaccard_components(table(spark, rows).repartition(3)).collect()}
+    assert got == want and max(want.values()) > 10
+    assert "n_links" not in m.jaccard_components(table(spark, rows), count_links=False).columns
+
+
 def test_jaccard_empty(spark):
     from pagequery.llm.jaccard import jaccard_components
 
