@@ -11,33 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most pages of a chain.
-DEPTH = 200
+#: Rounds after which what was found is held as one table again.
+FOLD = 32
 
 
-def follow(start: DataFrame, responses: DataFrame, read: Callable[[DataFrame], DataFrame], key: str = "book_url", depth: int = DEPTH) -> DataFrame:
+def _hold(df: DataFrame) -> DataFrame:
+    """``df`` computed and cut off from its plan."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+def follow(start: DataFrame, responses: DataFrame, read: Callable[[DataFrame], DataFrame], key: str = "book_url") -> DataFrame:
     """Pages reached from ``start`` (key, url), each once per key, with their number ``page``.
 
     ``read`` takes pages (key, url, page, body) and returns them with ``next_urls``; a page that has no response ends its branch with
-    ``_error`` ``snapshot_miss``. Chains end where a url was visited before.
+    ``_error`` ``snapshot_miss``. Chains end where a url was visited before, however long they are.
     """
     frontier = start.select(key, "url").distinct().withColumn("page", F.lit(0))
     frontier = frontier.withColumn("path", F.array(F.lit(0)))
     visited: DataFrame | None = None
     pages: DataFrame | None = None
-    for _ in range(depth):
+    rounds = 0
+    while True:
         met = frontier.join(responses.select("url", "body"), "url", "left")
-        got = read(met).withColumn("_error", F.when(F.col("body").isNull(), F.lit("snapshot_miss"))).persist()
+        got = _hold(read(met).withColumn("_error", F.when(F.col("body").isNull(), F.lit("snapshot_miss"))))
         pages = got if pages is None else pages.unionByName(got)
         seen = frontier.select(key, "url")
         visited = seen if visited is None else visited.unionByName(seen)
         grown = got.select(key, "page", "path", F.posexplode("next_urls").alias("k", "url")).where("url is not null and url <> ''")
         grown = grown.select(key, "url", (F.col("page") + 1).alias("page"), F.concat("path", F.array("k")).alias("path"))
         grown = grown.withColumn("r", F.row_number().over(Window.partitionBy(key, "url").orderBy("path"))).where("r = 1").drop("r")
-        frontier = grown.join(visited, [key, "url"], "left_anti").checkpoint() if grown.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else grown.join(visited, [key, "url"], "left_anti").persist()
+        rounds += 1
+        if rounds % FOLD == 0:
+            pages, visited = (_hold(x.repartition(key, "url")) for x in (pages, visited))
+        frontier = _hold(grown.join(visited, [key, "url"], "left_anti"))
         if frontier.isEmpty():
-            break
-    return pages
+            return pages
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

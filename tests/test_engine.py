@@ -253,3 +253,15 @@ def test_stub_scripts():
     with pytest.raises(RuntimeError):
         e.string("@js:#err")
     assert Evaluator(MapContent(k="v"), c).string("k") == "v" and e.element("tag.p")[0].tag == "p"
+
+
+def test_chain_of_more_than_200_pages(spark):
+    from pyspark.sql import functions as F
+
+    from pagequery.operators.frontier import follow
+
+    last = 203
+    responses = spark.createDataFrame([(f"u{i}", f"u{i + 1}" if i < last else "u5") for i in range(last + 1)], "url string, body string").coalesce(1).localCheckpoint()
+    start = spark.createDataFrame([("b", "u0")], "book_url string, url string")
+    got = [(r["page"], r["url"]) for r in follow(start, responses, lambda p: p.withColumn("next_urls", F.array("body"))).collect()]
+    assert sorted(got) == [(i, f"u{i}") for i in range(last + 1)]
