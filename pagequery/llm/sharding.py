@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .shared import cut, forget
 
-ROUNDS = 12
+ROUNDS = 16
 #: Priorities of a move: by gain, then by hash of the group.
 PRIORITIES = 64
 
@@ -111,8 +111,6 @@ def _propagate(cells: DataFrame, shards: int, room: np.ndarray, rounds: int) ->
         forget(moves)
         forget(cells)
         cells = after
-        if x.sum() < 5e-3 * load.sum():
-            break
     return cells
 
 

@@ -492,3 +492,14 @@ def test_kneser_ney_sums_to_one():
     counts = m._counts(texts)
     for u, p, _ in m.kneser_ney(counts, 40)[:1]:
         assert 0 < p.sum() <= 1 + 1e-9 and len(u) == len(p)
+
+
+def test_sharding_goes_on_after_a_round_of_few_moves(spark):
+    from pagequery.llm import sharding as m
+    from pagequery.llm.shared import cut
+
+    # Group y leaves shard 1, which then has room for the rest of x.
+    cells = [("a", 0, 5000), ("b", 1, 9769), ("y", 0, 21), ("y", 1, 20), ("x", 0, 5), ("x", 1, 20)]
+    frame = cut(spark.createDataFrame(cells, "h string, shard int, n long"), "cells")
+    got = {(r["h"], r["shard"]): r["n"] for r in m._propagate(frame, 2, np.array([20000, 10000]), m.ROUNDS).collect()}
+    assert got == {("a", 0): 5000, ("b", 1): 9769, ("y", 0): 41, ("x", 1): 25}
