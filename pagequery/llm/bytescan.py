@@ -71,8 +71,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return p[:n], q[:n]
 
 
-def slices(ids: pa.Array, texts: pa.Array, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row ids, bytes and offsets (one more than rows, from 0) of consecutive rows; null counts as empty."""
+def slices(ids: pa.Array, texts: pa.Array, size: int = SLICE) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Row ids (as they are, nulls too), bytes and offsets (one more than rows, from 0) of consecutive rows; null texts count as empty."""
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -81,11 +81,10 @@ def slices(ids: pa.Array, texts: pa.Array, size: int = SLICE) -> Iterator[tuple[
         return
     offs = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    ids = ids.to_numpy(zero_copy_only=False)
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
-        yield ids[at:end], data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
+        yield ids.slice(at, end - at), data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
 
 

@@ -8,8 +8,13 @@ cost only, since any order that depends on the token alone gives the same links.
 
 Documents with the same set are one class from the start. Candidates then come in two rounds. In the first, each
 token's documents are compared with a few of them (linear in the list). In the second, pairs of a token's documents are made only where
-they lie in different components by then, so for components a group of thousands of near copies never becomes all its
-pairs. Where links are counted, the second round makes all pairs, since each is a link that counts; and tokens with long lists are left out wherever the other tokens must show matches too. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
+they lie in different components by then, so a group of thousands of near copies never becomes all its
+pairs; and tokens with long lists are left out wherever the other tokens must show matches too. Candidates pass a bound on the symmetric difference from parity signatures, and then an exact comparison of the whole sets.
+
+The links of a class all lie in its component. They are counted there in blocks of bounded size: each pair of a component's blocks goes to a task, which counts
+what the sets share in matrices and returns a number a class. No pair becomes a row; a component of one block, as most are, travels once.
+
+Shingles are compared as 64-bit hashes, and sets count as equal when their sizes and two 64-bit sums over the hashes are.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .bytescan import LOWER, SPACED, grams, mix, slices, words
 from .components import components
-from .shared import SEND, cut, forget, without
+from .shared import SEND, cut, forget, unique_ids, without
 
 #: Largest number of matches that a document may demand.
 MOST = 5
@@ -37,6 +42,11 @@ FREE = 5
 STARS = 3
 #: Entries above which a token is heavy in the second round.
 HEAVY = 6
+#: Classes and shingles of a block in which links are counted, on average.
+BLOCK = 2048
+SHINGLES = 1 << 20
+#: Classes that share a token, up to which their pairs are counted one by one; others by a product of matrices.
+FEW = 16
 #: Buckets of the frequency sketch (a power of two); 4 bytes each in a counting task, 1 byte in a reading one.
 BUCKETS = 1 << 22
 
@@ -144,7 +154,7 @@ def _rows_kernel(sent, k: int, num: int, den: int):
                     odd = np.bincount((spread & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     out.append((*key, m, base, u[order[: base + m - 1]].view(np.int64), np.packbits(odd.astype(np.uint8)).tobytes()))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 7
-                arrays = [pa.array(ids, pa.int64(), from_pandas=True), *(pa.array(c, f.type) for c, f in zip(cols, list(_ROW)[1:], strict=True))]
+                arrays = [ids, *(pa.array(c, f.type) for c, f in zip(cols, list(_ROW)[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_ROW)
 
     return run
@@ -197,15 +207,26 @@ def _verify_text(k: int, num: int, den: int):
 def jaccard_components(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
 ) -> DataFrame:
-    """One row per document: id, ``n_shingles`` (long), ``component_id`` (smallest id reachable over links, its own included) and ``n_links``
-    (links of its class of equal sets with other classes, all of them). Without ``count_links`` there is no ``n_links``, and pairs that lie in one component already aren't checked.
+    """One row per document: id, ``n_shingles`` (long), ``component_id`` (smallest id reachable over links, its own included) and, with ``count_links``, ``n_links``
+    (links of its class of equal sets with other classes, all of them).
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets of ``k``-word shingles. Null and empty texts and those without words have no
-    shingles and link with nothing, not even with each other; a text of fewer than ``k`` words is one shingle. Ids must be unique and not null. An
-    empty table gives no rows. Other columns are ignored.
+    shingles and link with nothing, not even with each other; a text of fewer than ``k`` words is one shingle. Rows that repeat, or share an id, are documents of their own and each get
+    their result; a document with a null id has the smallest id of its group that isn't null, or null. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    slim, own = unique_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")))
+    out = _components(slim, k, num, den, count_links)
+    if own is not None:
+        out = cut(out.join(own, "id"), "numbered")
+        least = out.groupBy("component_id").agg(F.min("own").alias("least"))
+        rest = [c for c in out.columns if c not in ("id", "own", "component_id", "n_shingles")]
+        out = out.join(least, "component_id").select(F.col("own").alias("id"), "n_shingles", F.col("least").alias("component_id"), *rest)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _components(slim: DataFrame, k: int, num: int, den: int, count_links: bool) -> DataFrame:
+    """``jaccard_components`` for rows (id, t) with ids that are unique and not null."""
+    spark = slim.sparkSession
     sent = spark.sparkContext.broadcast(_sketch(slim, k).tobytes())
     sets = cut(slim.mapInArrow(_rows_kernel(sent, k, num, den), "id long, n int, h1 long, h2 long, m int, base int, tokens array<long>, sig binary"), "sets")
     # Classes of equal sets; the representative is one of those that sent tokens.
@@ -234,14 +255,13 @@ def jaccard_components(
     comp = cut(components(links), "comp")
 
     rows = tokens.select("token", "id", "meta").join(comp, "id", "left").select("token", "id", "meta", F.coalesce("root", "id").alias("c"))
-    if not count_links:
-        rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi").select("token", "id", "meta", "c")
+    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi").select("token", "id", "meta", "c")
     rows = rows.withColumn("heavy", F.count(F.lit(1)).over(over) > HEAVY)
     rows = cut(rows, "apart")
     crowd = rows.where("heavy").groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     rows = cut(rows.join(crowd, "id", "left").withColumn("d", F.coalesce("d", F.lit(0))), "rows")
     other = rows.select("token", *[F.col(x).alias(x + "2") for x in ("id", "meta", "c", "d")])
-    apart = "id < id2" if count_links else "c <> c2 and id < id2"
+    apart = "c <> c2 and id < id2"
     # Pairs with more matches to show than heavy tokens show them in the light ones; their lists are short.
     light = _candidates(rows.where("not heavy").join(other, "token").where(apart), num, den, None)
     dense = _candidates(rows.where("d > 0").join(other.where("d2 > 0"), "token").where(apart), num, den, "c >= m", heavy=True)
@@ -257,16 +277,108 @@ def jaccard_components(
 
     lows = labels.where("id = rep").select("rep", "low").join(found.withColumnRenamed("id", "rep"), "rep")
     lowest = lows.groupBy("root").agg(F.min("low").alias("component"))
-    if not count_links:
-        by_rep = lows.join(lowest, "root").select("rep", "component")
-        return labels.join(by_rep, "rep", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"))
-    ends = links.unionByName(more)
-    degree = ends.select(F.col("a").alias("rep")).unionByName(ends.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    by_rep = lows.join(lowest, "root").join(degree, "rep", "left").select("rep", "component", "n_links")
-    return labels.join(by_rep, "rep", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    by_rep = lows.join(lowest, "root").select("rep", "component")
+    columns = ["id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id")]
+    if count_links:
+        by_rep = by_rep.join(_degrees(found, labels, slim, k, num, den), "rep", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return labels.join(by_rep, "rep", "left").select(*columns)
+
+
+def link_counts(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of different classes: how many of ``b`` each of ``a`` links with, and the other way round; without ``b``, among themselves."""
+    every = a if b is None else [*a, *b]
+    n = np.array([len(x) for x in every])
+    across = np.arange(len(a)) if b is None else len(a) + np.arange(len(b))
+    token, owner = np.concatenate(every), np.repeat(np.arange(len(every)), n)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    times = np.diff(np.append(first, len(token)))
+    width = len(across)
+    shared = np.zeros((len(a), width), dtype=np.int32)
+    codes: list[np.ndarray] = []
+
+    def tally() -> None:
+        nonlocal shared
+        if codes:
+            shared += np.bincount(np.concatenate(codes), minlength=shared.size).astype(np.int32).reshape(shared.shape)
+            codes.clear()
+
+    for d in range(2, FEW + 1):
+        at = first[times == d]
+        for part in range(0, len(at), 1 << 16):
+            rows = owner[at[part : part + (1 << 16), None] + np.arange(d)]
+            for i in range(d):
+                for j in range(d):
+                    x, y = rows[:, i], rows[:, j]
+                    if i != j and b is None:
+                        codes.append(x * width + y)
+                    elif i < j:  # owners are in order, those of ``b`` last
+                        ok = (x < len(a)) & (y >= len(a))
+                        codes.append(x[ok] * width + y[ok] - len(a))
+            if sum(map(len, codes)) > 4_000_000:
+                tally()
+    tally()
+    often = np.flatnonzero(times > FEW)
+    for part in range(0, len(often), 1024):
+        some = often[part : part + 1024]
+        at = np.repeat(first[some] - (np.cumsum(times[some]) - times[some]), times[some]) + np.arange(times[some].sum())
+        has = np.zeros((len(every), len(some)), dtype=np.float32)
+        has[owner[at], np.repeat(np.arange(len(some)), times[some])] = 1
+        shared += (has[: len(a)] @ has[across].T).astype(np.int32)
+    # den * shared >= num * (total - shared)
+    link = np.empty(shared.shape, dtype=bool)
+    for i in range(len(a)):
+        link[i] = (num + den) * shared[i].astype(np.int64) >= num * (n[i] + n[across])
+    if b is None:
+        np.fill_diagonal(link, False)
+    return link.sum(axis=1), link.sum(axis=0)
+
+
+def _degrees(found: DataFrame, labels: DataFrame, slim: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of each class that has any: ``rep``, ``n_links``."""
+    members = cut(labels.where("id = rep").select("id", "n").join(found, "id"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    per = cut(members.groupBy("root").agg(blocks.alias("blocks")), "blocks")
+    few = members.count() <= SEND
+    members = members.join(F.broadcast(per) if few else per, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = slim.join(F.broadcast(members) if few else members, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["root", "lo", "hi"]
+    texts = texts.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "t")
+    dealt = texts.repartition(*key).sortWithinPartitions(*key, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        now: tuple | None = None
+
+        def count() -> pa.RecordBatch:
+            if now[1] == now[2]:
+                ids, links = held[0], link_counts(held[1], None, num, den)[0]
+            elif held[0] and held[2]:
+                ids, links = held[0] + held[2], np.concatenate(link_counts(held[1], held[3], num, den))
+            else:
+                ids, links = [], np.zeros(0)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], names=["rep", "n"])
+            for x in held:
+                x.clear()
+            return out
+
+        for batch in batches:
+            for root, lo, hi, i, block, text in zip(*batch.columns, strict=True):
+                at = (root.as_py(), lo.as_py(), hi.as_py())
+                if at != now:
+                    if now is not None:
+                        yield count()
+                    now = at
+                data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
+                side = 2 if block.as_py() != at[1] else 0
+                held[side].append(i.as_py())
+                held[side + 1].append(np.unique(shingles(data, np.array([0, len(data)]), k)[0]))
+        if now is not None:
+            yield count()
+
+    return dealt.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
 def _candidates(pairs: DataFrame, num: int, den: int, enough: str | None, heavy: bool = False) -> DataFrame:

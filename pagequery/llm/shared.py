@@ -74,3 +74,13 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """Rows of ``docs`` whose id isn't among ``ids`` (one column); rows with a null id stay."""
     ids = cut(ids.toDF(id_col), "without")
     return docs.join(F.broadcast(ids) if ids.count() <= SEND else ids, id_col, "left_anti").select(*docs.columns)
+
+
+def unique_ids(slim: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``slim`` (``id``, ``t``) under ids that tell them apart. These are their own, unless some repeat or are null: then the rows are numbered once, in a table
+    in the shared folder, and its numbers (``id``) with the ids they stand for (``own``) come second."""
+    odd = slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    if odd.isEmpty():
+        return slim, None
+    rows = cut(slim.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("own"), "t"), "numbered")
+    return rows.select("id", "t"), rows.select("id", "own")
