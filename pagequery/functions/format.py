@@ -81,6 +81,13 @@ def word_count(n: Column) -> Column:
     return F.when(n.isNull() | (n <= 0), F.lit("")).when(n > 10000, F.concat(text, F.lit("万字"))).otherwise(F.concat(n.cast("string"), F.lit("字")))
 
 
+def word_count_of(text: Column) -> Column:
+    """The same for a text: what isn't a whole number stays, a blank is empty."""
+    n = F.trim(text).try_cast("bigint")
+    whole = F.trim(text).rlike(r"^[+-]?\d+$") & n.isNotNull()
+    return F.when(text.isNull() | (F.trim(text) == ""), F.lit("")).when(whole, word_count(n)).otherwise(text)
+
+
 def word_count_text(value: str | None) -> str:
     """The same for a text; what isn't a whole number stays."""
     if value is None or not value.strip():

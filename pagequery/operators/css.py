@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from ..functions.java_regex import compile_java
-from .html_tree import Node, index_of
+from .html_tree import Node
 from .text import own_text, text
 
 Test = Callable[[Node, Node], bool]
@@ -139,8 +139,7 @@ class _Parser:
             if not re.fullmatch(r"\s*-?\d+\s*", arg):
                 raise SelectorError(f":{name} needs a number")
             k = int(arg)
-            place = lambda n: index_of(n.siblings(), n)
-            return {"lt": lambda n, r: place(n) < k, "gt": lambda n, r: place(n) > k, "eq": lambda n, r: place(n) == k}[name]
+            return {"lt": lambda n, r: n.place() < k, "gt": lambda n, r: n.place() > k, "eq": lambda n, r: n.place() == k}[name]
         elif name in ("nth-child", "nth-of-type", "nth-last-of-type"):
             a, b = _step(arg)
             return lambda n, r: _nth(n, name, a, b)
@@ -189,14 +188,24 @@ def _combined(c: str, left: Test, right: Test) -> Test:
         def test(n: Node, root: Node) -> bool:
             if n is root or not right(n, root):
                 return False
-            before = n.siblings()[: index_of(n.siblings(), n)]
-            return any(left(b, root) for b in (before[-1:] if c == "+" else before))
+            kids, at = n.siblings(), n.place()
+            if c == "+":
+                return at > 0 and left(kids[at - 1], root)
+            # The first sibling that the left part takes is looked for once for all of them.
+            key = (id(kids), id(root), id(left))
+            if key not in _FIRST:
+                _FIRST[key] = next((i for i, k in enumerate(kids) if left(k, root)), len(kids))
+            return _FIRST[key] < at
 
     return test
 
 
+#: During one selection, by list of siblings, root and left part: the first sibling taken.
+_FIRST: dict[tuple[int, int, int], int] = {}
+
+
 def _first(n: Node) -> bool:
-    return n.parent is not None and n.siblings()[0] is n
+    return n.parent is not None and n.place() == 0
 
 
 def _last(n: Node) -> bool:
@@ -239,10 +248,9 @@ def _step(arg: str) -> tuple[int, int]:
 def _nth(n: Node, name: str, a: int, b: int) -> bool:
     if n.parent is None:
         return False
-    same = [s for s in n.siblings() if name == "nth-child" or s.tag == n.tag]
-    k = index_of(same, n) + 1
-    if name == "nth-last-of-type":
-        k = len(same) - k + 1
+    _, places, tags = n.parent.order()
+    at, same = places[id(n)]
+    k = {"nth-child": at + 1, "nth-of-type": same + 1, "nth-last-of-type": tags[n.tag] - same}[name]
     return k == b if a == 0 else (k - b) * a >= 0 and (k - b) % a == 0
 
 
@@ -281,4 +289,5 @@ def compile_selector(source: str) -> Test:
 def select(root: Node, source: str) -> list[Node]:
     """Elements below ``root``, and itself, that match, in document order."""
     test = compile_selector(source)
+    _FIRST.clear()
     return [n for n in root.descendants() if test(n, root)]

@@ -52,8 +52,9 @@ class MapContent(dict):
 class Content:
     """A document with its parsed forms, each made when first needed."""
 
-    def __init__(self, value: Any):
+    def __init__(self, value: Any, shared: bool = False):
         self.value = value
+        self.shared = shared  # no rule changes the tree, so that one serves all kinds of rules
         self._tree: Node | None = None
         self._xtree: Node | None = None
         self._json: Any = None
@@ -66,7 +67,11 @@ class Content:
 
     def xtree(self) -> Node:
         if self._xtree is None:
-            self._xtree = self.value if isinstance(self.value, Node) else xpath.document(value_string(self.value))
+            if isinstance(self.value, Node):
+                self._xtree = self.value
+            else:
+                text = value_string(self.value)
+                self._xtree = self.tree() if self.shared and xpath.is_whole(text) else xpath.document(text)
         return self._xtree
 
     def json(self) -> Any:

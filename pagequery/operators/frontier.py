@@ -1,6 +1,7 @@
 """Following next pages: a breadth-first walk over recorded responses, and the reassembly of what the pages hold.
 
-A step joins the frontier with the responses and drops what was visited. The state is the visited table; each round is cut off, so plans stay small.
+A step joins the frontier with the responses and drops what was visited. The state is the visited table; each round is written to the shared folder, so plans stay small and a lost
+executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -11,41 +12,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.folder import drop, hold
+
 #: Rounds after which what was found is held as one table again.
 FOLD = 32
 
 
-def _hold(df: DataFrame) -> DataFrame:
-    """``df`` computed and cut off from its plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
-
-
 def follow(start: DataFrame, responses: DataFrame, read: Callable[[DataFrame], DataFrame], key: str = "book_url") -> DataFrame:
     """Pages reached from ``start`` (key, url), each once per key, with their number ``page``.
 
     ``read`` takes pages (key, url, page, body) and returns them with ``next_urls``; a page that has no response ends its branch with
     ``_error`` ``snapshot_miss``. Chains end where a url was visited before, however long they are.
     """
-    frontier = start.select(key, "url").distinct().withColumn("page", F.lit(0))
-    frontier = frontier.withColumn("path", F.array(F.lit(0)))
-    visited: DataFrame | None = None
-    pages: DataFrame | None = None
-    rounds = 0
+    frontier = hold(start.select(key, "url").distinct().withColumn("page", F.lit(0)).withColumn("path", F.array(F.lit(0))), "frontier")
+    slim = responses.select("url", "body")
+    rounds: list[DataFrame] = []
+    frontiers: list[DataFrame] = []
     while True:
-        met = frontier.join(responses.select("url", "body"), "url", "left")
-        got = _hold(read(met).withColumn("_error", F.when(F.col("body").isNull(), F.lit("snapshot_miss"))))
-        pages = got if pages is None else pages.unionByName(got)
-        seen = frontier.select(key, "url")
-        visited = seen if visited is None else visited.unionByName(seen)
-        grown = got.select(key, "page", "path", F.posexplode("next_urls").alias("k", "url")).where("url is not null and url <> ''")
+        met = frontier.join(slim, "url", "left")
+        got = hold(read(met).withColumn("_error", F.when(F.col("body").isNull(), F.lit("snapshot_miss"))), "pages")
+        rounds.append(got)
+        frontiers.append(frontier)
+        grown = got.select(key, "page", "path", F.posexplode_outer("next_urls").alias("k", "url")).where("url is not null and url <> ''")
         grown = grown.select(key, "url", (F.col("page") + 1).alias("page"), F.concat("path", F.array("k")).alias("path"))
-        grown = grown.withColumn("r", F.row_number().over(Window.partitionBy(key, "url").orderBy("path"))).where("r = 1").drop("r")
-        rounds += 1
-        if rounds % FOLD == 0:
-            pages, visited = (_hold(x.repartition(key, "url")) for x in (pages, visited))
-        frontier = _hold(grown.join(visited, [key, "url"], "left_anti"))
+        grown = grown.groupBy(key, "url").agg(F.min(F.struct("path", "page")).alias("x")).select(key, "url", "x.page", "x.path")
+        frontier = hold(grown.join(_union([f.select(key, "url") for f in frontiers]), [key, "url"], "left_anti"), "frontier")
         if frontier.isEmpty():
-            return pages
+            return _union(rounds)
+        if len(rounds) == FOLD:
+            rounds, frontiers = [_folded(rounds, "pages")], [_folded(frontiers, "visited")]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _folded(frames: list[DataFrame], name: str) -> DataFrame:
+    """Several tables as one; the several are deleted."""
+    out = hold(_union(frames), name)
+    for f in frames:
+        drop(f)
+    return out
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -30,19 +30,26 @@ _SCOPE = frozenset("applet caption html table td th marquee object template".spl
 _SPECIAL = _SCOPE | _CLOSES_P | BLOCK - frozenset("ins del video audio canvas svg math".split()) | frozenset("button li option optgroup select tbody tfoot thead tr iframe input img br".split())
 _IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 
-_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|$)|(!doctype[^>]*)>|([!?][^>]*)>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'](?![^>]*["']))*)>)""", re.S | re.I)
-_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG_NAME = re.compile(r"[^ \t\n\f\r/>]+")
+_BEFORE_NAME = re.compile(r"[ \t\n\f\r/]*")
+_NAME = re.compile(r"=?[^ \t\n\f\r/>=]*")
+_SPACES = re.compile(r"[ \t\n\f\r]*")
+_UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\f\r/>])|\Z", re.I) for t in RAW | TEXT_ONLY}
 
 
 class Node:
     """An element, or with a tag that starts with ``#`` a text, data or comment node or the document."""
 
-    __slots__ = ("attrs", "children", "parent", "tag", "text")
+    __slots__ = ("_order", "attrs", "children", "parent", "tag", "text")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, text: str = ""):
         self.tag, self.attrs, self.text = tag, attrs or {}, text
         self.children: list[Node] = []
         self.parent: Node | None = None
+        self._order: tuple | None = None
 
     @property
     def is_element(self) -> bool:
@@ -53,6 +60,7 @@ class Node:
             child.detach()
         child.parent = self
         self.children.append(child)
+        self._order = None
         return child
 
     def insert_before(self, child: Node, ref: Node) -> None:
@@ -60,10 +68,12 @@ class Node:
             child.detach()
         child.parent = self
         self.children.insert(index_of(self.children, ref), child)
+        self._order = None
 
     def detach(self) -> None:
         if self.parent is not None:
             del self.parent.children[index_of(self.parent.children, self)]
+            self.parent._order = None
             self.parent = None
 
     def elements(self) -> list[Node]:
@@ -88,7 +98,23 @@ class Node:
             n = n.parent
 
     def siblings(self) -> list[Node]:
-        return self.parent.elements() if self.parent is not None else [self]
+        """The parent's elements; not to be changed."""
+        return self.parent.order()[0] if self.parent is not None else [self]
+
+    def order(self) -> tuple[list[Node], dict[int, tuple[int, int]], dict[str, int]]:
+        """Elements among the children; by their identity the place among them and among those of the same tag; number of each tag. Made once, until the children change."""
+        if self._order is None:
+            kids, places, tags = self.elements(), {}, {}
+            for i, c in enumerate(kids):
+                k = tags.get(c.tag, 0)
+                tags[c.tag] = k + 1
+                places[id(c)] = (i, k)
+            self._order = (kids, places, tags)
+        return self._order
+
+    def place(self) -> int:
+        """Place among the parent's elements."""
+        return self.parent.order()[1][id(self)][0] if self.parent is not None else 0
 
     def attr(self, name: str) -> str:
         return self.attrs.get(name.lower(), "")
@@ -98,70 +124,173 @@ class Node:
 
 
 def index_of(nodes: list[Node], node: Node) -> int:
-    for i, n in enumerate(nodes):
-        if n is node:
+    """Place of a node, looked for from the end, where changes are made mostly."""
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i] is node:
             return i
     raise ValueError("not a child")
 
 
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag from the end of its name on, and the place after the tag; -1 if the text ends in it. Each character is looked at once."""
+    attrs: dict[str, str] = {}
+    n = len(source)
+    while True:
+        at = _BEFORE_NAME.match(source, at).end()
+        if at >= n:
+            return attrs, -1
+        if source[at] == ">":
+            return attrs, at + 1
+        m = _NAME.match(source, at)
+        name, at = m[0].lower(), m.end()
+        at = _SPACES.match(source, at).end()
+        value = ""
+        if source.startswith("=", at):
+            at = _SPACES.match(source, at + 1).end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return attrs, -1
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(source, at)
+                value, at = m[0], m.end()
+        if name not in attrs:
+            attrs[name] = _html.unescape(value) if "&" in value else value
+
+
 def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """Start tags, end tags, texts, comments and doctypes in order."""
+    """Start tags, end tags, texts, comments and doctypes in order, in one pass. What stands in a tag that the text ends in is lost, as the standard has it."""
     at, n = 0, len(source)
     while at < n:
-        lt = source.find("<", at)
-        if lt < 0:
-            yield "text", _html.unescape(source[at:]), {}
-            return
-        m = _TAG.match(source, lt)
-        if m is None:
-            # A stray `<` is text.
-            end = source.find("<", lt + 1)
-            end = n if end < 0 else end
-            yield "text", _html.unescape(source[at:end]), {}
-            at = end
-            continue
+        m = _MARKUP.search(source, at)
+        lt = m.start() if m else n
+        if lt == n - 2 and source[n - 1] == "/":
+            lt = n  # `</` at the end is text
         if lt > at:
             yield "text", _html.unescape(source[at:lt]), {}
-        at = m.end()
-        comment, doctype, bogus, close, name, rest = m.groups()
-        if name is not None:
-            name = name.lower()
-            attrs: dict[str, str] = {}
-            if rest.strip("/ \t\n\r\f"):
-                for a in _ATTR.finditer(rest):
-                    value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] if a[4] is not None else ""
-                    attrs.setdefault(a[1].lower(), _html.unescape(value))
+        if lt == n:
+            return
+        c = source[lt + 1]
+        if c.isalpha():
+            m = _TAG_NAME.match(source, lt + 1)
+            name = m[0].lower()
+            attrs, at = _attributes(source, m.end())
+            if at < 0:
+                return
             yield "start", name, attrs
-            if name in RAW or name in TEXT_ONLY:
-                end = re.compile(rf"</{name}(?=[\s/>])|\Z", re.I).search(source, at)
-                if end.start() > at:
-                    body = source[at : end.start()]
+            if name in _RAW_END:
+                end = _RAW_END[name].search(source, at).start()
+                if end > at:
+                    body = source[at:end]
                     yield ("data", body, {}) if name in RAW else ("text", _html.unescape(body), {})
-                gt = source.find(">", end.start())
+                gt = source.find(">", end)
                 at = n if gt < 0 else gt + 1
                 yield "end", name, {}
-        elif close is not None:
-            yield "end", close.lower(), {}
-        elif doctype is not None:
-            yield "doctype", doctype, {}
+        elif c == "/" and source[lt + 2].isascii() and source[lt + 2].isalpha():
+            m = _TAG_NAME.match(source, lt + 2)
+            at = _attributes(source, m.end())[1]
+            if at < 0:
+                return
+            yield "end", m[0].lower(), {}
+        elif source.startswith("</>", lt):
+            at = lt + 3
+        elif source.startswith("<!--", lt):
+            if source.startswith((">", "->"), lt + 4):
+                at = source.index(">", lt) + 1
+                yield "comment", "", {}
+                continue
+            m = _COMMENT_END.search(source, lt + 4)
+            yield "comment", source[lt + 4 : m.start() if m else n], {}
+            at = m.end() if m else n
         else:
-            yield "comment", comment if comment is not None else bogus, {}
+            gt = source.find(">", lt)
+            gt = n if gt < 0 else gt
+            body = source[lt + 1 : gt] if c != "/" else source[lt + 2 : gt]
+            if body[:8].lower() == "!doctype":
+                yield "doctype", body, {}
+            else:
+                yield "comment", body, {}
+            at = gt + 1
+
+
+class _Open(list):
+    """The stack of open elements, which knows without a search what is in it."""
+
+    def __init__(self, nodes: list[Node] = ()):  # type: ignore[assignment]
+        super().__init__(nodes)
+        self.tags: dict[str, int] = {}
+        self.ids: set[int] = set()
+        for n in nodes:
+            self._in(n)
+
+    def _in(self, n: Node) -> None:
+        self.tags[n.tag] = self.tags.get(n.tag, 0) + 1
+        self.ids.add(id(n))
+
+    def _out(self, n: Node) -> None:
+        self.tags[n.tag] -= 1
+        self.ids.discard(id(n))
+
+    def has(self, tag: str) -> bool:
+        return self.tags.get(tag, 0) > 0
+
+    def holds(self, n: Node) -> bool:
+        return id(n) in self.ids
+
+    def append(self, n: Node) -> None:
+        super().append(n)
+        self._in(n)
+
+    def pop(self) -> Node:  # type: ignore[override]
+        n = super().pop()
+        self._out(n)
+        return n
+
+    def insert(self, i: int, n: Node) -> None:  # type: ignore[override]
+        super().insert(i, n)
+        self._in(n)
+
+    def __delitem__(self, i) -> None:
+        for n in self[i] if isinstance(i, slice) else [self[i]]:
+            self._out(n)
+        super().__delitem__(i)
+
+    def __setitem__(self, i: int, n: Node) -> None:  # type: ignore[override]
+        self._out(self[i])
+        super().__setitem__(i, n)
+        self._in(n)
+
+    def at(self, n: Node) -> int | None:
+        """Place of a node, from the top."""
+        return index_of(self, n) if self.holds(n) else None
 
 
 class _Builder:
     def __init__(self):
         self.doc = Node("#document")
         self.html = self.head = self.body = None
-        self.open: list[Node] = []
+        self._open = _Open()
         self.active: list[Node | None] = []  # None is a marker
         self.form: Node | None = None
 
     # --- stack helpers
+    @property
+    def open(self) -> _Open:
+        return self._open
+
+    @open.setter
+    def open(self, nodes: list[Node]) -> None:
+        self._open = nodes if isinstance(nodes, _Open) else _Open(nodes)
+
     @property
     def current(self) -> Node:
         return self.open[-1] if self.open else self.doc
 
     def in_scope(self, tag: str, extra: frozenset = frozenset()) -> bool:
+        if not self.open.has(tag):
+            return False
         for n in reversed(self.open):
             if n.tag == tag:
                 return True
@@ -247,14 +376,14 @@ class _Builder:
             parent.insert_before(Node("#text", text=value), before)
 
     def frameset(self) -> bool:
-        return any(n.tag == "frameset" for n in self.open)
+        return self.open.has("frameset")
 
     # --- formatting elements
     def reconstruct(self) -> None:
-        if not self.active or self.active[-1] is None or any(self.active[-1] is n for n in self.open):
+        if not self.active or self.active[-1] is None or self.open.holds(self.active[-1]):
             return
         i = len(self.active) - 1
-        while i and self.active[i - 1] is not None and not any(self.active[i - 1] is n for n in self.open):
+        while i and self.active[i - 1] is not None and not self.open.holds(self.active[i - 1]):
             i -= 1
         for j in range(i, len(self.active)):
             old = self.active[j]
@@ -276,7 +405,7 @@ class _Builder:
             if element is None:
                 self.any_end(tag)
                 return
-            depth = next((i for i, n in enumerate(self.open) if n is element), None)
+            depth = self.open.at(element)
             if depth is None:
                 del self.active[where]
                 return
@@ -310,7 +439,8 @@ class _Builder:
                     bookmark = known + 1
                 copy.append(last)
                 last = copy
-            self.open, keep = [*self.open[: next(k for k, n in enumerate(self.open) if n is above) + 1]], self.open
+            keep = self.open
+            self.open = list(keep[: keep.at(above) + 1])
             if above.tag in ("table", "tbody", "tfoot", "thead", "tr"):
                 last.detach() if last.parent else None
                 self.put(last)
@@ -318,16 +448,19 @@ class _Builder:
                 above.append(last)
             self.open = keep
             copy = Node(element.tag, dict(element.attrs))
-            for child in list(furthest.children):
-                copy.append(child)
+            copy.children, furthest.children, furthest._order = furthest.children, [], None
+            for child in copy.children:
+                child.parent = copy
             furthest.append(copy)
             gone = next(k for k, a in enumerate(self.active) if a is element)
             del self.active[gone]
             self.active.insert(bookmark - (gone < bookmark), copy)
-            del self.open[next(k for k, n in enumerate(self.open) if n is element)]
-            self.open.insert(next(k for k, n in enumerate(self.open) if n is furthest) + 1, copy)
+            del self.open[self.open.at(element)]
+            self.open.insert(self.open.at(furthest) + 1, copy)
 
     def any_end(self, tag: str) -> None:
+        if not self.open.has(tag):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -440,14 +573,14 @@ class _Builder:
             self.open.pop()
 
     def table_start(self, tag: str, attrs: dict[str, str]) -> bool:
-        if not self.in_scope("table") and not any(n.tag == "table" for n in self.open):
+        if not self.open.has("table"):
             # Table parts outside a table are dropped.
             return tag in ("caption", "col", "colgroup", "tbody", "td", "tfoot", "th", "thead", "tr")
         inside = self.in_cell()
         if tag in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"):
             if inside and self.in_scope(inside):
                 self.close_cell(inside)
-            if any(n.tag == "caption" for n in self.open) and self.in_scope("caption"):
+            if self.in_scope("caption"):
                 self.pop_to("caption")
                 self.clear_active()
             if tag in ("td", "th"):
@@ -489,8 +622,8 @@ class _Builder:
         return False
 
     def since_table(self) -> list[Node]:
-        i = max((k for k, n in enumerate(self.open) if n.tag == "table"), default=0)
-        return self.open[i:]
+        i = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == "table"), 0) if self.open.has("table") else 0
+        return list(self.open[i:])
 
     def in_cell(self) -> str:
         return next((n.tag for n in reversed(self.since_table()) if n.tag in ("td", "th")), "")
@@ -519,7 +652,7 @@ class _Builder:
             self.close_p()
             return
         if self.body is None:
-            if self.open and any(n.tag == tag for n in self.open[2:]):
+            if self.open.has(tag) and any(n.tag == tag for n in self.open[2:]):
                 self.pop_to(tag)
             return
         if tag in FORMATTING:
@@ -534,11 +667,11 @@ class _Builder:
                 self.close_cell(tag)
         elif tag == "form":
             node, self.form = self.form, None
-            if node is not None and any(n is node for n in self.open):
+            if node is not None and self.open.holds(node):
                 self.implied()
                 self.open = [n for n in self.open if n is not node]
         elif tag in ("table", "caption", "tbody", "thead", "tfoot", "tr"):
-            if any(n.tag == tag for n in self.since_table()) or tag == "table" and any(n.tag == "table" for n in self.open):
+            if self.open.has(tag) and (tag == "table" or any(n.tag == tag for n in self.since_table())):
                 cell = self.in_cell()
                 if cell:
                     self.close_cell(cell)

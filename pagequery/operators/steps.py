@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.format import clean_author, clean_name, format_html, title_line, word_count_text
+from ..functions.format import clean_author, clean_name, format_html, title_line, word_count_of
 from ..plans.rule_plan import compile_rule
 from ..plans.scripts import ScriptRegistry
 from .frontier import follow, join_pages, keep_first, normalise_entries
-from .kernel import TEXT, TEXTS, URL, URLS, Spec, page_column, rule_field
+from .kernel import TEXT, TEXTS, URL, URLS, Spec, items_of, page_column, rule_field, spread, with_page
 
 #: Result fields of a list item by the name of their rule, in the order in which they are evaluated.
 ITEM_FIELDS = (("name", TEXT), ("author", TEXT), ("kind", TEXTS), ("wordCount", TEXT), ("lastChapter", TEXT), ("intro", TEXT), ("coverUrl", URL), ("bookUrl", URL))
@@ -29,23 +29,22 @@ def _shaped(df: DataFrame, names: tuple) -> DataFrame:
         c = _COLUMNS[n]
         if c not in have:
             df = df.withColumn(c, F.lit(None).cast(kinds.get(c, "string")))
-    words = F.udf(word_count_text, "string") if "word_count" in have else None
     if "kind" in have:
         df = df.withColumn("kind", F.nullif(F.array_join("kind", ","), F.lit("")))
-    if words is not None:
-        df = df.withColumn("word_count", words("word_count"))
+    if "word_count" in have:
+        df = df.withColumn("word_count", word_count_of(F.col("word_count")))
     return df.withColumns({"name": clean_name(F.coalesce("name", F.lit(""))), "author": clean_author(F.coalesce("author", F.lit(""))), "intro": format_html(F.col("intro"), "")})
 
 
 def listing(pages: DataFrame, rules: dict, content: str = "body", url: str = "url", key: str = "page_id", scripts: ScriptRegistry | None = None, bindings: dict | None = None) -> DataFrame:
-    """Rows of the list step: items without a name are dropped, each url once (the first), in page order; a leading ``-`` of the list rule turns it round, a ``+`` is ignored."""
+    """Rows of the list step: items without a name are dropped, each url once (the first), in page order; a leading ``-`` of the list rule turns it round, a ``+`` is ignored.
+    A page whose rules fail has a row with ``_error`` and no ``pos``."""
     rule = (rules.get("bookList") or "").strip()
     reverse = rule.startswith("-")
     rule = rule[1:] if rule[:1] in ("-", "+") else rule
     spec = Spec((), compile_rule(rule, listing=True), _fields(rules, ITEM_FIELDS), tuple((bindings or {}).items()), scripts or ScriptRegistry())
-    rows = pages.withColumn("_p", page_column(spec, F.col(content), F.col(url)))
-    rows = rows.select(key, F.col(url).alias("page_url"), F.explode("_p._items").alias("_i")).select(key, "page_url", "_i.*")
-    rows = _shaped(rows, ITEM_FIELDS).where("name <> ''").withColumn("book_url", F.coalesce(F.nullif("book_url", F.lit("")), "page_url"))
+    rows = items_of(with_page(pages.withColumn("page_url", F.col(url)), spec, content, "page_url", [key, "page_url"]), [key, "page_url"])
+    rows = _shaped(rows, ITEM_FIELDS).where("name <> '' or _error is not null").withColumn("book_url", F.coalesce(F.nullif("book_url", F.lit("")), "page_url"))
     rows = keep_first(rows, [key, "book_url"], "pos")
     return rows.withColumn("pos", -F.col("pos")) if reverse else rows
 
@@ -55,10 +54,10 @@ def detail(pages: DataFrame, rules: dict, content: str = "body", url: str = "url
     fields = _fields(rules, DETAIL_FIELDS)
     init = (rules.get("init") or "").strip()
     spec = Spec((), compile_rule(init, listing=True), fields, (), scripts or ScriptRegistry()) if init else Spec(fields, scripts=scripts or ScriptRegistry())
-    rows = pages.withColumn("_p", page_column(spec, F.col(content), F.col(url)))
-    rows = rows.withColumn("_v", F.get("_p._items", F.lit(0))) if init else rows.withColumn("_v", F.col("_p"))
     kept = [c for c in pages.columns if c != content]
-    rows = rows.select(*kept, *[F.col(f"_v.`{f.name}`").alias(f.name) for f in fields], F.col("_p._error").alias("_error"))
+    rows = with_page(pages, spec, content, url, kept)
+    first = F.get("_items", F.lit(0)) if init else None
+    rows = rows.select(*kept, *[(first[f.name] if init else F.col(f"`{f.name}`")).alias(f.name) for f in fields], "_error")
     rows = _shaped(rows, DETAIL_FIELDS).withColumn("toc_url", F.coalesce(F.nullif("toc_url", F.lit("")), F.col(url)))
     return rows.where("name <> '' or _error is not null")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .html_tree import BLOCK, VOID, Node
+from .html_tree import BLOCK, VOID, Node, index_of
 
 _SPACES = " \t\n\f\r\xa0"
 _DROPPED = re.compile("[​­]")
@@ -45,24 +45,36 @@ def text(node: Node) -> str:
             out.append(value)
             last = value[-1]
 
-    def visit(n: Node) -> None:
+    def enter(n: Node) -> bool:
+        """What comes before a node's children; whether there are any to go to."""
         if n.tag == "#text":
             if _preserves(n.parent):
                 add(n.text)
             else:
                 value = fold(n.text)
                 add(value.lstrip(" ") if last == " " else value)
-            return
+            return False
         if not n.is_element and n.tag != "#document":
-            return
+            return False
         if out and (n.tag in BLOCK or n.tag == "br") and last != " ":
             add(" ")
-        for i, c in enumerate(n.children):
-            visit(c)
-            if c.is_element and c.tag in BLOCK and last != " " and i + 1 < len(n.children) and n.children[i + 1].tag == "#text":
-                add(" ")
+        return True
+
+    def leave(kids: list[Node], i: int) -> None:
+        c = kids[i]
+        if c.is_element and c.tag in BLOCK and last != " " and i + 1 < len(kids) and kids[i + 1].tag == "#text":
+            add(" ")
 
-    visit(node)
+    # Pages may be nested deeper than calls can be.
+    stack: list[tuple[list[Node], int]] = [([node], 0)] if node.is_element or node.tag in ("#text", "#document") else []
+    while stack:
+        kids, i = stack.pop()
+        if i and len(stack):
+            leave(kids, i - 1)
+        if i < len(kids):
+            stack.append((kids, i + 1))
+            if enter(kids[i]):
+                stack.append((kids[i].children, 0))
     return trim("".join(out))
 
 
@@ -103,14 +115,14 @@ def _escape_attr(value: str) -> str:
 def outer_html(node: Node) -> str:
     """Pretty-printed HTML of a node: blocks on lines of their own, indented by a space per level below the node."""
     out: list[str] = []
-    _write(node, 0, out)
+    _write(node, out)
     return "".join(out).strip("\n") if node.tag == "#document" else "".join(out)
 
 
 def inner_html(node: Node) -> str:
     out: list[str] = []
     for c in node.children:
-        _write(c, 0, out)
+        _write(c, out)
     return trim("".join(out))
 
 
@@ -118,59 +130,66 @@ def _as_block(n: Node | None) -> bool:
     return n is not None and (n.tag in BLOCK and n.tag not in _INLINE_CONTENT or n.tag == "#document")
 
 
-def _write(n: Node, depth: int, out: list[str]) -> None:
+def _write(node: Node, out: list[str]) -> None:
+    """A node and all below it, with a stack of its own: pages may be nested deeper than calls can be."""
+    stack: list[tuple[Node | None, list[Node], int, int]] = [(None, [node], 0, 0)]
+    while stack:
+        owner, kids, i, depth = stack.pop()
+        if i < len(kids):
+            stack.append((owner, kids, i + 1, depth))
+            n = kids[i]
+            if _begin(n, i if owner is not None else None, depth, out):
+                stack.append((n, n.children, 0, 0 if n.tag == "#document" else depth + 1))
+        elif owner is not None and owner.tag != "#document":
+            if owner.children and _as_block(owner) and not _preserves(owner) and any(c.is_element and c.tag in BLOCK or c.tag in ("#text", "#comment") for c in owner.children):
+                _line(depth - 1, out)
+            out.append(f"</{owner.tag}>")
+
+
+def _begin(n: Node, at: int | None, depth: int, out: list[str]) -> bool:
+    """What comes before a node's children; whether these, and an end, follow. ``at`` is its place where that is known."""
     parent = n.parent
     if n.tag == "#text":
         if _preserves(parent):
             out.append(_escape(n.text))
-            return
+            return False
         value = fold(n.text)
         first = parent is None or not parent.children or parent.children[0] is n
         last = parent is None or parent.children[-1] is n
         if _as_block(parent) or parent is not None and parent.tag in BLOCK:
             value = value.lstrip(" ") if first else value
             value = value.rstrip(" ") if last else value
-        if not value.strip(" ") and (first or last or _block_neighbour(n)):
-            return
+        if not value.strip(" ") and (first or last or _block_neighbour(n, at)):
+            return False
         if first and _as_block(parent) and out:
             _line(depth, out)
         out.append(_escape(value))
-        return
+        return False
     if n.tag == "#data":
         out.append(n.text)
-        return
+        return False
     if n.tag == "#comment":
         if _as_block(parent) and out:
             _line(depth, out)
         out.append(f"<!--{n.text}-->")
-        return
+        return False
     if n.tag == "#doctype":
         out.append("<!doctype html>")
-        return
+        return False
     if n.tag == "#document":
-        for c in n.children:
-            _write(c, 0, out)
-        return
+        return True
     block = n.tag in BLOCK or _as_block(parent)
     inline = n.tag not in BLOCK and parent is not None and parent.children and parent.children[0] is not n and n.tag != "br"
     if out and block and not inline and not _preserves(parent):
         _line(depth, out)
     attrs = "".join(f' {k}="{_escape_attr(v)}"' if v or k not in ("checked", "disabled", "selected", "hidden", "async", "defer") else f" {k}" for k, v in n.attrs.items())
     out.append(f"<{n.tag}{attrs}>")
-    if n.tag in VOID:
-        return
-    for c in n.children:
-        _write(c, depth + 1, out)
-    if n.children and _as_block(n) and not _preserves(n) and any(c.is_element and c.tag in BLOCK or c.tag in ("#text", "#comment") and _as_block(n) for c in n.children):
-        _line(depth, out)
-    out.append(f"</{n.tag}>")
-
+    return n.tag not in VOID
 
-def _block_neighbour(n: Node) -> bool:
-    from .html_tree import index_of
 
+def _block_neighbour(n: Node, at: int | None) -> bool:
     siblings = n.parent.children
-    i = index_of(siblings, n)
+    i = index_of(siblings, n) if at is None else at
     return siblings[i - 1].tag in BLOCK or siblings[i + 1].tag in BLOCK
 
 

@@ -437,6 +437,11 @@ def _filtered(found: list, predicates: tuple, c: _Context) -> list:
     return found
 
 
+def is_whole(html: str) -> bool:
+    """Whether ``document`` makes the plain parse of the text."""
+    return not html[:1].isspace() and not html[-1:].isspace() and not html.endswith(("</td>", "</tr>", "</tbody>"))
+
+
 def document(html: str) -> Node:
     """Document of a text; fragments of tables get the elements around them."""
     s = html.strip()

@@ -10,7 +10,7 @@ from ..functions import format as fmt
 from ..functions import scalars
 from ..operators.document import block_at, blocks
 from ..operators.frontier import keep_first, normalise_entries
-from ..operators.kernel import TEXTS, URLS, css_extract, extract, extract_list
+from ..operators.kernel import TEXTS, URLS, Css, extract, extract_list
 from ..sources import store
 from ..sources.records import host_of
 from .native import merge_zip, regex_rows, replace_all, replace_first
@@ -82,15 +82,14 @@ def dsl_merge(spark, sf_dir):
 
 @query(f"SELECT page_id, array_to_string({_NAV}, '|') AS css, array_to_string({_NAV}, '|') AS xpath, len({_NAV})::bigint AS n FROM (SELECT page_id, html FROM pages)")
 def css_xpath_agree(spark, sf_dir):
-    out = css_extract(_pages(spark, sf_dir), "nav > ul > li > a[href]", "attr:href", out="css")
-    out = extract(out, {"xpath": ("@XPath://nav//li/a/@href", TEXTS), "n": "@XPath:count(//nav//a)"})
+    out = extract(_pages(spark, sf_dir), {"css": Css("nav > ul > li > a[href]", "attr:href"), "xpath": ("@XPath://nav//li/a/@href", TEXTS), "n": "@XPath:count(//nav//a)"})
     return out.select("page_id", F.array_join("css", "|").alias("css"), F.array_join("xpath", "|").alias("xpath"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, {_NAV} AS h FROM pages) SELECT page_id, (i - 1)::int AS pos, CASE WHEN starts_with(x, 'http') THEN x ELSE o || x END AS link FROM (SELECT page_id, o, unnest(d) AS x, unnest(range(1, len(d) + 1)) AS i FROM (SELECT page_id, o, list_filter(h, lambda x, i: list_position(h, x) = i) AS d FROM p))")
 def absolute_links(spark, sf_dir):
     out = extract(_pages(spark, sf_dir), {"links": ("tag.nav@tag.a@href", URLS)})
-    return out.select("page_id", F.posexplode("links").alias("pos", "link"))
+    return out.select("page_id", F.posexplode_outer("links").alias("pos", "link")).where("pos is not null")
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages")
