@@ -2,8 +2,10 @@
 
 Documents become token ids once, in Arrow batches; from then on only (id, piece, length) travels. Pieces are
 dealt evenly to groups of bounded size, and each group is packed on its own: a piece goes to the open sequence
-whose use leaves the smallest sum of squares of N(gap), where N(gap) counts open sequences with that gap. What the groups leave
-partly filled is packed again, group by group, until a round saves next to nothing.
+whose use leaves the smallest sum of squares of N(gap), where N(gap) counts open sequences with that gap. A new sequence is
+opened only if no open one has room. The on-line rule weighs that choice too, since it doesn't know what comes; here pieces come largest first, all
+of them known, and a sequence opened early could only add to their number. Where there are several groups, what they leave less than ``FULL`` is packed
+once more in groups dealt anew; this concerns placement alone, and no piece is left out.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytescan import slices
 from .shared import cut
 from .tokens import default_path, encoder
 
@@ -27,8 +29,6 @@ GROUP = 1 << 16
 
 #: Sequences below this share of the capacity are packed again with those of other groups.
 FULL = 0.97
-#: Bytes of text encoded at once.
-BATCH = 1 << 20
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,37 +62,29 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in lists of about BATCH bytes."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy() if len(ids) else np.zeros(0)
-        at = 0
-        while at < len(ids):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")))
-            yield ids[at:end].to_pylist(), [t or "" for t in texts[at:end].to_pylist()]
-            at = end
-        del ids, texts, size
-        pa.default_memory_pool().release_unused()
-
-
 def pieces(docs: DataFrame, capacity: int, path: str, end_id: int, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (id, text): place in the document, length and CRC-32 of the ids; the ids too on request."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step, tail = encoder(path).encode, 4 * capacity, int(end_id).to_bytes(4, "little")
-        for ids, texts in _batches(batches):
-            rows: list[tuple] = []
-            for doc, data in zip(ids, encode(texts), strict=True):
-                data += tail
-                for k, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
-                    row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        encode, end = encoder(path).encode, np.uint32(end_id)
+        for batch in batches:
+            for ids, data, offs in slices(batch.column(0), batch.column(1)):
+                tokens, bounds = encode(data, offs)
+                tokens = np.insert(tokens, bounds[1:], end)
+                bounds = bounds + np.arange(len(bounds))
+                count = -(-np.diff(bounds) // capacity)
+                doc = np.repeat(np.arange(len(ids)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                begin = bounds[doc] + piece * capacity
+                stop = np.minimum(begin + capacity, bounds[doc + 1])
+                raw = memoryview(tokens.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+                columns = [ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(stop - begin), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, bounds[-1]), pa.int32()), pa.array(tokens.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.mapInArrow(kernel, schema)
 
@@ -131,7 +123,8 @@ def _packed(rows: DataFrame, n: int, capacity: int, level: int) -> DataFrame:
         return rows.assign(sequence_id=(level << 62) + (int(key[0]) << 32) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
 
     schema = f"{rows._jdf.schema().toDDL()}, sequence_id long, offset long"
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # By place in the table, which its files fix: rows that repeat are dealt out as well.
+    dealt = rows.withColumn("g", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(lambda key, rows: run(key, rows.drop(columns="g")), schema)
 
 
