@@ -4,7 +4,7 @@ One model per language over characters of lower-cased words with a boundary mark
 hashes per order; a row of the matrix beside it holds the n-gram's log-probability in every language, so
 a character costs one look-up whatever the number of languages, and an n-gram that no language has seen falls to the next
 lower order. A text gets the language of lowest cross-entropy per character; it is rejected where
-even that is above what the language's own held-out texts show.
+even that is nearer to what the models give to held-out texts with shuffled letters than to what they give to the language's own.
 
 Training uses a bounded sample of labelled rows (``SAMPLE`` texts a language, chosen by a hash of the id, and
 ``CHARS`` characters of them); scoring reads every character of every text.
@@ -31,9 +31,11 @@ ORDER = 5
 #: Bounds of the training sample: texts and bytes a language. Model size and the driver's memory follow from these.
 SAMPLE = 1_500
 CHARS = 1_500_000
-#: A language's limit is this quantile of its calibration texts' cross-entropy plus this margin (nats a character).
+#: A language's limit lies midway between the cross-entropy (nats a character) below which this share of its held-out texts lies, and the one above
+#: which that share of the same texts lies once their letters are shuffled.
 QUANTILE = 0.995
-MARGIN = 1.2
+#: Least distance of the limit from the former.
+MARGIN = 0.2
 #: Texts with fewer scored characters aren't rejected for their cross-entropy.
 LEAST = 40
 
@@ -236,7 +238,13 @@ def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]]) -> Model:
             continue
         ce, count, _ = model.entropy(np.frombuffer(b"".join(rows), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in rows])]))
         own = ce[count >= LEAST, j]
-        limits.append(float(np.quantile(own, QUANTILE)) + MARGIN if len(own) else np.inf)
+        if len(own):
+            noise = [_shuffled(t) for t, c in zip(rows, count, strict=True) if c >= LEAST]
+            far = model.entropy(np.frombuffer(b"".join(noise), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in noise])]))[0].min(axis=1)
+            near = float(np.quantile(own, QUANTILE))
+            limits.append(near + max(MARGIN, 0.5 * (float(np.quantile(far, 1 - QUANTILE)) - near)))
+        else:
+            limits.append(np.inf)
         others = np.delete(ce, j, axis=1)
         gaps += (others.min(axis=1) - ce[:, j]).tolist() if others.shape[1] else []
     good = np.median([g for g in gaps if g > 0]) if any(g > 0 for g in gaps) else 0.1
@@ -245,6 +253,14 @@ def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]]) -> Model:
     return model
 
 
+def _shuffled(text: bytes) -> bytes:
+    """The text with its letters in another order, and everything else in place."""
+    points = np.frombuffer(text.decode().encode("utf-32-le"), dtype=np.uint32).copy()
+    at = np.flatnonzero(_letters()[points] > 0)
+    points[at] = points[np.random.default_rng(len(at)).permutation(at)]
+    return points.tobytes().decode("utf-32-le").encode()
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Model from the labelled rows of ``docs``, or None if there are none. Rows without text or language teach nothing."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
@@ -304,7 +320,7 @@ def _kernel(sent):
             _LOADED[key] = pickle.loads(zlib.decompress(blob))
         model = _LOADED[key]
         for batch in batches:
-            for ids, data, offs in slices(batch.column(0), batch.column(1), 1 << 19):
+            for ids, data, offs in slices(batch.column(0), batch.column(1), 1 << 18):
                 if model is None:
                     ce, count, letters = np.zeros((len(ids), 1)), np.zeros(len(ids)), np.zeros(len(ids))
                     langs, limit, scale = ["und"], np.array([np.inf]), 1.0
@@ -319,7 +335,7 @@ def _kernel(sent):
                 score = np.where(some, 1 / np.exp(-lead).sum(axis=1), 0.0)
                 rejected = ~some | ((low > limit[best]) & (count >= LEAST))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64(), from_pandas=True), pa.array(np.where(some, np.array(langs, dtype=object)[best], "und").tolist(), pa.string()),
+                    ids, pa.array(np.where(some, np.array(langs, dtype=object)[best], "und").tolist(), pa.string()),
                     pa.array(score), pa.array(np.where(some, low, np.nan), from_pandas=True), pa.array(rejected),
                 ], names=["id", "lang_pred", "score", "entropy", "rejected"])
 
