@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Both sides are cut into k-grams of words; of each run of ``window - k + 1`` consecutive k-grams only the smallest hash is
-kept as a fingerprint, so every shared span of ``window`` words shares a fingerprint. Fingerprints of documents are
-joined with those of the benchmark; each hit is extended to the whole window and compared byte by byte.
+Both sides are cut into k-grams of words; of each run of ``window - k + 1`` consecutive k-grams the one with the smallest hash
+(the first of equals) is selected, with its place. A span of ``window`` words that both sides hold thus gives both the same fingerprint at the same place in
+it. Selected fingerprints of documents are joined with those of the benchmark; each pair of places is extended to the words before and after it, as
+far as a window around the fingerprint reaches, and the words are compared byte by byte. Spans of ``window`` words or more are hits.
 
 The benchmark side travels to the workers in blocks of bounded size (``BLOCK`` words); each block is one pass over the
 documents and the hits are put together by document. Documents are never joined with each other, and a
-passage that is in every document costs each of them a look-up only.
+passage that is in every document costs each of them a few look-ups only.
 """
 
 from __future__ import annotations
@@ -26,77 +27,132 @@ from .shared import cut
 BLOCK = 1_000_000
 #: Words of a k-gram.
 K = 5
+#: Pairs of places that are extended at once.
+PAIRS = 1 << 14
+
+
+def select(h: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-grams selected in the windows of ``size`` words that begin at ``starts``."""
+    k = min(K, size)
+    g = grams(h, k)
+    low = np.uint64(0xFFFFFFFF)  # upper half: hash; lower half: place; so both sides break ties alike
+    at = (sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), size - k + 1)[starts] & low).astype(np.int64)
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]  # windows in a row select the same place
+    return at, g[at]
 
 
 class Index:
-    """Windows of a block of benchmark items, looked up by fingerprint and then by content."""
+    """Words of a block of benchmark items, and the places of their fingerprints by window size."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
-        self.lengths: dict[int, dict] = {}
-        where: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-        prints: dict[int, set[int]] = {}
-        self.items = [i for i, _ in items]
-        for n, (_, text) in enumerate(items):
+        raw, first, names = [], [0], {}
+        hashes, bounds = [], [0]
+        for name, text in items:
             data = LOWER[np.frombuffer(text, dtype=np.uint8)]
             w = words(data, np.array([0, len(data)]), ALNUM)
-            size = min(window, len(w.hash))
-            if not size:
+            if not len(w.hash):
+                continue
+            whole = data.tobytes()
+            spelled = [whole[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+            key = tuple(spelled)
+            if key in names:  # items of the same words are one
+                names[key].append(name)
                 continue
-            raw = data.tobytes()
-            spelled = [raw[a:b] for a, b in zip(w.start, w.end, strict=True)]
-            whole = grams(w.hash, size)
-            for at, (h, f) in enumerate(zip(whole.tolist(), fingerprints(w.hash, size).tolist(), strict=True)):
-                where.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(spelled[at : at + size]), set()).add(n)
-                prints.setdefault(size, set()).add(f)
-        for size, found in where.items():
-            f = np.array(sorted(prints[size]), dtype=np.uint64)
+            names[key] = [name]
+            raw += spelled
+            hashes.append(w.hash)
+            first.append(first[-1] + len(spelled))
+        self.names = list(names.values())
+        self.raw, self.first = raw, np.array(first)
+        self.hash = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.sizes: dict[int, dict[str, np.ndarray]] = {}
+        count = np.diff(self.first)
+        for size in sorted(set(np.minimum(count, window).tolist())):
+            at, prints = [], []
+            for a, n in zip(self.first[:-1][np.minimum(count, window) == size].tolist(), count[np.minimum(count, window) == size].tolist(), strict=True):
+                p, g = select(self.hash[a : a + n], size, np.arange(n - size + 1))
+                at.append(a + p)
+                prints.append(g)
+            at, prints = np.concatenate(at), np.concatenate(prints)
+            order = np.argsort(prints, kind="stable")
             marks = np.zeros(1 << 20, dtype=bool)
-            marks[f & np.uint64(0xFFFFF)] = True
-            self.lengths[size] = {"prints": f, "marks": marks, "windows": found}
+            marks[prints & np.uint64(0xFFFFF)] = True
+            self.sizes[size] = {"at": at[order], "prints": prints[order], "marks": marks}
 
-    def hits(self, data: np.ndarray, w: Words) -> Iterator[tuple[int, int, set[int]]]:
-        """First word, words and items of every occurrence of a window."""
-        stop = w.last_of_doc()
+    def hits(self, data: np.ndarray, w: Words) -> Iterator[tuple[int, int, int]]:
+        """First word and end of every span shared with an item (parts of one that is longer than two windows come apart), and the item's number."""
+        begin, stop = np.repeat(w.first[:-1], w.count), w.last_of_doc()
         raw = None
-        for size, x in self.lengths.items():
-            f = fingerprints(w.hash, size)
-            at = np.flatnonzero(x["marks"][f & np.uint64(0xFFFFF)])
-            at = at[at + size <= stop[at]]
-            f = f[at]
-            place = np.minimum(np.searchsorted(x["prints"], f), len(x["prints"]) - 1)
-            at = at[x["prints"][place] == f]
+        for size, x in self.sizes.items():
+            k = min(K, size)
+            starts = np.flatnonzero(np.arange(len(w.hash)) + size <= stop)
+            if not len(starts):
+                continue
+            at, g = select(w.hash, size, starts)
+            near = x["marks"][g & np.uint64(0xFFFFF)]
+            at, g = at[near], g[near]
+            lo, hi = np.searchsorted(x["prints"], g), np.searchsorted(x["prints"], g, side="right")
+            at, lo, many = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             if not len(at):
                 continue
             raw = data.tobytes() if raw is None else raw
-            for i, h in zip(at.tolist(), _grams_at(w.hash, at, size).tolist(), strict=True):
-                spelled = x["windows"].get(h)
-                if spelled:
-                    items = spelled.get(b" ".join([raw[a:b] for a, b in zip(w.start[i : i + size], w.end[i : i + size], strict=True)]))
-                    if items:
-                        yield i, size, items
-
-
-def fingerprints(h: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of each window of ``size`` words."""
-    k = min(K, size)
-    return sliding_min(grams(h, k), size - k + 1)
-
-
-def _grams_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    rows = h[at[:, None] + np.arange(k)].ravel()
-    return grams(rows, k)[::k] if len(at) else rows
+            after = np.cumsum(many)
+            for a in range(0, int(after[-1]), PAIRS):
+                pair = np.arange(a, min(a + PAIRS, int(after[-1])))
+                row = np.searchsorted(after, pair, side="right")
+                p, q = at[row], x["at"][lo[row] + pair - (after[row] - many[row])]
+                item = np.searchsorted(self.first, q, side="right") - 1
+                left = self._same(w.hash, p, q, -1, size - k, begin[p], self.first[item])
+                right = self._same(w.hash, p + k - 1, q + k - 1, 1, size - k, stop[p] - 1, self.first[item + 1] - 1)
+                for i in np.flatnonzero(left + k + right >= size).tolist():
+                    d, e, n = int(p[i] - left[i]), int(q[i] - left[i]), int(left[i] + k + right[i])
+                    for b, c in self._spelled(raw, w, d, e, n, size):
+                        yield b, c, int(item[i])
+
+    def _same(self, h: np.ndarray, p: np.ndarray, q: np.ndarray, step: int, most: int, end_p: np.ndarray, end_q: np.ndarray) -> np.ndarray:
+        """How many words in a row after (or before) the places are the same."""
+        out = np.zeros(len(p), dtype=np.int64)
+        on = np.ones(len(p), dtype=bool)
+        for j in range(1, most + 1):
+            x, y = p + step * j, q + step * j
+            on &= (x <= end_p) & (y <= end_q) if step > 0 else (x >= end_p) & (y >= end_q)
+            on[on] = h[x[on]] == self.hash[y[on]]
+            if not on.any():
+                break
+            out += on
+        return out
+
+    def _spelled(self, raw: bytes, w: Words, d: int, e: int, n: int, size: int) -> Iterator[tuple[int, int]]:
+        """Spans of the ``n`` words from ``d`` that are spelled as the item's from ``e``; one, unless different words share a hash."""
+        mine = [raw[a:b] for a, b in zip(w.start[d : d + n].tolist(), w.end[d : d + n].tolist(), strict=True)]
+        theirs = self.raw[e : e + n]
+        if mine == theirs:
+            yield d, d + n
+            return
+        run = 0
+        for i in range(n + 1):
+            if i < n and mine[i] == theirs[i]:
+                run += 1
+                continue
+            if run >= size:
+                yield d + i - run, d + i
+            run = 0
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of about BLOCK words, one block in the driver's memory at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """Items in blocks of about BLOCK words: how many, and each in turn; one block is in the driver's memory at a time."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), text.alias("t"))
     total = rows.agg(F.sum(F.octet_length("t") / 6 + 1)).first()[0] or 0
     n = max(1, int(-(-total // BLOCK)))
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t", "id"), F.lit(n)) == b)
-        yield [(r["id"], r["t"].encode()) for r in part.collect()]
+
+    def each() -> Iterator[list[tuple[str, bytes]]]:
+        for b in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t", "id"), F.lit(n)) == b)
+            yield [(r["id"], r["t"].encode()) for r in part.collect()]
+
+    return n, each()
 
 
 def decontaminate(
@@ -107,19 +163,24 @@ def decontaminate(
     (array of the ids, as sorted strings, of items with an occurring window).
 
     Null texts have no words and no hits; so have empty ones. An item of fewer than ``window`` words is one window, an item without
-    words none. Repeated rows each get their own result; items that repeat count once per id. Empty tables give no rows, or no hits. Other columns are ignored.
+    words none. Repeated rows and rows with a null id each get their own result; items that repeat count once per id. Empty tables give no rows, or no hits. Other columns are ignored.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    kind = "id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text_col)
+    if n_blocks == 1:
+        sent = spark.sparkContext.broadcast(pickle.dumps(Index(next(blocks), window)))
+        return slim.mapInArrow(_kernel(sent), kind).withColumnRenamed("id", id_col)
+    # Several blocks: rows are numbered once, in a table that every block reads; only documents with hits meet again.
+    rows = cut(slim.withColumn("n", F.monotonically_increasing_id()), "numbered")
     parts = []
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in blocks:
         sent = spark.sparkContext.broadcast(pickle.dumps(Index(block, window)))
-        parts.append(slim.mapInArrow(_kernel(sent), "id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    # Several blocks: only documents with hits meet again, numbered so that repeated ids stay apart.
-    counted, *rest = [p.withColumn("n", F.monotonically_increasing_id()) for p in parts]
-    hits = cut(_union([p.where("size(items) > 0").select("n", "spans", "items") for p in (counted, *rest)]), "hits")
+        found = rows.select("n", "t").mapInArrow(_kernel(sent), kind).where("size(items) > 0" if parts else "true")
+        parts.append(cut(found.withColumnRenamed("id", "n"), "hits"))
+    counted = rows.select("n", "id").join(parts[0].select("n", "n_words"), "n")
+    hits = _union([p.where("size(items) > 0").select("n", "spans", "items") for p in parts])
     merged = hits.groupBy("n").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     joined = counted.select("n", "id", "n_words").join(merged, "n", "left")
     none = F.array().cast("array<struct<a:long,b:long>>")
@@ -156,19 +217,19 @@ def _kernel(sent):
                 w = words(data, offs, ALNUM)
                 found: dict[int, tuple[list, set]] = {}
                 owner = None
-                for i, size, items in index.hits(data, w):
+                for begin, end, item in index.hits(data, w):
                     if owner is None:
                         owner = np.repeat(np.arange(len(ids)), w.count)
-                    d = int(owner[i])
+                    d = int(owner[begin])
                     spans, names = found.setdefault(d, ([], set()))
-                    spans.append((i - int(w.first[d]), i - int(w.first[d]) + size))
-                    names |= items
+                    spans.append((begin - int(w.first[d]), end - int(w.first[d])))
+                    names.add(item)
                 spans, names = [[]] * len(ids), [[]] * len(ids)
                 for d, (s, n) in found.items():
                     spans[d] = [{"a": a, "b": b} for a, b in merge(s)]
-                    names[d] = sorted({index.items[j] for j in n})
+                    names[d] = sorted({name for j in n for name in index.names[j] if name is not None})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64(), from_pandas=True), pa.array(w.count, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
+                    [ids, pa.array(w.count, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
                     names=["id", "n_words", "spans", "items"],
                 )
 

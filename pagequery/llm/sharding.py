@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut, forget
+from .shared import SEND, cut, forget
 
 ROUNDS = 16
 #: Priorities of a move: by gain, then by hash of the group.
@@ -136,7 +136,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     placed = prefix_sums(cells, ["shard", "h"], "n", "slot", by="shard")
     starts = prefix_sums(linked, ["h"], "n", "start").select("h", "start")
     runs = placed.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("shard", "n", "slot"))).alias("runs")).join(starts, "h")
-    joined = slim.join(runs, "h", "left")
+    # A hot text's rows all meet one row of runs: it is sent to them, or, with more groups than that, split by adaptive execution.
+    joined = slim.join(F.broadcast(runs) if linked.count() <= SEND // 4 else runs, "h", "left")
     marked = row_index(joined.where("runs is not null"), ["h", "id"], "at").withColumn("rank", F.col("at") - F.col("start"))
     # The run that holds the rank: runs are added up until it is reached.
     zero = F.struct(F.lit(0).cast("long").alias("sofar"), F.lit(-1).alias("shard"), F.lit(0).cast("long").alias("slot"))

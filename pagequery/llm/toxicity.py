@@ -6,7 +6,8 @@ a word. A hit inside an exception phrase doesn't count. The weights of what is l
 through a logistic curve.
 
 Terms, weights, exceptions and curve are learned from labelled rows: a term is a word or a word beginning that
-toxic documents use far more often than the others. Learning uses at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents, drawn by a hash of the id.
+toxic documents use far more often than the others. Learning uses about ``TOXIC`` toxic and ``CLEAN`` other labelled documents, drawn by a hash of the id,
+and keeps the ``TERMS`` strongest terms.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class Lexicon:
         for term, weight in self.terms.items():
             stem, whole = term.rstrip("*"), not term.endswith("*")
             for form in {stem, stem.replace("l", "i")}:  # 1 stands for l as well as for i
-                if form not in a or a.get(form)[2] is False:
+                if form not in a or (a.get(form)[2] and not whole):  # `word*` covers `word`
                     a.add_word(form, (len(form), weight, whole, term))
         e = ahocorasick.Automaton()
         for phrase in self.exceptions:
@@ -95,8 +96,14 @@ def matches(text: str, automaton, exceptions) -> list[tuple[int, int, float, str
         if a not in found or found[a][1] < b:
             found[a] = (a, b, weight, term)
     if found and exceptions is not None:
-        for last, size in exceptions.iter(text):
-            for a in [a for a in found if last + 1 - size <= a and found[a][1] <= last + 1]:
+        # One sweep: of the phrases that begin no later than a hit, the one that reaches farthest decides.
+        phrases = sorted((last + 1 - size, last + 1) for last, size in exceptions.iter(text))
+        at, reach = 0, 0
+        for a in sorted(found):
+            while at < len(phrases) and phrases[at][0] <= a:
+                reach = max(reach, phrases[at][1])
+                at += 1
+            if found[a][1] <= reach:
                 del found[a]
     return [found[a] for a in sorted(found)]
 
@@ -120,7 +127,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n.get(1):
         return Lexicon({}, exceptions or [])
     part = lambda y, most: (F.col("y") == y) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < min(1.0, most / max(n.get(y, 0), 1)) * (1 << 20))
-    drawn = marked.where(part(1, TOXIC) | part(0, CLEAN)).limit(2 * (TOXIC + CLEAN))
+    # The hash alone draws the sample; where it draws far too many, those of smallest hash stay.
+    drawn = marked.where(part(1, TOXIC) | part(0, CLEAN)).orderBy(F.xxhash64("id", F.lit(5)), "id", "y").limit(2 * (TOXIC + CLEAN))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     sample = cut(slim.join(F.broadcast(drawn), "id").select("y", "t"), "labelled")
 
@@ -151,11 +159,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.string())), strict=True)], names=["y", "a", "b", "phrases"])
 
-    seen = sample.mapInArrow(evidence, "y int, a double, b double, phrases array<string>").collect()
+    evident = cut(sample.mapInArrow(evidence, "y int, a double, b double, phrases array<string>"), "evidence")
     # A phrase around a hit that clean documents use again and again is an exception.
-    often = Counter(p for r in seen for p in r["phrases"])
-    learned = sorted(p for p, c in often.items() if c >= max(5, n0 // 400))
-    lexicon.exceptions = sorted({*lexicon.exceptions, *learned})
+    often = evident.select(F.explode("phrases").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(5, n0 // 400))
+    lexicon.exceptions = sorted({*lexicon.exceptions, *(r["p"] for r in often.collect())})
+    seen = evident.select("y", "a", "b").collect()  # three numbers a sampled document
     lexicon.curve = _curve(np.array([[1.0, r["a"], r["b"]] for r in seen]), np.array([r["y"] for r in seen], dtype=float))
     return lexicon
 

@@ -1,8 +1,8 @@
 """WARC archives in seekable Zstandard bundles.
 
 Records are grouped into independent Zstandard frames of about ``FRAME`` bytes; a bundle is a file of frames closed by the public
-seekable-format footer (a skippable frame with one entry of compressed and uncompressed size per frame). An index maps each record to its bundle, frame, and offset
-and length inside the frame, so one record costs one ranged read and the decompression of one frame.
+seekable-format footer (a skippable frame with one entry of compressed and uncompressed size per frame). An index maps each record to its bundle and frame, and to offset
+and length inside the frame; with the seek table one record costs one ranged read and the decompression of one frame.
 
 Equal payloads are stored once: the one with the largest id is a ``response`` record, the others are ``revisit`` records
 that refer to it. Bundles are written by the tasks that hold the rows, under names of their own for every attempt, and renamed when complete: what a lost or repeated task
@@ -33,7 +33,7 @@ LEVEL = 3
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
-INDEX = "id long, bundle string, frame int, frame_at long, frame_bytes long, at long, length long"
+INDEX = "id long, bundle string, frame int, at long, length long"
 
 
 def record(kind: str, rid: str, url: str, payload: bytes, digest: bytes, size: int, refers_to: str | None) -> bytes:
@@ -100,7 +100,7 @@ class _Writer:
         self.out = self.fs.open_output_stream(f"{self.root}/.{self.name}", compression=None)  # the name would have it packed again
         self.at, self.sizes, self.rows, self.frame, self.length = 0, [], [], [], 0
 
-    def add(self, rid: int, raw: bytes) -> list[tuple]:
+    def add(self, rid: int | None, raw: bytes) -> list[tuple]:
         if self.out is None:
             self._open()
         self.frame.append((rid, raw))
@@ -117,7 +117,7 @@ class _Writer:
         packed = self.zip.compress(b"".join(r for _, r in self.frame))
         pos = 0
         for rid, raw in self.frame:
-            self.rows.append((rid, self.name, len(self.sizes), self.at, len(packed), pos, len(raw)))
+            self.rows.append((rid, self.name, len(self.sizes), pos, len(raw)))
             pos += len(raw)
         self.sizes.append((len(packed), pos))
         self.out.write(packed)
@@ -136,7 +136,7 @@ class _Writer:
         return self.rows
 
 
-_INDEX = pa.schema([("id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_at", pa.int64()), ("frame_bytes", pa.int64()), ("at", pa.int64()), ("length", pa.int64())])
+_INDEX = pa.schema([("id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("length", pa.int64())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -148,7 +148,7 @@ def write(pages: DataFrame, uri: str | None = None, least: int = 1000, id_col: s
     """Write a record for every page; returns the folder of the bundles (in the shared folder if no ``uri`` is given) and the index.
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the largest id is the response. Null payloads and urls count as empty. Rows that repeat with
-    the same id and payload are each written; those with the largest id are all responses. Ids must not be null. An empty table makes no bundle. Other columns are ignored.
+    the same id and payload are each written; those with the largest id are all responses. A page with a null id is a response under the name `none` and no copy of any. An empty table makes no bundle. Other columns are ignored.
     """
     spark = pages.sparkSession
     uri = uri or new_path(spark, "warc")
@@ -158,19 +158,21 @@ def write(pages: DataFrame, uri: str | None = None, least: int = 1000, id_col: s
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("p"))
     # Copies are found by SHA-256: only ids and hashes are shuffled, folded in the map tasks; few groups have two rows.
-    keyed = rows.where(F.octet_length("p") >= least).select("id", F.unhex(F.sha2("p", 256)).alias("h"))
+    keyed = rows.where(F.col("id").isNotNull() & (F.octet_length("p") >= least)).select("id", F.unhex(F.sha2("p", 256)).alias("h"))
     groups = cut(keyed.groupBy("h").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "to"), "copies")
-    revisits = keyed.join(groups, "h").where("id <> to").select("id", "to").distinct()
+    # Where an id repeats with different payloads, the hash says which of its rows is a copy.
+    revisits = keyed.join(F.broadcast(groups) if groups.count() <= SEND else groups, "h").where("id <> to").select("id", "h", "to").distinct()
     revisits = cut(revisits, "revisits")
     few = revisits.count() <= SEND
-    marked = rows.join(F.broadcast(revisits) if few else revisits, "id", "left")
+    big = F.when(F.octet_length("p") >= least, F.unhex(F.sha2("p", 256)))
+    marked = rows.withColumn("h", big).join(F.broadcast(revisits) if few else revisits, ["id", "h"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(uri)
         for batch in batches:
             for rid, url, text, to in zip(*batch.columns, strict=True):
                 rid, to, body = rid.as_py(), to.as_py(), (text.as_py() or "").encode()
-                raw = record("response" if to is None else "revisit", str(rid), url.as_py() or "", body, hashlib.sha1(body).digest(), len(body), to)
+                raw = record("response" if to is None else "revisit", "none" if rid is None else str(rid), url.as_py() or "", body, hashlib.sha1(body).digest(), len(body), to)
                 if done := writer.add(rid, raw):
                     yield _batch(done)
         yield _batch(writer.close())
@@ -186,27 +188,52 @@ SEND = 1_000_000
 def read_records(uri: str, index: DataFrame) -> DataFrame:
     """Read the indexed records back, each frame once: ``id, kind, url, refers_to, payload_bytes, payload_digest`` (hex SHA-1), ``payload`` (null for a revisit).
 
-    Frames are dealt out by bundle and place. The block of a response is checked against the digest in its header.
+    The index says in which frame of which bundle a record is, and where there; the frame's own place comes from the bundle's seek table, and everything returned from the
+    record: its id is that of WARC-Record-ID (another one than the index says is an error), a response's size and digest are those of its block (other ones in its header are an
+    error), and a revisit's those of the response that it refers to (which must be there and agree with its header).
     """
-    frames = index.repartition(F.col("bundle"), F.col("frame_at")).sortWithinPartitions("bundle", "frame_at", "at")
+    records = cut(_records(uri, index), "records")
+    # Few responses are referred to; a response that very many revisits name is sent to them or, beyond SEND, split by adaptive execution.
+    named = records.where("refers_to is not null").groupBy("refers_to").agg(F.count(F.lit(1)).alias("times"))
+    named = cut(named.select(F.col("refers_to").alias("to")), "named")
+    few = named.count() <= SEND
+    full = records.where("kind = 'response'").select(F.col("id").alias("to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("sha1"))
+    full = full.join(F.broadcast(named) if few else named, "to", "left_semi").dropDuplicates(["to", "size", "sha1"])
+    full = cut(full, "referred")
+    joined = records.join(F.broadcast(full) if few else full, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("sha1")), "left")
+    good = F.col("refers_to").isNull() | F.coalesce(F.col("size") == F.col("payload_bytes"), F.lit(False))
+    checked = F.when(good, F.coalesce("sha1", "payload_digest")).otherwise(F.raise_error(F.concat(F.lit("revisit and response differ: "), F.col("id").cast("string"))))
+    return joined.select("id", "kind", "url", "refers_to", F.coalesce("size", "payload_bytes").alias("payload_bytes"), checked.alias("payload_digest"), "payload")
+
+
+def _records(uri: str, index: DataFrame) -> DataFrame:
+    """Records as they stand in the bundles. Frames are dealt out by bundle and number."""
+    frames = index.repartition(F.col("bundle"), F.col("frame")).sortWithinPartitions("bundle", "frame", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         fs, root = pafs.FileSystem.from_uri(uri)
         unzip = zstandard.ZstdDecompressor()
-        at, file, name, frame = None, None, None, b""
+        at, file, name, frame, table = None, None, None, b"", []
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 rows = []
                 for r in batch.slice(part, 256).to_pylist():
                     if name != r["bundle"]:
                         file = fs.open_input_file(f"{root}/{r['bundle']}")
+                        table = seek_table(fs, f"{root}/{r['bundle']}")
                         name = r["bundle"]
-                    if at != (name, r["frame_at"]):
-                        frame = unzip.decompress(file.read_at(r["frame_bytes"], r["frame_at"]))
-                        at = (name, r["frame_at"])
-                    rows.append((r["id"], *_parsed(frame[r["at"] : r["at"] + r["length"]])))
+                    if at != (name, r["frame"]):
+                        begin, packed, _, size = table[r["frame"]]
+                        frame = unzip.decompress(file.read_at(packed, begin), max_output_size=size)
+                        if len(frame) != size:
+                            raise ValueError(f"frame {r['frame']} of {name} and the seek table differ")
+                        at = (name, r["frame"])
+                    found = _parsed(frame[r["at"] : r["at"] + r["length"]])
+                    if found[0] != r["id"]:
+                        raise ValueError(f"the index has {r['id']} where record {found[0]} is")
+                    rows.append(found)
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RECORD, strict=True)], schema=_RECORD)
 
@@ -216,11 +243,16 @@ def read_records(uri: str, index: DataFrame) -> DataFrame:
 _RECORD = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
 
 
+def _number(urn: str) -> int | None:
+    name = urn.rpartition(":")[2].rstrip(">")
+    return None if name == "none" else int(name)
+
+
 def _parsed(raw: bytes) -> tuple:
     head, block = parse(raw)
-    kind, digest = head["warc-type"], base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:"))
-    if kind == "response" and hashlib.sha1(block).digest() != digest:
-        raise ValueError("payload and digest differ")
+    kind, digest, size = head["warc-type"], base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")), int(head["warc-payload-length"])
+    if kind == "response" and (hashlib.sha1(block).digest() != digest or len(block) != size):
+        raise ValueError("payload and header differ")
     refers = head.get("warc-refers-to")
     url = head["warc-target-uri"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    return kind, url, int(refers.rpartition(":")[2].rstrip(">")) if refers else None, int(head["warc-payload-length"]), digest.hex(), block.decode() if kind == "response" else None
+    return _number(head["warc-record-id"]), kind, url, _number(refers) if refers else None, size, digest.hex(), block.decode() if kind == "response" else None
