@@ -33,27 +33,59 @@ def format_html(text: Column, indent: str = INDENT) -> Column:
     return out
 
 
+# White space, digits and letters without case are ASCII ones, as in Java.
+_STEPS = [(re.compile(p, re.A), v) for p, v in FORMAT_STEPS]
+_MARKUP = FORMAT_STEPS[5][0]
+_BUT_IMAGES = re.compile(r"</?(?!img)[a-zA-Z]+(?=[ >])[^<>]*>", re.A)
+
+
 def format_text(text: str, keep_images: bool = False) -> str:
     """The same for one text; ``keep_images`` leaves image tags in."""
-    for pattern, value in FORMAT_STEPS:
-        if keep_images and pattern.startswith("</?[a-zA-Z]+"):
-            pattern = r"</?(?!img\b)[a-zA-Z]+(?=[ >])[^<>]*>"
-        text = re.sub(pattern, value, text)
+    for pattern, value in _STEPS:
+        text = (_BUT_IMAGES if keep_images and pattern.pattern == _MARKUP else pattern).sub(value, text)
     return text
 
 
-_IMAGE = re.compile(r"""<img[^>]*?\s(?:data-src|data-original|src)\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>""", re.I)
+# The four forms of an image's source: with options, in a data attribute, in double quotes, in any quotes.
+_IMAGE = re.compile(
+    r"""<img[^>]*\ssrc\s*=\s*['"]([^'"{>]*\{(?:[^{}]|\{[^}>]+\})+\})['"][^>]*>"""
+    r"""|<img[^>]*\sdata-(?:src|original|srcset)\s*=\s*['"]([^'">]+)['"][^>]*>"""
+    r"""|<img[^>]*\ssrc\s*=\s*"([^">]+)"[^>]*>"""
+    r"""|<img[^>]*\s(?:data-[^=>]*|src)=\s*['"]([^'">]*)['"][^>]*>""",
+    re.I | re.A,
+)
 
 
 def format_keep_images(text: str, base: str) -> str:
-    """Plain text in which images stay, as bare tags with absolute sources."""
+    """Plain text in which images stay, as bare tags with absolute sources; options after the source stay with it."""
     from .url import absolute, split_option
 
     def one(m: re.Match) -> str:
-        url, option = split_option(m[1] if m[1] is not None else m[2])
+        url, option = split_option(m[1]) if m[1] is not None else (next((g for g in m.groups()[1:] if g is not None), ""), None)
         return f'<img src="{absolute(base, url)}{"," + option if option else ""}">'
 
-    return format_text(_IMAGE.sub(one, text), keep_images=True)
+    return _IMAGE.sub(one, format_text(text, keep_images=True))
+
+
+#: Beginnings of introductions that stay as they are.
+_PLAIN_INTRO = r"^\s*(?:<usehtml>|<md>|<useweb>)"
+
+
+def format_intro(text: Column) -> Column:
+    """An introduction as plain text without indents, unless it says that it is markup."""
+    return F.when(text.rlike(_PLAIN_INTRO), F.regexp_replace(text, r"^\s+", "")).otherwise(format_html(text, ""))
+
+
+# Fixed value: a word count in the note beside a chapter.
+WORDS_IN_NOTE = r"(?:^|字数[：:、]?|\s+)([0-9万千百\.]{1,6}字)"
+
+
+def words_of_note(note: Column) -> tuple[Column, Column]:
+    """The word count in a chapter's note, null if there is none, and the note without it."""
+    found, whole = F.regexp_extract(note, WORDS_IN_NOTE, 1), F.regexp_extract(note, WORDS_IN_NOTE, 0)
+    at = F.instr(note, whole)
+    rest = F.concat(F.substring(note, F.lit(1), at - 1), F.substring(note, at + F.length(whole), F.length(note)))
+    return F.nullif(F.trim(found), F.lit("")), F.when(found == "", note).otherwise(rest)
 
 
 # Author parts of titles, and labels of authors.

@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,68 @@ def hex_text(text: Column) -> Column:
     return F.lower(F.hex(F.encode(text, "UTF-8")))
 
 
+def unhex_text(digits: Column) -> Column:
+    """Text of hexadecimal digits; null if they are none."""
+    return F.decode(F.unhex(digits), "UTF-8")
+
+
+def to_bytes(text: Column, charset: str = "UTF-8") -> Column:
+    """Bytes of a text. The JVM encodes Spark's own charsets, Python the others."""
+    if charset.upper() in _NATIVE:
+        return F.encode(text, charset)
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode(charset, "replace") for t in texts.to_pylist()], pa.binary())
+
+    return run(text)
+
+
+def from_bytes(data: Column, charset: str = "UTF-8") -> Column:
+    """Text of bytes; what the charset doesn't have becomes U+FFFD."""
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else bytes(v).decode(charset, "replace") for v in values.to_pylist()], pa.string())
+
+    return run(data)
+
+
+_NATIVE = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
+
+
+def encode_uri(text: Column) -> Column:
+    """Form encoding of a text in UTF-8."""
+    return F.url_encode(text)
+
+
+def time_format_utc(millis: Column, pattern: str, offset: int) -> Column:
+    """A time in a zone that is ``offset`` milliseconds from UTC, in Java's pattern."""
+    seconds = F.lit(offset // 1000)
+    moment = F.timestamp_millis(millis + seconds * 1000)
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")), pattern)
+
+
+def random_uuid() -> Column:
+    """A new identifier a row; not the same twice."""
+    return F.uuid()
+
+
+def aes_encrypt(text: Column, key: str, iv: str = "", mode: str = "CBC") -> Column:
+    """AES with PKCS padding, in Base64; the initial vector stands in front, as Spark has it."""
+    args = [F.encode(text, "UTF-8"), F.lit(key.encode()), F.lit(mode), F.lit("PKCS")] + ([F.lit(iv.encode())] if iv else [])
+    return F.base64(F.aes_encrypt(*args))
+
+
+def aes_decrypt(data: Column, key: str, mode: str = "CBC") -> Column:
+    """The text of what ``aes_encrypt`` made."""
+    return F.decode(F.aes_decrypt(F.unbase64(data), F.lit(key.encode()), F.lit(mode), F.lit("PKCS")), "UTF-8")
+
+
+def simplified(text: Column) -> Column:
+    """Simplified and traditional characters aren't exchanged: the text as it is."""
+    return text
+
+
 def time_format(millis: Column, pattern: str = "yyyy/MM/dd HH:mm") -> Column:
     return F.date_format(F.timestamp_millis(millis), pattern)
 

@@ -75,9 +75,13 @@ def _listing(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator
 
 
 def search(sources: DataFrame, queries: DataFrame, responses: DataFrame, step: str = "search") -> DataFrame:
-    """Rows found by every query (query_id, source_id, key, page) in its source, from recorded responses (key, body): listing columns, origin and order, or a row with ``_error`` and no name."""
+    """Rows found by every query (query_id, source_id, key, page) in its source, from recorded responses (key, body): listing columns, origin and order, or a row with ``_error`` and no name.
+
+    With ``step`` ``explore`` queries have the ``url`` of a category, which makes the request; the search rules serve where the source has no rules for it."""
     rules = F.to_json(F.struct("ruleSearch", "ruleExplore", "ruleBookInfo", "bookUrlPattern", F.lit(step).alias("step")))
     origin = sources.where("_error is null and enabled").select(F.col("bookSourceUrl").alias("source_id"), F.col("bookSourceName").alias("origin_name"), F.col("customOrder").alias("origin_order"), rules.alias("rules"))
+    if step == "explore" and "key" not in queries.columns:
+        queries = queries.withColumn("key", F.lit(None).cast("string"))
     asked = listing_requests(sources, queries).join(origin, "source_id")
     keyed = with_keys(asked.withColumnRenamed("key", "query")).withColumn("_url_error", F.col("_error")).drop("_error")
     met = keyed.join(responses.select("key", F.col("body").alias("page_body")), "key", "left")
@@ -85,3 +89,29 @@ def search(sources: DataFrame, queries: DataFrame, responses: DataFrame, step: s
     error = F.coalesce("_url_error", F.when(F.col("page_body").isNull(), F.lit("snapshot_miss")), F.col("_p._error"))
     rows = got.select("query_id", F.col("source_id").alias("origin"), "origin_name", "origin_order", error.alias("_error"), F.explode_outer(F.when(error.isNull(), F.col("_p.items"))).alias("_i"))
     return rows.select("query_id", "origin", "origin_name", "origin_order", "_i.*", "_error").where("name is not null or _error is not null")
+
+
+def kinds_of(sources: DataFrame, memo: DataFrame | None = None, scripts=None) -> DataFrame:
+    """Tiles of all sources' categories by ``memo_key`` (MD5 of the source and its rule); those that ``memo`` has are taken from it, so that a source is read again only when its rule changed."""
+    from .steps import explore_kinds
+
+    keyed = sources.select(F.col("bookSourceUrl").alias("source_id"), F.col("exploreUrl").alias("explore_url"), F.md5(F.concat("bookSourceUrl", F.coalesce("exploreUrl", F.lit("")))).alias("memo_key"))
+    if memo is None:
+        return explore_kinds(keyed, scripts=scripts)
+    new = explore_kinds(keyed.join(memo.select("memo_key").distinct(), "memo_key", "left_anti"), scripts=scripts)
+    return new.unionByName(memo.join(keyed.select("memo_key"), "memo_key", "left_semi"), allowMissingColumns=True)
+
+
+def refresh_shelf(books: DataFrame, details: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books (book_url, …) after their details and contents were read again, and their entries. A detail that failed leaves the book as it was; contents that failed leave an ``_error`` in its row, and its old entries
+    stay with whoever holds them: the second frame has entries of sound books only."""
+    from .steps import summary
+
+    sound = details.where("_error is null")
+    fresh = [c for c in sound.columns if c in books.columns and c != "book_url"]
+    new = sound.select("book_url", *[F.col(c).alias(f"_new_{c}") for c in fresh]).dropDuplicates(["book_url"])
+    merged = books.join(new, "book_url", "left")
+    merged = merged.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fresh else F.col(c) for c in books.columns])
+    bad = entries.where("_error is not null").groupBy("book_url").agg(F.min("_error").alias("_error"))
+    good = entries.where("_error is null").join(bad.select("book_url"), "book_url", "left_anti")
+    return summary(merged, good).join(bad, "book_url", "left"), good

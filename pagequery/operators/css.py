@@ -172,7 +172,7 @@ def _combined(c: str, left: Test, right: Test) -> Test:
                 return False
             while n is not root:
                 n = n.parent
-                if n is None or not n.is_element:
+                if n is None:
                     return False
                 if left(n, root):
                     return True
@@ -181,7 +181,7 @@ def _combined(c: str, left: Test, right: Test) -> Test:
     elif c == ">":
 
         def test(n: Node, root: Node) -> bool:
-            return right(n, root) and n is not root and n.parent is not None and n.parent.is_element and left(n.parent, root)
+            return right(n, root) and n is not root and n.parent is not None and left(n.parent, root)  # the document is a parent too
 
     else:
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.format import format_keep_images, unescape
 from ..plans.rule_plan import RulePlan, compile_rule
 from ..plans.scripts import ScriptRegistry
 from . import css
@@ -20,8 +21,8 @@ from . import text as texts
 from .evaluate import Content, Context, Evaluator
 from .html_tree import Node
 
-TEXT, TEXTS, URL, URLS = "text", "texts", "url", "urls"
-_KINDS = {TEXT: ("string", pa.string()), TEXTS: ("array<string>", pa.list_(pa.string())), URL: ("string", pa.string()), URLS: ("array<string>", pa.list_(pa.string()))}
+TEXT, TEXTS, URL, URLS, BODY = "text", "texts", "url", "urls", "body"
+_KINDS = {TEXT: ("string", pa.string()), BODY: ("string", pa.string()), TEXTS: ("array<string>", pa.list_(pa.string())), URL: ("string", pa.string()), URLS: ("array<string>", pa.list_(pa.string()))}
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,9 @@ def _field(e: Evaluator, f: Field, errors: list[str]) -> Any:
             return e.string(f.plan)
         if f.kind == URL:
             return e.string(f.plan, is_url=True)
+        if f.kind == BODY:  # plain text with its images
+            text = format_keep_images(e.string(f.plan, entities=False), e.context.redirect_url or e.context.base_url)
+            return unescape(text) if "&" in text else text
         return e.string_list(f.plan, is_url=f.kind == URLS)
     except Exception as error:  # a rule that fails on this page
         if f.fails:

@@ -234,12 +234,12 @@ def document_blocks(spark, sf_dir):
     return blocks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "block", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, (length(coalesce(text, '')) // 2)::int AS o FROM documents WHERE length(coalesce(text, '')) > 0)
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, unnest([0, length(coalesce(text, '')) // 2, length(coalesce(text, ''))])::int AS o FROM documents)
 SELECT doc_id, o AS "offset", (length(substring(t, 1, o)) - length(replace(substring(t, 1, o), chr(10), '')))::int AS block FROM d""")
 def block_at_offset(spark, sf_dir):
-    """A range join: the paragraph in the middle of each document."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("length(text) > 0")
-    offsets = d.select("doc_id", (F.expr("length(text) div 2")).cast("int").alias("offset"))
+    """A range join: the paragraphs at the beginning, in the middle and at the end of each document."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    offsets = d.select("doc_id", F.explode(F.expr("array(0, cast(length(text) div 2 as int), length(text))")).alias("offset"))
     return block_at(offsets, blocks(d, "doc_id"), "doc_id").select("doc_id", "offset", "block")
 
 

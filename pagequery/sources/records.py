@@ -111,15 +111,18 @@ def import_sources(spark: SparkSession, path: str) -> DataFrame:
     """Sources of JSON files that hold one record or a list of them; items that can't be read are left out."""
     whole = spark.read.text(path, wholetext=True)
 
-    @F.udf("array<string>")
-    def items(text: str) -> list[str]:
+    def listed(text: str | None) -> list[str]:
         try:
             v = lenient(text or "")
         except ValueError:
             return []
         return [json.dumps(x, ensure_ascii=False) for x in (v if isinstance(v, list) else [v])]
 
-    return read_sources(whole.select(F.explode(items("value")).alias("json"))).where("_error is null and bookSourceUrl <> ''")
+    @F.arrow_udf("array<string>")
+    def items(texts: pa.Array) -> pa.Array:
+        return pa.array([listed(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return read_sources(whole.select(F.explode_outer(items("value")).alias("json")).where("json is not null")).where("_error is null and bookSourceUrl <> ''")
 
 
 def unpivot_rules(sources: DataFrame) -> DataFrame:

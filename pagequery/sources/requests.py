@@ -7,13 +7,16 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import column_function
 from ..functions.url import absolute, encode_form, encode_query, js_escape, page_list, split_option
 from ..operators.evaluate import Context, Evaluator
 from ..operators.jsonpath import lenient
 from ..plans.scripts import ScriptRegistry
+from .folder import hold
 
 
 class UrlError(ValueError):
@@ -106,38 +109,70 @@ def with_keys(requests: DataFrame) -> DataFrame:
 
 
 def fetch(requests: DataFrame, responses: DataFrame, hops: int = 20) -> DataFrame:
-    """Recorded responses of requests, redirects followed. ``_error``: ``snapshot_miss`` or ``too_many_redirects``."""
+    """Recorded responses of requests, redirects followed. ``_error``: ``snapshot_miss`` or ``too_many_redirects``.
+
+    A location is resolved against the address that gave it. 300 to 303 go on as GET without a body unless the request was GET or HEAD; 307 and 308 are followed for GET and HEAD only, and
+    keep the method; one that leads to another scheme than http and https is a final answer. With a column ``follow_redirects`` that is false the first answer counts. Addresses
+    ``data:…;base64,…`` answer with their own bytes as text.
+    """
     rows = with_keys(requests).withColumns({"final_url": F.col("url"), "hops": F.lit(0)})
+    if "follow_redirects" not in rows.columns:
+        rows = rows.withColumn("follow_redirects", F.lit(True))
     slim = responses.select("key", "status", "location", F.col("body").alias("response_body"))
-    done = None
+    own = F.col("url").rlike("(?i)^data:[^,]*;base64,")
+    inline = rows.where(own).withColumns({"status": F.lit(200), "location": F.lit(None).cast("string"), "response_body": F.decode(F.unbase64(F.regexp_extract("url", "^[^,]*,(.*)$", 1)), "UTF-8"), "_error": F.lit(None).cast("string")})
+    rows = hold(rows.where(~own), "requests")
+    done = [inline]
+    bare = F.col("method").isin("GET", "HEAD")
     for _ in range(hops + 1):
         met = rows.join(slim, "key", "left")
-        redirect = F.col("status").between(300, 399) & F.col("location").isNotNull()
-        ended = met.where(~F.coalesce(redirect, F.lit(False))).withColumn("_error", F.when(F.col("status").isNull(), F.lit("snapshot_miss")))
-        done = ended if done is None else done.unionByName(ended)
-        going = met.where(redirect)
-        going = going.withColumns({"final_url": F.col("location"), "hops": F.col("hops") + 1, "method": F.lit("GET"), "body": F.lit(None).cast("string"), "url": F.col("location")})
-        rows = with_keys(going.drop("key", "status", "location", "response_body")).persist()
+        redirect = F.coalesce(F.col("follow_redirects"), F.lit(True)) & F.col("location").isNotNull() & (F.col("status").between(300, 303) | F.col("status").isin(307, 308) & bare)
+        met = hold(met.withColumn("_next", F.when(redirect, column_function(absolute)("final_url", "location"))), "answers")
+        going = F.coalesce(F.col("_next").rlike("(?i)^https?://"), F.lit(False))
+        done.append(met.where(~going).withColumn("_error", F.when(F.col("status").isNull(), F.lit("snapshot_miss"))).drop("_next"))
+        further = met.where(going)
+        further = further.withColumns({"url": F.col("_next"), "final_url": F.col("_next"), "hops": F.col("hops") + 1, "method": F.when(bare, F.col("method")).otherwise("GET"), "body": F.when(bare, F.col("body"))})
+        rows = hold(with_keys(further.drop("key", "status", "location", "response_body", "_next")), "requests")
         if rows.isEmpty():
-            return done
-    late = rows.join(slim, "key", "left").withColumn("_error", F.lit("too_many_redirects"))
-    return done.unionByName(late)
+            break
+    else:
+        done.append(rows.join(slim, "key", "left").withColumn("_error", F.lit("too_many_redirects")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out if "follow_redirects" in requests.columns else out.drop("follow_redirects")
 
 
-def listing_requests(sources: DataFrame, queries: DataFrame) -> DataFrame:
-    """Requests of every query of its source: (query_id, source_id, key, page) with the source's ``searchUrl``. The source table is small and bounded."""
-    s = sources.select(F.col("bookSourceUrl").alias("source_id"), F.col("searchUrl"))
-    joined = queries.join(s, "source_id")
+def response_text(body: Column, kind: Column, content_type: Column | None = None) -> Column:
+    """What rules read of a response: hexadecimal digits of its bytes where the request asks for a type; text else, XML without a prolog with one."""
+    text = F.decode(body, "UTF-8")
+    head = F.ltrim(text)
+    xml = F.coalesce(content_type.rlike("(?i)xml"), F.lit(False)) if content_type is not None else F.lit(False)
+    with_prolog = F.when(xml & head.startswith("<") & ~head.rlike("(?i)^(<\\?xml|<!doctype|<html)"), F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>'), text)).otherwise(text)
+    return F.when(F.coalesce(kind, F.lit("")) != "", F.lower(F.hex(body))).otherwise(with_prolog)
+
 
-    @F.udf("struct<url: string, method: string, body: string, _error: string>")
-    def make(rule: str, base: str, key: str, page: int):
+_REQUEST = pa.struct([("url", pa.string()), ("method", pa.string()), ("body", pa.string()), ("_error", pa.string())])
+
+
+def _request_rows(rules: pa.Array, bases: pa.Array, keys: pa.Array, pages: pa.Array) -> pa.Array:
+    rows = []
+    for rule, base, key, page in zip(*(x.to_pylist() for x in (rules, bases, keys, pages)), strict=True):
         try:
             r = build_request(rule or "", base or "", key, page)
-            return r.url, r.method, r.body, None
+            rows.append({"url": r.url, "method": r.method, "body": r.body, "_error": None})
         except ValueError as e:
-            return None, None, None, f"url_error: {e}"
+            rows.append({"url": None, "method": None, "body": None, "_error": f"url_error: {e}"})
+    return pa.array(rows, _REQUEST)
 
-    return joined.withColumn("_r", make("searchUrl", "source_id", "key", "page")).select(*queries.columns, "_r.*")
+
+def listing_requests(sources: DataFrame, queries: DataFrame, rule: str = "searchUrl") -> DataFrame:
+    """Requests of every query of its source: (query_id, source_id, key, page), by the source's ``rule``; or, where queries have a ``url`` of a category, by that. The source table is small and bounded."""
+    s = sources.select(F.col("bookSourceUrl").alias("source_id"), F.col(rule).alias("_rule"))
+    joined = queries.join(s, "source_id")
+    use = F.coalesce("url", "_rule") if "url" in queries.columns else F.col("_rule")
+    kept = [c for c in queries.columns if c != "url"]
+    return joined.select(*kept, F.inline_outer(F.array(F.arrow_udf(_request_rows, "struct<url: string, method: string, body: string, _error: string>")(use, "source_id", "key", "page"))))
 
 
 #: Sent where a source names no agent of its own.

@@ -126,7 +126,7 @@ def test_content_parts(spark):
     chapters = spark.createDataFrame([("http://h/c",)], "url string")
     r = content(chapters, responses, {"content": "id.c@text", "subContent": "class.s@href", "title": "tag.h1@text"}).first()
     assert r["title"] == "T" and r["content"].split("\n")[-1] == "more"
-    got = images(spark.createDataFrame([("http://h/c", "x<img src='/i.png'>")], "chapter_url string, content string"), responses).first()
+    got = images(spark.createDataFrame([("http://h/c", "x<img src=\"/i.png\">")], "chapter_url string, content string"), responses).first()
     assert (got["pos"], got["url"], got["body"]) == (0, "http://h/i.png", "bytes")
     assert source_headers('{"X":1}')["X"] == "1" and "User-Agent" in source_headers("{bad")
 
@@ -261,7 +261,7 @@ def test_chain_of_more_than_200_pages(spark):
     from pagequery.operators.frontier import follow
 
     last = 203
-    responses = spark.createDataFrame([(f"u{i}", f"u{i + 1}" if i < last else "u5") for i in range(last + 1)], "url string, body string").coalesce(1).localCheckpoint()
+    responses = spark.createDataFrame([(f"u{i}", f"u{i + 1}" if i < last else "u5") for i in range(last + 1)], "url string, body string").coalesce(1)
     start = spark.createDataFrame([("b", "u0")], "book_url string, url string")
     got = [(r["page"], r["url"]) for r in follow(start, responses, lambda p: p.withColumn("next_urls", F.array("body"))).collect()]
     assert sorted(got) == [(i, f"u{i}") for i in range(last + 1)]
