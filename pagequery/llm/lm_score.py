@@ -1,15 +1,16 @@
 """Scoring texts with a log-bilinear language model.
 
 Token counts come from all training texts: tasks add up their own words, one shuffle adds the tasks up, and the table stays in the
-shared folder. The words seen ``LEAST`` times or more (``FEW`` at least, ``WORDS`` at most) and one class for all others are the model's vocabulary. The vector of a context
-is a linear map of the vectors of the words before (mean of a window, and the last one); its product with a word's vector, plus the log of the word's frequency, is the
-word's energy.
+shared folder. The words seen ``LEAST`` times or more (``FEW`` at least, ``WORDS`` at most) and one class for all others are the model's vocabulary, in order of
+frequency, cut into groups that grow with the rank of their words. The vector of a context is a linear map of the vectors of the words before (mean of a window, and the last one).
+Its product with a group's vector, plus the log of the group's frequency, is the group's energy; its product with a word's vector, plus the log of the word's frequency in its
+group, is the word's.
 
-Vectors are trained in numpy by noise-contrastive estimation on all training texts, each whole. They start from a pass over ``SAMPLE`` texts on the driver; in each of ``ROUNDS``
-every task goes through its texts from the same vectors, and a shuffle averages what the tasks changed, row by row, weighted by how often a task met the row.
+Vectors are trained in numpy by noise-contrastive estimation, of groups against groups and of words against words of the same group, on all training texts, each whole. They start from a pass over
+about ``SAMPLE`` whole texts in one task; in each of ``ROUNDS`` every task goes through its texts from the same vectors, and a shuffle averages what the tasks changed, row by row, weighted by how often a task met the row.
 
-For scoring, context vectors are replaced by the nearest of ``CENTRES``, k-means over all training contexts (Lloyd's rounds in tasks from a start on the sample). The vocabulary's
-probabilities in every centre are normalised exactly; a token costs one product of vectors. A word of the class of others adds its share of that class, (c + 0.5) / (sum of those). Counts of
+A token's probability is that of its group times its own within the group. Both come from products of the matrix of the tokens' own context vectors with that of all groups, and with that of
+all words of a group, and are normalised exactly. A word of the class of others adds its share of that class, (c + 0.5) / (sum of those). Counts of
 the ``HEAD`` most frequent words (a fixed number) travel to the tasks; the rare words of all texts meet their counts in a join.
 """
 
@@ -39,19 +40,22 @@ WORDS = HEAD
 SPAN = 16
 #: Length of vectors.
 WIDTH = 16
-#: Context centres; normalising them takes CENTRES x vocabulary products, once.
-CENTRES = 192
-#: Texts, and tokens of each, from which vectors and centres start on the driver. Training itself covers all texts.
+#: Texts, whole ones, from which vectors start. Training itself covers all texts.
 SAMPLE = 2_500
-TOKENS = 1_200
-#: Passes over all training texts, for vectors and for centres.
+#: Passes over all training texts.
 ROUNDS = 1
-LLOYD = 1
-#: Tokens of a step, and noise words that they share.
+#: Tokens of a step; noise groups that they share, and noise words that those of a group share.
 BATCH = 1024
-NOISE = 64
-#: Tokens from which a task handles the texts that it has read.
+NOISE = 32
+WITHIN = 4
+#: Words of the smallest and of the largest groups.
+SMALL, LARGE = 32, 1024
+#: Tokens from which a task handles the texts that it has read; tokens whose contexts are made at once; cells of a product of matrices.
 CHUNK = 1 << 18
+ROWS = 1 << 12
+CELLS = 1 << 17
+#: Largest energy, apart from frequencies.
+TOP = np.float32(60)
 #: Parts in which tasks' changes are averaged.
 PARTS = 64
 #: Weight of the model against the frequencies alone.
@@ -98,150 +102,240 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*_tally(parts))
 
 
-def classes(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-    return np.where(vocab[at] == h, at, len(vocab)) if len(vocab) else np.zeros(len(h), dtype=np.int64)
+@dataclass
+class Layout:
+    """The vocabulary: its words' hashes in order, their places by frequency, and frequencies by place; the last place is the class of others."""
+
+    vocab: np.ndarray
+    place: np.ndarray
+    unigram: np.ndarray
+
+    def __post_init__(self) -> None:
+        k = len(self.vocab)
+        # Groups grow with the rank of their words: tokens are mostly frequent words, and those of small groups cost little.
+        first = [0]
+        while first[-1] < k:
+            first.append(min(k, first[-1] + min(max(SMALL, first[-1] // 16), LARGE)))
+        self.first = np.array(first)
+        self.groups = len(first) - 1  # the class of others is one more
+        self.group = np.append(np.repeat(np.arange(self.groups), np.diff(self.first)), self.groups).astype(np.int32)
+        self.shares = np.add.reduceat(self.unigram, self.first)
+        self.deal = np.cumsum(self.unigram)
+        self.shares_deal = np.cumsum(self.shares)
+        self.within = (self.unigram / self.shares[self.group]).astype(np.float32)
+
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        k = len(self.vocab)
+        if not k:
+            return np.zeros(len(h), dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.vocab, h), k - 1)
+        return np.where(self.vocab[at] == h, self.place[at], k).astype(np.int32)
+
+
+@dataclass
+class State:
+    """Vectors: of words in the context, of words and groups to predict, scales of the window's mean and the last word; mean squared gradients' sums by row, for Adagrad."""
+
+    r: np.ndarray
+    q: np.ndarray
+    s: np.ndarray
+    gain: np.ndarray
+    gr: np.ndarray
+    gq: np.ndarray
+    gs: np.ndarray
+    gg: np.ndarray
+
+    def copy(self) -> State:
+        return State(*(x.copy() for x in vars(self).values()))
 
 
 @dataclass
 class Model:
-    """What the tasks need: counts of frequent words, the vocabulary's vectors, centres and log10 probabilities."""
+    """What the tasks need: counts of frequent words, the vocabulary and its vectors."""
 
     n: int
     v: int
     head: np.ndarray  # sorted hashes
     count: np.ndarray
-    vocab: np.ndarray  # sorted hashes of the words with a vector
-    vectors: np.ndarray  # of a word in the context; the last row is the class of others
-    gain: np.ndarray  # of the window's mean and of the last word
-    centres: np.ndarray
-    q: np.ndarray  # vectors of the words to predict
-    unigram: np.ndarray
-    logz: np.ndarray  # of each centre, log of the sum of exponents
+    layout: Layout
+    state: State
     others: float  # log10 of the sum of c + 0.5 over the words without a vector, one unknown word included
     least: int  # step of the smallest count in the head
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        return classes(self.vocab, h)
+    def __post_init__(self) -> None:
+        self.head_class = self.layout.classes(self.head)
 
-    def known(self, h: np.ndarray) -> np.ndarray:
-        """Training count of frequent words, -1 for others."""
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count of frequent words, -1 for others, and all words' classes: the vocabulary is among the frequent words."""
+        k = len(self.layout.vocab)
         if not len(self.head):
-            return np.full(len(h), -1)
+            return np.full(len(h), -1), np.full(len(h), k, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.count[at], -1)
+        there = self.head[at] == h
+        return np.where(there, self.count[at], -1), np.where(there, self.head_class[at], k)
+
+    def _bounded(self, x: np.ndarray) -> np.ndarray:
+        """Contexts, shortened where an energy could pass TOP."""
+        norm = lambda v: np.sqrt(np.einsum("nd,nd->n", v, v))
+        most = max(float(norm(self.state.q).max(initial=0)), float(norm(self.state.s).max(initial=0)), 1e-9)
+        return x * np.minimum(1, TOP / np.maximum(norm(x) * np.float32(most), TOP))[:, None]
+
+    def _groups(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponents of the groups' energies, frequencies apart, and what to divide by."""
+        e = x @ self.state.s.T
+        np.exp(e, out=e)
+        return e, e @ self.layout.shares.astype(np.float32)
+
+    def _words(self, x: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the words of a group."""
+        some = slice(self.layout.first[g], self.layout.first[g + 1])
+        e = x @ self.state.q[some].T
+        np.exp(e, out=e)
+        return e, e @ self.layout.within[some]
 
     def log10(self, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log10 probability of each token's class after its context."""
-        near = nearest(contexts(self.vectors, self.gain, cls, bounds), self.centres)
-        out = np.empty(len(cls))
-        for a in range(0, len(cls), 1 << 14):
-            c, w = near[a : a + (1 << 14)], cls[a : a + (1 << 14)]
-            u = self.unigram[w]
-            out[a : a + (1 << 14)] = np.log10(TRUST * u * np.exp(np.einsum("nd,nd->n", self.centres[c], self.q[w]) - self.logz[c]) + (1 - TRUST) * u)
-        return out
-
-    def normalise(self) -> None:
-        """Exact sums over the vocabulary, one centre at a time."""
-        self.logz = np.empty(len(self.centres))
-        for j, c in enumerate(self.centres.astype(float)):
-            e = self.q @ c
-            top = e.max()
-            self.logz[j] = top + np.log(np.exp(e - top) @ self.unigram)
-
-    @property
-    def logp(self) -> np.ndarray:
-        """Centres x (words + 1), log10; for small vocabularies."""
-        p = self.unigram * np.exp(self.centres.astype(float) @ self.q.T.astype(float) - self.logz[:, None])
-        return np.log10(TRUST * p + (1 - TRUST) * self.unigram)
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = 0.5 * (centres**2).sum(axis=1)
-    near = np.empty(len(x), dtype=np.int64)
-    for a in range(0, len(x), 1 << 14):
-        near[a : a + (1 << 14)] = np.argmax(x[a : a + (1 << 14)] @ centres.T - half, axis=1)
-    return near
-
-
-def contexts(vectors: np.ndarray, gain: np.ndarray, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Context vector of each token: the mean of up to SPAN words before it in its text, and the last one, each scaled."""
-    n = len(cls)
-    total = np.zeros((n + 1, vectors.shape[1]))
-    np.cumsum(vectors[cls], axis=0, out=total[1:])
-    at = np.arange(n)
+        lay = self.layout
+        x = self._bounded(contexts(self.state, cls, bounds))
+        g = lay.group[cls]
+        p = np.empty(len(cls), dtype=np.float32)
+        # Products of a size that stays in the processor's cache.
+        rows = max(64, CELLS // (lay.groups + 1))
+        for a in range(0, len(cls), rows):
+            part = g[a : a + rows]
+            e, z = self._groups(x[a : a + rows])
+            p[a : a + rows] = e[np.arange(len(part)), part] / z
+        order = np.argsort(g.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(g[order], np.arange(lay.groups + 1))
+        for j in np.flatnonzero(np.diff(ends)).tolist():
+            rows = max(64, CELLS // int(lay.first[j + 1] - lay.first[j]))
+            for a in range(ends[j], ends[j + 1], rows):
+                at = order[a : min(a + rows, ends[j + 1])]
+                e, z = self._words(x[at], j)
+                p[at] *= e[np.arange(len(at)), cls[at] - lay.first[j]] / z
+        u = lay.unigram[cls]
+        return np.log10(u * (TRUST * p + (1 - TRUST)))
+
+    def every(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the whole vocabulary after contexts; for small vocabularies."""
+        x = self._bounded(x)
+        e, z = self._groups(x)
+        p = (e / z[:, None])[:, self.layout.group]
+        for j in range(self.layout.groups):
+            e, z = self._words(x, j)
+            p[:, self.layout.first[j] : self.layout.first[j + 1]] *= e / z[:, None]
+        return self.layout.unigram * (TRUST * p + (1 - TRUST))
+
+
+def _before(r: np.ndarray, cls: np.ndarray, begin: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens from a to b: the mean of up to SPAN words before each in its text, and the last one."""
+    lo = max(0, a - SPAN)
+    rows = r[cls[lo:b]]
+    total = np.zeros((len(rows) + 1, WIDTH), np.float32)
+    np.cumsum(rows, axis=0, out=total[1:])
+    i = np.arange(a - lo, b - lo)
+    first = np.maximum(begin[a:b] - lo, i - SPAN)
+    mean = (total[i] - total[np.maximum(first, 0)]) / np.float32(SPAN)
+    last = rows[i - 1]
+    last[i == begin[a:b] - lo] = 0
+    return mean, last
+
+
+def contexts(s: State, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Context vector of each token."""
     begin = np.repeat(bounds[:-1], np.diff(bounds))
-    mean = (total[at] - total[np.maximum(begin, at - SPAN)]) / SPAN
-    last = np.where((at > begin)[:, None], vectors[cls[at - 1]], 0)
-    return (mean * gain[0] + last * gain[1]).astype(np.float32)
+    out = np.empty((len(cls), WIDTH), np.float32)
+    for a in range(0, len(cls), ROWS):
+        b = min(a + ROWS, len(cls))
+        mean, last = _before(s.r, cls, begin, a, b)
+        out[a:b] = mean * s.gain[0] + last * s.gain[1]
+    return out
 
 
-@dataclass
-class State:
-    """Vectors in training: of words in the context, of words to predict, scales; mean squared gradients' sums by row, for Adagrad."""
+def start(k: int, groups: int, seed: int = 7) -> State:
+    rng = np.random.default_rng(seed)
+    r, q, s = (rng.normal(0, d, (n, WIDTH)).astype(np.float32) for d, n in ((0.3, k), (0.05, k), (0.05, groups)))
+    return State(r, q, s, np.ones((2, WIDTH), np.float32), *(np.full(n, 1e-6, np.float32) for n in (k, k, groups, (2, WIDTH))))
 
-    r: np.ndarray
-    q: np.ndarray
-    gain: np.ndarray
-    gr: np.ndarray
-    gq: np.ndarray
-    gg: np.ndarray
 
-    def copy(self) -> State:
-        return State(*(x.copy() for x in vars(self).values()))
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(x), dtype=bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
-def start(k: int, seed: int = 7) -> State:
-    rng = np.random.default_rng(seed)
-    r, q = rng.normal(0, 0.3, (k, WIDTH)).astype(np.float32), rng.normal(0, 0.05, (k, WIDTH)).astype(np.float32)
-    return State(r, q, np.ones((2, WIDTH), np.float32), *(np.full(n, 1e-6, np.float32) for n in (k, k, (2, WIDTH))))
+def _change(target: np.ndarray, acc: np.ndarray, index: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """A step of Adagrad on the rows ``index``; rows that come several times get the sum."""
+    order = np.argsort(index)
+    index = index[order]
+    first = _firsts(index)
+    rows, g = index[first], np.add.reduceat(g[order], first, axis=0)
+    seen = acc[rows] + np.einsum("nd,nd->n", g, g) / np.float32(WIDTH)
+    acc[rows] = seen
+    g *= (rate / np.sqrt(seen)).astype(np.float32)[:, None]
+    target[rows] -= g
 
 
-def _sums(index: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of what each gets, and how often."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(index)))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
 
+def learn(s: State, cls: np.ndarray, bounds: np.ndarray, layout: Layout, rng: np.random.Generator, rate: float = 0.15) -> None:
+    """One pass over texts (classes, bounds), changing ``s``."""
+    with np.errstate(over="ignore"):
+        _learn(s, cls, bounds, layout, rng, rate)
 
-def learn(s: State, cls: np.ndarray, bounds: np.ndarray, deal: np.ndarray, rng: np.random.Generator, met: np.ndarray | None = None, rate: float = 0.15) -> None:
-    """One pass over texts (classes, bounds), changing ``s``; ``deal`` is the running sum of frequencies. ``met`` counts how often the rows of r and q were changed."""
+
+def _learn(s: State, cls: np.ndarray, bounds: np.ndarray, layout: Layout, rng: np.random.Generator, rate: float) -> None:
     begin, end = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
-    k = len(s.r)
+    groups, top = layout.groups, layout.first
+    low = np.append(0, layout.deal)[top[:-1]]
+    width = layout.deal[top[1:] - 1] - low if groups else low
+    log_noise, log_within = np.float32(np.log(NOISE)), np.float32(np.log(WITHIN))
     for a in range(0, len(cls), BATCH):
         lo, b = max(0, a - SPAN), min(a + BATCH, len(cls))
-        c, new = cls[lo:b], slice(a - lo, None)
-        i = np.arange(len(c))
-        first, after = np.maximum(begin[lo:b] - lo, np.maximum(i - SPAN, 0)), np.minimum(end[lo:b] - lo, len(c))
-        rows = s.r[c]
-        total = np.zeros((len(c) + 1, WIDTH), np.float32)
-        np.cumsum(rows, axis=0, out=total[1:])
-        mean = ((total[i] - total[first]) / SPAN)[new]
-        last = np.zeros_like(rows)
-        last[1:] = rows[:-1]
-        last[i == begin[lo:b] - lo] = 0
-        last = last[new]
+        mean, last = _before(s.r, cls, begin, a, b)
         h = mean * s.gain[0] + last * s.gain[1]
-        noise = np.minimum(np.searchsorted(deal, rng.random(NOISE) * deal[-1]), k - 1)
-        qt, qn = s.q[c[new]], s.q[noise]
-        with np.errstate(over="ignore"):
-            own = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - np.einsum("nd,nd->n", h, qt))) - 1
-            other = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - h @ qn.T))
-        dh = own[:, None] * qt + other @ qn
+        w, g = cls[a:b], layout.group[cls[a:b]]
+        # Groups against noise groups that the step shares.
+        noise = np.minimum(np.searchsorted(layout.shares_deal, rng.random(NOISE) * layout.shares_deal[-1]), groups)
+        sg, sn = s.s[g], s.s[noise]
+        own = _sigmoid(np.einsum("nd,nd->n", h, sg) - log_noise) - 1
+        other = _sigmoid(h @ sn.T - log_noise)
+        dh = own[:, None] * sg + other @ sn
+        changes = [(s.s, s.gs, np.concatenate([g, noise]), np.concatenate([own[:, None] * h, other.T @ h]))]
+        # Words against noise words of their group.
+        order = np.argsort(g.astype(np.uint16), kind="stable")  # few groups: sorted by digits
+        order = order[: len(order) - int(np.count_nonzero(g == groups))]
+        if len(order):
+            ws, hs, gs = w[order], h[order], g[order]
+            first = _firsts(gs)
+            there = gs[first]
+            drawn = low[there, None] + np.sort(rng.random((len(there), WITHIN)), axis=1) * width[there, None]
+            noise = np.clip(np.searchsorted(layout.deal, drawn), top[there, None], top[there + 1, None] - 1)
+            qw, qn = s.q[ws], s.q[noise][np.repeat(np.arange(len(there)), np.diff(np.append(first, len(gs))))]
+            own = _sigmoid(np.einsum("nd,nd->n", hs, qw) - log_within) - 1
+            other = _sigmoid(np.einsum("njd,nd->nj", qn, hs) - log_within)
+            dh[order] += own[:, None] * qw + np.einsum("nj,njd->nd", other, qn)
+            pulled = np.add.reduceat(other[:, :, None] * hs[:, None, :], first, axis=0).reshape(-1, WIDTH)
+            changes.append((s.q, s.gq, np.concatenate([ws, noise.ravel().astype(np.int32)]), np.concatenate([own[:, None] * hs, pulled])))
         # A word gets what the contexts of the SPAN words after it in its text get.
-        run = np.zeros((len(c) + 1, WIDTH), np.float32)
+        i = np.arange(b - lo)
+        after = np.minimum(end[lo:b] - lo, b - lo)
+        run = np.zeros((b - lo + 1, WIDTH), np.float32)
         np.cumsum(dh, axis=0, out=run[a - lo + 1 :])
         dr = (run[np.minimum(i + SPAN + 1, after)] - run[i + 1]) * (s.gain[0] / SPAN)
         follows = np.flatnonzero((i + 1 < after) & (i + 1 >= a - lo))
         dr[follows] += dh[follows + 1 - (a - lo)] * s.gain[1]
-        for j, (target, acc, index, g) in enumerate(((s.q, s.gq, np.concatenate([c[new], noise]), np.concatenate([own[:, None] * h, other.T @ h])), (s.r, s.gr, c, dr))):
-            touched, g, times = _sums(index, g)
-            acc[touched] += (g**2).mean(axis=1)
-            target[touched] -= rate * g / np.sqrt(acc[touched])[:, None]
-            if met is not None:
-                met[j, touched] += times
-        d = np.stack([(dh * mean).sum(axis=0), (dh * last).sum(axis=0)])
+        changes.append((s.r, s.gr, cls[lo:b], dr))
+        for target, acc, index, x in changes:
+            _change(target, acc, index, x, rate)
+        d = np.stack([np.einsum("nd,nd->d", dh, mean), np.einsum("nd,nd->d", dh, last)])
         s.gg += d**2
         s.gain -= 0.02 * d / np.sqrt(s.gg)
 
@@ -258,41 +352,59 @@ def _joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             texts, size = [], 0
 
 
-def _pass(table: DataFrame, s: State, deal: np.ndarray, seed: int) -> State:
+def _begun(sample: DataFrame, s: State, layout: Layout) -> State:
+    """``s`` after a pass over a sample of bounded size, in one task."""
+    sent = sample.sparkSession.sparkContext.broadcast(pickle.dumps((s, layout)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words_ = pickle.loads(sent.value)
+        rng = np.random.default_rng(7)
+        for batch in batches:
+            for cls, bounds in _joined(batch.column(0)):
+                learn(now, cls, bounds, words_, rng)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(now)], pa.binary())], names=["x"])
+
+    # In an order of its own: the shuffle's would change from run to run.
+    row = sample.repartition(1).sortWithinPartitions(F.xxhash64("c"), "c").mapInArrow(run, "x binary").first()
+    sent.unpersist()
+    return pickle.loads(row["x"]) if row else s
+
+
+def _pass(table: DataFrame, s: State, layout: Layout, seed: int) -> State:
     """A pass over all texts: tasks train on their own from ``s``, and rows are averaged over the tasks that met them."""
-    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps((s, deal)))
+    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps((s, layout)))
     k = len(s.r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        old, dealt = pickle.loads(sent.value)
-        now, met, n = old.copy(), np.zeros((2, k), np.float32), 0
+        old, words_ = pickle.loads(sent.value)
+        now, met, n = old.copy(), np.zeros(k, np.float32), 0
         rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
         for batch in batches:
             for cls, bounds in _joined(batch.column(0)):
-                learn(now, cls, bounds, dealt, rng, met)
+                learn(now, cls, bounds, words_, rng)
+                met += np.bincount(cls, minlength=k)
                 n += len(cls)
         if not n:
             return
         for part in range(PARTS):
             blobs = []
-            for j, (new, was, acc, acc_was) in enumerate(((now.r, old.r, now.gr, old.gr), (now.q, old.q, now.gq, old.gq))):
-                m = met[1 - j]
-                rows = np.flatnonzero(m[part::PARTS]).astype(np.int32)
+            for new, was, acc, acc_was in ((now.q, old.q, now.gq, old.gq), (now.r, old.r, now.gr, old.gr)):
+                rows = np.flatnonzero(acc[part::PARTS] != acc_was[part::PARTS]).astype(np.int32)
                 at = rows * PARTS + part
-                blobs.append((rows, m[at], (new[at] - was[at]).astype(np.float16), acc[at] - acc_was[at]))
+                blobs.append((rows, np.maximum(met[at], 1), (new[at] - was[at]).astype(np.float16), acc[at] - acc_was[at]))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(pickle.dumps(blobs), 1)], pa.binary())], names=["part", "x"])
-        yield pa.RecordBatch.from_arrays([pa.array([PARTS], pa.int32()), pa.array([pickle.dumps((n, now.gain - old.gain, now.gg - old.gg))], pa.binary())], names=["part", "x"])
+        small = [float(n)] + [n * (getattr(now, x) - getattr(old, x)).astype(float) for x in _SMALL]
+        yield pa.RecordBatch.from_arrays([pa.array([PARTS], pa.int32()), pa.array([pickle.dumps(small)], pa.binary())], names=["part", "x"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
             for part, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part == PARTS:
-                    n, gain, gg = pickle.loads(x.as_buffer())
-                    v = (n, n * gain, n * gg)
-                    sums[part] = tuple(p + q for p, q in zip(sums[part], v, strict=True)) if part in sums else v
+                    v = pickle.loads(x.as_buffer())
+                    sums[part] = [p + q for p, q in zip(sums[part], v, strict=True)] if part in sums else v
                     continue
                 size = len(range(part, k, PARTS))
                 held = sums.setdefault(part, [(np.zeros(size), np.zeros((size, WIDTH)), np.zeros(size)) for _ in range(2)])
@@ -301,7 +413,7 @@ def _pass(table: DataFrame, s: State, deal: np.ndarray, seed: int) -> State:
                     d[rows] += m[:, None] * delta.astype(float)
                     g[rows] += m * acc
         for part, v in sums.items():
-            out = (v[1] / v[0], v[2] / v[0]) if part == PARTS else [((d / np.maximum(w, 1)[:, None]).astype(np.float32), (g / np.maximum(w, 1)).astype(np.float32)) for w, d, g in v]
+            out = [x / v[0] for x in v[1:]] if part == PARTS else [((d / np.maximum(w, 1)[:, None]).astype(np.float32), (g / np.maximum(w, 1)).astype(np.float32)) for w, d, g in v]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(out)], pa.binary())], names=["part", "x"])
 
     schema = "part int, x binary"
@@ -309,53 +421,18 @@ def _pass(table: DataFrame, s: State, deal: np.ndarray, seed: int) -> State:
     for row in table.mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(mean, schema).toLocalIterator():
         v = pickle.loads(row["x"])
         if row["part"] == PARTS:
-            after.gain += v[0].astype(np.float32)
-            after.gg += v[1].astype(np.float32)
+            for name, x in zip(_SMALL, v, strict=True):
+                getattr(after, name)[...] += x.astype(np.float32)
         else:
-            for (d, g), target, acc in zip(v, (after.r, after.q), (after.gr, after.gq), strict=True):
+            for (d, g), target, acc in zip(v, (after.q, after.r), (after.gq, after.gr), strict=True):
                 target[row["part"] :: PARTS] += d
                 acc[row["part"] :: PARTS] += g
     sent.unpersist()
     return after
 
 
-def _lloyd(table: DataFrame, s: State, centres: np.ndarray) -> np.ndarray:
-    """One of Lloyd's rounds over the contexts of all texts; a task sends a row a centre."""
-    sent = table.sparkSession.sparkContext.broadcast(pickle.dumps((s.r, s.gain, centres)))
-    names = [f"x{j}" for j in range(WIDTH)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, gain, c = pickle.loads(sent.value)
-        total, n = np.zeros((len(c), WIDTH)), np.zeros(len(c), np.int64)
-        for batch in batches:
-            for cls, bounds in _joined(batch.column(0)):
-                x = contexts(r, gain, cls, bounds)
-                near = nearest(x, c)
-                n += np.bincount(near, minlength=len(c))
-                for j in range(WIDTH):
-                    total[:, j] += np.bincount(near, weights=x[:, j], minlength=len(c))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c)), pa.int32()), pa.array(n), *(pa.array(t) for t in total.T)], names=["j", "n", *names])
-
-    rows = table.mapInArrow(run, "j int, n long, " + ", ".join(f"{x} double" for x in names)).groupBy("j").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).collect()
-    out = centres.copy()
-    for row in rows:
-        if row["n"]:
-            out[row["j"]] = [row[x] / row["n"] for x in names]
-    sent.unpersist()
-    return out
-
-
-def _centres(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
-    """Lloyd's k-means on a sample, where the rounds over all contexts start."""
-    rng = np.random.default_rng(seed)
-    x = x[rng.permutation(len(x))[:60_000]]
-    c = x[rng.permutation(len(x))[:k]].copy()
-    for _ in range(12):
-        near = np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
-        n = np.bincount(near, minlength=len(c))
-        for j in range(x.shape[1]):
-            c[:, j] = np.where(n > 0, np.bincount(near, weights=x[:, j], minlength=len(c)) / np.maximum(n, 1), c[:, j])
-    return c
+#: Parts of the state that every task changes as a whole.
+_SMALL = ("s", "gain", "gs", "gg")
 
 
 def _step():
@@ -381,45 +458,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     c = rows.column("c").to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    top = np.sort(np.argsort(-c, kind="stable")[: min(WORDS, max(FEW, int((c >= LEAST).sum())))])
-    vocab, own = h[top], c[top]
-    rest = n - int(own.sum()) + 0.5 * (v - len(vocab) + 1)
-    weight = np.append(own + 0.5, rest)
-    blank = np.zeros((len(vocab) + 1, WIDTH), np.float32)
-    model = Model(n, v, h, c, vocab, blank, np.ones((2, WIDTH), np.float32), np.zeros((1, WIDTH), np.float32), blank, weight / weight.sum(), np.zeros(1), float(np.log10(rest)), least)
+    # The vocabulary by frequency, ties by hash.
+    top = np.argsort(-c, kind="stable")[: min(WORDS, max(FEW, int((c >= LEAST).sum())))]
+    rest = n - int(c[top].sum()) + 0.5 * (v - len(top) + 1)
+    weight = np.append(c[top] + 0.5, rest)
+    by_hash = np.argsort(h[top])
+    layout = Layout(h[top][by_hash], by_hash.astype(np.int32), weight / weight.sum())
+    state = start(len(weight), layout.groups + 1)
     if n:
-        sent = docs.sparkSession.sparkContext.broadcast(vocab.tobytes())
+        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(layout))
         size = slim.count()
         table = cut(slim.mapInArrow(_classes(sent), "c binary, draw double"), "classes")
-        drawn = table.where(F.col("draw") < SAMPLE / size).select(F.substring("c", 1, 4 * TOKENS).alias("c"))
-        texts = [np.frombuffer(bytes(r["c"]), dtype=np.int32) for r in drawn.collect()]
-        cls, bounds = np.concatenate([*texts, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        deal, state = np.cumsum(model.unigram), start(len(weight))
-        if len(cls):
-            learn(state, cls, bounds, deal, np.random.default_rng(7))
+        state = _begun(table.where(F.col("draw") < SAMPLE / size).select("c"), state, layout)
         for i in range(ROUNDS):
-            state = _pass(table.select("c"), state, deal, i)
-        model.vectors, model.q, model.gain = state.r, state.q, state.gain
-        if len(cls):
-            model.centres = _centres(contexts(state.r, state.gain, cls, bounds), CENTRES).astype(np.float32)
-        for _ in range(LLOYD):
-            model.centres = _lloyd(table.select("c"), state, model.centres)
-        model.normalise()
+            state = _pass(table.select("c"), state, layout, i)
         forget(table)
-    return model, counts
+    return Model(n, v, h, c, layout, state, float(np.log10(rest)), least), counts
 
 
 def _classes(sent):
     """Classes of each whole text, and a number from 0 to 1 that draws texts for the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = np.frombuffer(sent.value, dtype=np.uint64)
+        layout: Layout = pickle.loads(sent.value)
         for batch in batches:
             for ids, data, offs in slices(batch.column(0), batch.column(1)):
                 h, bounds = tokens(data, offs)
-                cls = classes(vocab, h).astype(np.int32)
+                cls = layout.classes(h)
                 out = [cls[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                draw = [(zlib.crc32(x) ^ zlib.crc32(str(i).encode())) / 2**32 for i, x in zip(pa.array(ids).to_pylist(), out, strict=True)]
+                draw = [(zlib.crc32(x) ^ zlib.crc32(str(i).encode())) / 2**32 for i, x in zip(ids.to_pylist(), out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(draw, pa.float64())], names=["c", "draw"])
 
     return run
@@ -453,11 +520,11 @@ def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = pickle.loads(sent.value)
         z = np.log10(model.n + 0.5 * (model.v + 1))
-        k = len(model.vocab)
+        k = len(model.layout.vocab)
         for batch in batches:
             for ids, data, offs in slices(batch.column(0), batch.column(1)):
                 h, bounds = tokens(data, offs)
-                count, cls = model.known(h), model.classes(h)
+                count, cls = model.known(h)
                 seen = count >= 0
                 logs = np.where(seen, np.log10(np.maximum(count, 0) + 0.5), 0.0)
                 own = model.log10(cls, bounds).astype(float) + np.where((cls == k) & seen, logs - model.others, 0.0)
@@ -472,7 +539,7 @@ def _score(sent):
                 times = np.diff(np.append(new, len(rare))).astype(np.int32)
                 lists = np.searchsorted(doc[new], np.arange(len(ids) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64(), from_pandas=True), pa.array(np.diff(bounds), pa.int64()), pa.array(add(seen & (count > 0)), pa.int64()), pa.array(add(np.where(seen, logs - z, 0.0))),
+                    ids, pa.array(np.diff(bounds), pa.int64()), pa.array(add(seen & (count > 0)), pa.int64()), pa.array(add(np.where(seen, logs - z, 0.0))),
                     pa.array(add(own)), pa.array(n_rare, pa.int64()), pa.ListArray.from_arrays(lists, pa.array(rare[new].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(times)),
                 ], names=["id", "n_tokens", "n_known", "base", "model", "n_rare", "rare", "times"])
 
