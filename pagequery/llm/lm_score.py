@@ -102,6 +102,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*_tally(parts))
 
 
+class Places:
+    """Places of hashes in a sorted array; their first bits say where to begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        bits = max(8, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.jump = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        at = self.jump[(h >> self.shift).astype(np.int64)]
+        found = self.keys[at]
+        todo = np.flatnonzero(found < h)
+        while len(todo):
+            at[todo] += 1
+            k = self.keys[at[todo]]
+            found[todo] = k
+            todo = todo[k < h[todo]]
+        return at, (found == h) & (at < len(self.keys) - 1)
+
+
 @dataclass
 class Layout:
     """The vocabulary: its words' hashes in order, their places by frequency, and frequencies by place; the last place is the class of others."""
@@ -123,13 +145,15 @@ class Layout:
         self.deal = np.cumsum(self.unigram)
         self.shares_deal = np.cumsum(self.shares)
         self.within = (self.unigram / self.shares[self.group]).astype(np.float32)
+        self.places = Places(self.vocab)
+        self.by_place = np.append(self.place, k).astype(np.int32)
 
     def classes(self, h: np.ndarray) -> np.ndarray:
         k = len(self.vocab)
         if not k:
             return np.zeros(len(h), dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.vocab, h), k - 1)
-        return np.where(self.vocab[at] == h, self.place[at], k).astype(np.int32)
+        at, there = self.places.find(h)
+        return np.where(there, self.by_place[at], np.int32(k))
 
 
 @dataclass
@@ -163,16 +187,15 @@ class Model:
     least: int  # step of the smallest count in the head
 
     def __post_init__(self) -> None:
-        self.head_class = self.layout.classes(self.head)
+        self.places = Places(self.head)
+        self.head_class = np.append(self.layout.classes(self.head), len(self.layout.vocab)).astype(np.int32)
+        self.head_count = np.append(self.count, -1)
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training count of frequent words, -1 for others, and all words' classes: the vocabulary is among the frequent words."""
-        k = len(self.layout.vocab)
-        if not len(self.head):
-            return np.full(len(h), -1), np.full(len(h), k, dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        there = self.head[at] == h
-        return np.where(there, self.count[at], -1), np.where(there, self.head_class[at], k)
+        at, there = self.places.find(h)
+        at = np.where(there, at, len(self.head))
+        return self.head_count[at], self.head_class[at]
 
     def _bounded(self, x: np.ndarray) -> np.ndarray:
         """Contexts, shortened where an energy could pass TOP."""

@@ -20,10 +20,10 @@ import numpy as np
 from .bytescan import LOWER, mix
 
 #: Different pieces in the cache, short and long ones; it starts afresh when it is full.
-CACHE = 600_000
-LONG = 100_000
+CACHE = 400_000
+LONG = 60_000
 #: Slots of the table, a power of two.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
 #: What the splitting relies on; other tokenizers encode texts whole.
