@@ -60,6 +60,48 @@ def test_exact_dedup(spark, keep):
     assert len(twice) == 4 and sum(r["kept"] for r in twice if r["doc_id"] == 1) == 2
 
 
+@given(st.lists(st.text(st.sampled_from("abZÉßİIJK'st<|12²٣.,! \n\t\x0b\x1c\x85\xa0\u0301\u0307\u030c\u2003\u3000文жΣς가\u200b\ufeff😀\x00\x7f_-") | st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_ids_are_the_tokenizers(texts):
+    import pyarrow as pa
+
+    from pagequery.llm.bytescan import slices
+    from pagequery.llm.tokens import default_path, encoder
+
+    texts = [*texts, "x" + texts[0] + "<|endoftext|>" + texts[-1], "İ.", " ".join(texts) * 3]
+    e = encoder(default_path())
+    for size in (1 << 20, 1):
+        got = []
+        for ids, data, offs in slices(pa.array(range(len(texts))), pa.array(texts), size):
+            x, bounds = e.encode(data, offs)
+            got += [x[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_with_a_full_cache(monkeypatch):
+    from pagequery.llm import tokens as m
+
+    monkeypatch.setattr(m, "CACHE", 40)
+    monkeypatch.setattr(m, "LONG", 6)
+    rng = random.Random(3)
+    e = m.PieceEncoder(m.default_path())
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdé'") for _ in range(rng.choice([1, 3, 20]))) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+        offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        x, bounds = e.encode(data, offs)
+        assert [x[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_null_id_leaves_others_alone():
+    import pyarrow as pa
+
+    from pagequery.llm.bytescan import slices
+
+    ids = pa.array([None, 2**60 + 1, 3])
+    assert pa.concat_arrays([i for i, _, _ in slices(ids, pa.array(["a", None, "b"]), 1)]).to_pylist() == [None, 2**60 + 1, 3]
+
+
 def test_exact_dedup_survives_collisions(spark, monkeypatch):
     from pagequery.llm import exact_dedup as m
 
@@ -178,9 +220,11 @@ def test_jaccard(spark, monkeypatch, seed, send):
     assert got == brute_components(rows)
 
 
-def test_jaccard_counts_every_link(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
     from pagequery.llm import jaccard as m
 
+    monkeypatch.setattr(m, "BLOCK", block)
     rng = random.Random(5)
     body = [f"w{i}" for i in range(200)]
     rows = []
@@ -197,6 +241,29 @@ def test_jaccard_counts_every_link(spark):
     assert "n_links" not in m.jaccard_components(table(spark, rows), count_links=False).columns
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=50), min_size=2, max_size=40), st.integers(1, 39), st.integers(1, 100))
+def test_link_counts(sets, cut_at, num):
+    from pagequery.llm.jaccard import link_counts
+
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    link = lambda x, y: 100 * len(x & y) >= num * len(x | y)
+    assert link_counts(arrays, None, num, 100)[0].tolist() == [sum(i != j and link(x, y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    a, b = sets[:cut_at], sets[cut_at:]
+    if b:
+        left, right = link_counts(arrays[:cut_at], arrays[cut_at:], num, 100)
+        assert left.tolist() == [sum(link(x, y) for y in b) for x in a] and right.tolist() == [sum(link(x, y) for x in a) for y in b]
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    from pagequery.llm.jaccard import jaccard_components
+
+    a, b = "q w e r t y u i", "a b c d e f g h"
+    rows = [(5, a), (5, a), (5, b), (None, b), (3, "z y x w v"), (None, "lone"), (9, a), (7, None), (7, None)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard_components(table(spark, rows).repartition(3)).collect())
+    assert got == sorted([("5", 4, "5", 0)] * 3 + [("None", 4, "5", 0), ("3", 1, "3", 0), ("None", 1, "None", 0), ("9", 4, "5", 0)] + [("7", 0, "7", 0)] * 2)
+
+
 def test_jaccard_empty(spark):
     from pagequery.llm.jaccard import jaccard_components
 
@@ -233,7 +300,10 @@ def test_decontaminate(spark, monkeypatch, block):
         for a in range(len(w) - size + 1) if size else ():
             windows.setdefault(tuple(w[a : a + size]), set()).add(str(j))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit(1))
-    got = {r["doc_id"]: r for r in m.decontaminate(table(spark, docs), bench).collect()}
+    docs.append((2**60 + 1, docs[3][1]))
+    extra = table(spark, [*docs, (None, docs[5][1])]).repartition(3)
+    got = {r["doc_id"]: r for r in m.decontaminate(extra, bench).collect()}
+    assert got.pop(None)["items"] == got[5]["items"]
     for i, t in docs:
         w, hit, names = words(t), set(), set()
         for size in {len(x) for x in windows}:
@@ -265,7 +335,22 @@ def test_run_index(parts, length):
     from pagequery.llm.suffix_dedup import RunIndex, repeated
 
     parts = [p for p in parts if len(p) >= length] or [b"a" * length]
-    assert [x.tolist() for x in repeated(parts, length)] == brute_windows(parts, length)
+    covered = [np.zeros(len(p), dtype=bool) for p in parts]
+    spans = [[] for _ in parts]
+    for i, a, b in zip(*map(np.ndarray.tolist, repeated(parts, length)), strict=True):
+        covered[i][a:b] = True
+        spans[i].append((a, b))
+    assert all(x[1] < y[0] for s in spans for x, y in itertools.pairwise(s))
+    for c, marks in zip(covered, brute_windows(parts, length), strict=True):
+        want = np.zeros(len(c), dtype=bool)
+        for a in np.flatnonzero(marks):
+            want[a : a + length] = True
+        assert c.tolist() == want.tolist()
+    sure = np.arange(len(parts)) % 2 == 0
+    twice = repeated([*parts, *[p for p, s in zip(parts, sure, strict=True) if s]], length)
+    again = repeated(parts, length, sure)
+    keep = twice[0] < len(parts)
+    assert all(x[keep].tolist() == y.tolist() for x, y in zip(twice, again, strict=True))
     text = np.frombuffer(b"\xff".join(parts) + b"\xff", dtype=np.uint8)
     index = RunIndex(text, max(map(len, parts)))
     assert index.lengths.sum() == len(text) and len(index.letters) <= len(text)
@@ -288,8 +373,10 @@ def test_repeated_spans(spark, length, many):
         assert (r["n_bytes"], sum(s["b"] - s["a"] for s in r["spans"]), r["kept_sha256"]) == (len(data), int(cover.sum()), hashlib.sha256(kept).hexdigest()), i
         assert len(r["spans"]) == runs
     assert repeated_spans(table(spark, EMPTY)).count() == 0
-    same = repeated_spans(table(spark, [(1, "q" * 300), (1, "q" * 300)])).collect()
-    assert [len(r["spans"]) for r in same] == [1, 1]
+    rng = random.Random(1)
+    one, other = prose(rng, 60), prose(rng, 60)
+    same = repeated_spans(table(spark, [(1, one), (1, one), (1, other), (None, other), (None, None), (2, prose(rng, 60))]).repartition(2)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], len(r["spans"])) for r in same) == sorted([("1", len(one), 1)] * 2 + [("1", len(other), 1), ("None", len(other), 1), ("None", 0, 0), ("2", [r["n_bytes"] for r in same if r["doc_id"] == 2][0], 0)])
 
 
 # --- 4
@@ -357,9 +444,17 @@ def test_warc(spark, monkeypatch):
     for b in {r["bundle"] for r in index.collect()}:
         frames = m.seek_table(fs, f"{root}/{b}")
         raw = fs.open_input_file(f"{root}/{b}").read()
-        assert {(r["frame"], r["frame_at"], r["frame_bytes"]) for r in index.collect() if r["bundle"] == b} == {(k, a, c) for k, (a, c, _, _) in enumerate(frames)}
+        assert {r["frame"] for r in index.collect() if r["bundle"] == b} == set(range(len(frames)))
         assert b"".join(zstandard.ZstdDecompressor().decompress(raw[a : a + c]) for a, c, _, _ in frames).startswith(b"WARC/1.1")
         assert raw[-4:] == m.struct.pack("<I", m.SEEKABLE_MAGIC)
+    # Ids are the records' own: an index that names others is found out.
+    with pytest.raises(Exception, match="where record"):
+        m.read_records(uri, index.withColumn("id", F.col("id") + 1)).collect()
+    # Rows with a null id, and an id with two payloads.
+    odd = spark.createDataFrame([(None, "u", long), (1, "u", long), (2, "u", long), (2, "u", "short"), (1, "u", "short")], "page_id long, url string, html string")
+    got = sorted((str(r["id"]), r["kind"], r["payload_bytes"], r["refers_to"]) for r in m.read_records(*m.write(odd)).collect())
+    size = len(long.encode())
+    assert got == sorted([("None", "response", size, None), ("1", "revisit", size, 2), ("2", "response", size, None), ("2", "response", 5, None), ("1", "response", 5, None)])
     uri, index = m.write(pages.limit(0))
     assert index.count() == 0 and m.read_records(uri, index).count() == 0
     with pytest.raises(ValueError):
@@ -397,6 +492,35 @@ def test_toxicity(spark):
     assert fold("ｉｄ１ＯＴ ѕсum p​at") == "idiot scum pat"
 
 
+def test_toxicity_against_a_plain_matcher(spark):
+    from pagequery.llm.toxicity import Lexicon, features, fold, score
+
+    rng = random.Random(11)
+    lexicon = Lexicon({"nitwit": 2.0, "dolt*": 1.5, "dolt": 0.5, "grumb*": 1.0, "ass": 3.0}, ["not nitwit", "ass of one dolt", "the dolts"], (-2.0, 0.8, 0.5))
+    parts = ["nitwit", "dolt", "doltish", "dolts", "grumbler", "ass", "assume", "not", "of", "one", "the", "N1TWIT", "d0lt", "a$s", "аss", "x"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(2**60 + 1, "nitwit"), (None, "dolt"), (900, "ass of one dolt " * 20_000)]
+    got = {r["doc_id"]: r for r in score(table(spark, rows), lexicon).collect()}
+    for i, t in rows[:-1]:
+        text, hits = fold(t), []
+        covered = [(a, a + len(p)) for p in lexicon.exceptions for a in range(len(text)) if text.startswith(p, a)]
+        for a in range(len(text)):
+            if a and text[a - 1].isalpha():
+                continue
+            best = None
+            for term, w in lexicon.terms.items():
+                b = a + len(term.rstrip("*"))
+                if text.startswith(term.rstrip("*"), a) and (term.endswith("*") or not text[b : b + 1].isalpha()) and (best is None or b >= best[1]):
+                    if best is None or b > best[1] or term.endswith("*"):
+                        best = (a, b, w, term)
+            if best and not any(x <= best[0] and best[1] <= y for x, y in covered):
+                hits.append(best)
+        assert got[i]["n_hits"] == len(hits), (t, hits)
+        if not {h[3] for h in hits} & {"dolt", "dolt*"}:
+            f = features(hits, len(text))
+            assert abs(got[i]["score"] - 1 / (1 + np.exp(2.0 - 0.8 * f[0] - 0.5 * f[1]))) < 1e-9
+    assert got[900]["n_hits"] == 0 and got[None]["n_hits"] == 1 and got[2**60 + 1]["terms"] == ["nitwit"]
+
+
 # --- 3
 
 
@@ -422,7 +546,28 @@ def test_lm(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n) and abs(r["base_score"] - base) < 1e-6 * abs(base) + 1e-9
         gain += (r["score"] - base) if i % 5 == 0 and i < 300 else 0
     assert gain > 0 and len(got) == len(rows)
-    assert np.allclose((10.0 ** model.logp.astype(float)).sum(axis=1), 1, atol=1e-3)
+    # Scores of whole texts from the model's definition, token by token, each context's probabilities summed over the whole vocabulary.
+    from pagequery.llm.bytescan import slices
+
+    x, lay = model.state, model.layout
+    import pyarrow as pa
+
+    for i, t in [(i, t) for i, t in rows if i % 17 == 0][:15] + [(900, None), (902, "new words here")]:
+        ids, data, offs = next(slices(pa.array([i]), pa.array([t], pa.string())))
+        h = m.tokens(data, offs)[0]
+        cls, total = lay.classes(h), 0.0
+        for j, w in enumerate(cls):
+            before = x.r[cls[max(0, j - m.SPAN) : j]].astype(float)
+            context = before.sum(axis=0) / m.SPAN * x.gain[0] + (before[-1] if j else 0) * x.gain[1]
+            group = np.exp(x.s.astype(float) @ context) * lay.shares
+            block = np.flatnonzero(lay.group == lay.group[w])
+            word = np.exp(x.q[block].astype(float) @ context) * lay.unigram[block]
+            p = group[lay.group[w]] / group.sum() * (word[block == w][0] / word.sum() if w < len(lay.vocab) else 1)
+            own = np.log10(m.TRUST * p + (1 - m.TRUST) * lay.unigram[w])
+            total += own + (np.log10(c.get((lower(t) + [""])[j], 0) + 0.5) - model.others if w == len(lay.vocab) else 0)
+        assert abs(got[i]["score"] - total) < 1e-4 * abs(total) + 1e-6
+    every = model.every(np.random.default_rng(0).normal(0, 2, (50, m.WIDTH)).astype(np.float32))
+    assert np.allclose(every.sum(axis=1), 1, atol=1e-4) and (every > 0).all()
     assert m.score(table(spark, EMPTY), model, counts).count() == 0
     model, counts = m.fit(table(spark, EMPTY))
     r = m.score(table(spark, [(1, "a b")]), model, counts).first()
@@ -435,16 +580,17 @@ def test_lm_trains_on_all_texts_and_whole_ones(spark, monkeypatch):
     from pagequery.llm import lm_score as m
 
     monkeypatch.setattr(m, "SAMPLE", 0)
-    monkeypatch.setattr(m, "TOKENS", 0)
     monkeypatch.setattr(m, "FEW", 1)
     monkeypatch.setattr(m, "LEAST", 20)
     rng = random.Random(3)
     tongues = [[f"{p}{i}" for i in range(120)] for p in "abc"]
     model, _ = m.fit(table(spark, [(i, prose(rng, rng.randint(40, 80), tongues[i % 3])) for i in range(300)]).repartition(3))
     # The end of a text is in no context.
-    moved = np.abs(model.vectors - m.start(len(model.vectors)).r).sum(axis=1)
-    assert len(model.vocab) > 300 and (moved[:-1] > 0).sum() >= len(model.vocab) - 1 and (np.abs(model.q[:-1]).sum(axis=1) > 0).all()
-    long = m._classes(type("Sent", (), {"value": model.vocab.tobytes()}))
+    k = len(model.layout.vocab)
+    fresh = m.start(k + 1, model.layout.groups + 1)
+    moved = [np.abs(getattr(model.state, x) - getattr(fresh, x)).sum(axis=1) > 0 for x in "rqs"]
+    assert k > 300 and moved[0][:-1].sum() >= k - 1 and moved[1][:-1].all() and moved[2][:-1].all()
+    long = m._classes(type("Sent", (), {"value": m.pickle.dumps(model.layout)}))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a1 " * 5_000])], names=["id", "t"])
     assert len(next(long(iter([batch]))).column(0)[0].as_py()) == 4 * 5_001
 
@@ -485,13 +631,50 @@ def test_language_id(spark):
     assert fit(train.limit(0)) is None and identify(table(spark, [(1, "abc")]), None).first()["lang_pred"] in ("und",)
 
 
-def test_kneser_ney_sums_to_one():
+def test_language_rejection_is_calibrated(spark):
+    from pagequery.llm.language_id import fit, identify
+
+    rng = random.Random(7)
+    tongues = {"xx": ["ba", "bo", "lum", "dor", "bli", "sen", "tor"], "yy": ["éké", "iru", "üsta", "ñol", "zaq", "mée"]}
+    make = lambda lang: " ".join("".join(rng.choice(tongues[lang]) for _ in range(rng.randint(1, 4))) for _ in range(40))
+    rows = [(i, make("xx" if i % 2 else "yy"), "xx" if i % 2 else "yy") for i in range(400)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    noise = lambda: " ".join("".join(rng.sample(make("xx").replace(" ", "")[:12], 9)) for _ in range(30))
+    test = [(1000 + i, make("xx" if i % 2 else "yy")) for i in range(200)] + [(2000 + i, noise()) for i in range(50)] + [(3000, "жили были дед да баба " * 5), (2**60 + 1, make("xx")), (None, make("yy"))]
+    got = {r["doc_id"]: r for r in identify(table(spark, test), model).collect()}
+    assert sum(got[1000 + i]["rejected"] for i in range(200)) <= 1 and sum(got[2000 + i]["rejected"] for i in range(50)) >= 45 and got[3000]["rejected"]
+    assert got[2**60 + 1]["lang_pred"] == "xx" and got[None]["lang_pred"] == "yy"
+
+
+def test_kneser_ney_by_definition():
+    """Probabilities of n-grams from their definition, counted in dictionaries."""
     from pagequery.llm import language_id as m
 
-    texts = [b"abracadabra abba", b"cabbage bag"]
-    counts = m._counts(texts)
-    for u, p, _ in m.kneser_ney(counts, 40)[:1]:
-        assert 0 < p.sum() <= 1 + 1e-9 and len(u) == len(p)
+    texts = ["abracadabra abba a cab", "cabbage bag abracadabra", "a dab bad cab"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    s, bounds, _ = m.stream(data, offs)
+    docs = [s[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    alphabet = 40
+    got = m.kneser_ney(m._counts([t.encode() for t in texts]), alphabet)
+    seen = [{tuple(d[i - n : i + 1]) for d in docs for i in range(max(n, 1), len(d))} for n in range(m.ORDER)]
+    hashed = m.hashes(s, m.ORDER)
+    name = [{int(hashed[n][a + i]): tuple(s[a + i - n : a + i + 1].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i in range(max(n, 1), b - a)} for n in range(m.ORDER)]
+    lower: dict = {}
+    for n in range(m.ORDER):
+        if n == m.ORDER - 1:
+            c = {g: sum(tuple(d[i - n : i + 1]) == g for d in docs for i in range(max(n, 1), len(d))) for g in seen[n]}
+        else:
+            c = {g: max(1, len({h[0] for h in seen[n + 1] if h[1:] == g})) for g in seen[n]}
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95)
+        p = {}
+        for g, v in c.items():
+            after = [w for h, w in c.items() if h[:-1] == g[:-1]]
+            p[g] = max(v - d, 0) / sum(after) + d * len(after) / sum(after) * (lower.get(g[1:], 1 / alphabet) if n else 1 / alphabet)
+        u, probs, _ = got[n]
+        assert {name[n][int(h)]: round(float(x), 12) for h, x in zip(u, probs, strict=True)} == {g: round(x, 12) for g, x in p.items()}
+        lower = p
 
 
 def test_sharding_goes_on_after_a_round_of_few_moves(spark):
