@@ -71,6 +71,10 @@ def compile_java(pattern: str) -> regex.Pattern:
     return regex.compile(translate(pattern) if not multiline else translate(pattern).replace(r"(?=\n?\Z)", "$"), regex.V1)
 
 
+#: Seconds that one search may take; a pattern that backtracks without end raises TimeoutError, which fails its rule and not the task.
+LIMIT = 4.0
+
+
 class ReplacementError(ValueError):
     """A replacement that refers to what the pattern doesn't have."""
 
@@ -113,7 +117,7 @@ def expand(match: regex.Match, replacement: str) -> str:
 
 
 def replace_all(text: str, pattern: str, replacement: str) -> str:
-    return compile_java(pattern).sub(lambda m: expand(m, replacement), text)
+    return compile_java(pattern).sub(lambda m: expand(m, replacement), text, timeout=LIMIT)
 
 
 def replace(text: str, pattern: str, replacement: str, first: bool) -> str:
@@ -121,7 +125,7 @@ def replace(text: str, pattern: str, replacement: str, first: bool) -> str:
     replaced inside, is returned; nothing found gives an empty string, an invalid pattern the replacement."""
     if first:
         try:
-            m = compile_java(pattern).search(text)
+            m = compile_java(pattern).search(text, timeout=LIMIT)
             return "" if m is None else replace_all(m[0], pattern, replacement)
         except (regex.error, ReplacementError):
             return replacement
@@ -134,7 +138,7 @@ def replace(text: str, pattern: str, replacement: str, first: bool) -> str:
 def find_all(text: str, pattern: str, most: int = 50) -> list[list[str | None]]:
     """Groups of the matches, whole match first; a group that took no part is None."""
     out = []
-    for m in compile_java(pattern).finditer(text):
+    for m in compile_java(pattern).finditer(text, timeout=LIMIT):
         out.append([m[k] for k in range(m.re.groups + 1)])
         if len(out) == most:
             break

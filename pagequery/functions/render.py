@@ -45,6 +45,29 @@ def json_text(v: Any) -> str:
     return json.dumps(v, ensure_ascii=False, separators=(",", ":")).replace("/", "\\/")
 
 
+def pretty_json(v: Any) -> str:
+    """JSON in lines, two spaces a level; empty containers in one piece."""
+    return json.dumps(v, ensure_ascii=False, indent=2)
+
+
+def java_hash(text: str) -> int:
+    """String.hashCode: a signed 32-bit number over UTF-16 units."""
+    h = 0
+    units = text.encode("utf-16-be")
+    for i in range(0, len(units), 2):
+        h = (31 * h + (units[i] << 8 | units[i + 1])) & 0xFFFFFFFF
+    return h - (1 << 32) if h >> 31 else h
+
+
+def hash_map_order(keys: list[str]) -> list[str]:
+    """Keys in the order in which a HashMap that got them one after the other lists them."""
+    size = 16
+    while len(dict.fromkeys(keys)) > 0.75 * size:
+        size *= 2
+    spread = lambda k: (h := java_hash(k) & 0xFFFFFFFF) ^ (h >> 16)
+    return sorted(dict.fromkeys(keys), key=lambda k: spread(k) & (size - 1))
+
+
 def java_string(v: Any) -> str:
     """String.valueOf of a value: ``null``, ``[a, b]``, ``{k=v}``; numbers in Java's layout."""
     from ..operators.text import outer_html

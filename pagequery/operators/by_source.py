@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.java_regex import compile_java
+from ..functions.java_regex import LIMIT, compile_java
 from ..plans.rule_plan import compile_rule
 from ..sources.requests import listing_requests, with_keys
 from .kernel import Spec, evaluate_page, rule_field
@@ -51,7 +51,7 @@ def _detail_row(spec: Spec, body: str, url: str) -> list[dict[str, Any]]:
 def _page(rules: str, body: str | None, url: str | None) -> dict[str, Any]:
     try:
         lists, detail, pattern, sign = _specs(rules)
-        if pattern and detail and compile_java(pattern).fullmatch(url or ""):
+        if pattern and detail and compile_java(pattern).fullmatch(url or "", timeout=LIMIT):
             return {"items": _detail_row(detail, body or "", url or ""), "_error": None}
         out = evaluate_page(lists, body, url)
         items = out.get("_items") or []

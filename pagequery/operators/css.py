@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-from ..functions.java_regex import compile_java
+from ..functions.java_regex import LIMIT, compile_java
 from .html_tree import Node
 from .text import own_text, text
 
@@ -153,7 +153,7 @@ class _Parser:
         elif name in ("matches", "matchesown"):
             pattern = compile_java(arg)
             read = text if name == "matches" else own_text
-            return lambda n, r: pattern.search(read(n)) is not None
+            return lambda n, r: pattern.search(read(n), timeout=LIMIT) is not None
         elif name == "has":
             inner = compile_selector(arg)
             return lambda n, r: any(inner(d, n) for d in n.descendants() if d is not n)
@@ -269,7 +269,7 @@ def _attribute(body: str) -> Test:
         value = value[1:-1]
     if op == "~=":
         pattern = compile_java(value)
-        return lambda n, r: name in n.attrs and pattern.search(n.attrs[name]) is not None
+        return lambda n, r: name in n.attrs and pattern.search(n.attrs[name], timeout=LIMIT) is not None
     value = value.strip().lower()
     if not value:
         raise SelectorError(f"[{body}] has no value")

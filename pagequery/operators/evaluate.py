@@ -133,8 +133,10 @@ class Evaluator:
     def _run(self, segment: Segment, value: Any, many: bool) -> Any:
         """Value of a segment after the one before it."""
         if segment.mode == SCRIPT:
-            return self.context.scripts.find(segment.rule)(value, self.context)
+            return _plain(self.context.scripts.find(segment.rule)(value, self.context))
         self._puts(segment)
+        if isinstance(value, MapContent):  # what a script gave: the rule is a key
+            return value.get(segment.rule)
         rule, pattern, replacement, first = self._filled(segment, value)
         source = self._of(value)
         mode = _settled(segment.mode, source)
@@ -200,7 +202,7 @@ class Evaluator:
             if value is None:
                 return None
             if s.mode == SCRIPT:
-                value = self.context.scripts.find(s.rule)(value, self.context)
+                value = _plain(self.context.scripts.find(s.rule)(value, self.context))
                 continue
             self._puts(s)
             text, pattern, replacement, first = self._filled(s, value)
@@ -230,7 +232,7 @@ class Evaluator:
             if value is None:
                 return []
             if s.mode == SCRIPT:
-                value = self.context.scripts.find(s.rule)(value, self.context)
+                value = _plain(self.context.scripts.find(s.rule)(value, self.context))
                 continue
             self._puts(s)
             source = self._of(value)
@@ -255,12 +257,21 @@ class Evaluator:
         return list(value) if isinstance(value, (list, tuple)) else []
 
 
+def _plain(value: Any) -> Any:
+    """What a script gave, as rules read it: elements as nodes, maps by key."""
+    from .elements import Elements
+
+    if isinstance(value, Elements):
+        return value.to_array()
+    return MapContent(value) if isinstance(value, dict) else value
+
+
 def regex_rows(text: str, patterns: list[str]) -> list[list[str]]:
     """Whole matches of each pattern, joined, are the text of the next; the last one's matches are rows of groups, missing ones empty."""
     for p in patterns[:-1]:
-        text = "".join(m[0] for m in java_regex.compile_java(p).finditer(text))
+        text = "".join(m[0] for m in java_regex.compile_java(p).finditer(text, timeout=java_regex.LIMIT))
         if not text:
             return []
-    return [[m[k] or "" for k in range(m.re.groups + 1)] for m in java_regex.compile_java(patterns[-1]).finditer(text)]
+    return [[m[k] or "" for k in range(m.re.groups + 1)] for m in java_regex.compile_java(patterns[-1]).finditer(text, timeout=java_regex.LIMIT)]
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
 
-from ..functions.java_regex import compile_java
+from ..functions.java_regex import LIMIT, compile_java
 from ..functions.render import java_double
 from ..plans.splitter import merge, split_rule
 from .html_tree import Node, index_of, parse
@@ -255,7 +255,7 @@ def _operate(op: str, a: Any, b: Any) -> Any:
     if op in ("^=", "$=", "*=", "~=", "!~"):
         x, y = _str(a), _str(b)
         if op in ("~=", "!~"):
-            return (compile_java(y).fullmatch(x) is not None) == (op == "~=")
+            return (compile_java(y).fullmatch(x, timeout=LIMIT) is not None) == (op == "~=")
         return x.startswith(y) if op == "^=" else x.endswith(y) if op == "$=" else y in x
     x, y = _num(a), _num(b)
     if op in ("<", ">", "<=", ">="):

@@ -244,7 +244,7 @@ def test_search_over_sources(spark):
 
 def test_stub_scripts():
     from pagequery.operators.evaluate import Context, Evaluator, MapContent
-    from pagequery.plans.scripts import StubScripts
+    from tests.stubs import StubScripts
 
     c = Context(base_url="http://h", scripts=StubScripts())
     e = Evaluator("<p>x</p>", c)
@@ -265,3 +265,130 @@ def test_chain_of_more_than_200_pages(spark):
     start = spark.createDataFrame([("b", "u0")], "book_url string, url string")
     got = [(r["page"], r["url"]) for r in follow(start, responses, lambda p: p.withColumn("next_urls", F.array("body"))).collect()]
     assert sorted(got) == [(i, f"u{i}") for i in range(last + 1)]
+
+
+@pytest.mark.parametrize("name", ["absolute_links", "dsl_nav_links", "regex_list_kernel", "step_listing", "jsonpath_filter", "css_xpath_agree", "dsl_page_fields"])
+def test_a_page_is_parsed_once(spark, name):
+    from pathlib import Path
+
+    from pagequery.plans.queries import QUERIES
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("BatchEvalPython") == 0
+
+
+def test_filters_go_below_the_rules(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pagequery.operators.kernel import extract
+
+    spark.range(10).select(F.col("id").alias("page_id"), F.lit("http://h").alias("url"), F.lit("<title>t</title>").alias("html")).write.parquet(f"{tmp_path}/p")
+    out = extract(spark.read.parquet(f"{tmp_path}/p"), {"t": "tag.title@text"}).where("page_id = 3 and t = 't'").select("page_id", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(page_id), EqualTo(page_id,3)]" in plan and plan.count("ArrowEvalPython") == 1 and out.count() == 1
+
+
+def test_failing_pages_and_rules_are_told(spark):
+    from pagequery.operators.kernel import extract, extract_list
+
+    pages = spark.createDataFrame([(1, "u", "<a>x</a>")], "page_id int, url string, html string")
+    row = extract(pages, {"bad": "@CSS:a:zz@text", "good": "tag.a@text"}, report="errors").first()
+    assert row["bad"] is None and row["good"] == "x" and row["_error"] is None and len(row["errors"]) == 1 and row["errors"][0].startswith("bad: SelectorError")
+    rows = extract_list(pages, "@CSS:a:zz", {"t": "text"}).collect()
+    assert len(rows) == 1 and rows[0]["pos"] is None and "rule_error" in rows[0]["_error"]
+    listed = listing(pages, {"bookList": "@CSS:a:zz", "name": "text"}, content="html").collect()
+    assert len(listed) == 1 and "rule_error" in listed[0]["_error"]
+    deep = spark.createDataFrame([(1, "u", "<div>" * 20_000 + "<b>x</b>")], "page_id int, url string, html string")
+    row = extract(deep, {"b": "tag.b@text", "all": "tag.body@text", "html": "tag.body@html"}, report="errors").first()
+    assert row["b"] == row["all"] == "x" and row["errors"] is None and "<b>x</b>" in row["html"]
+
+
+@pytest.mark.parametrize("source", ['<a "' * 250_000, "<" * 1_000_000, "<div>" * 20_000, "<b>" * 5_000 + "</b>" * 5_000, "<!--" * 250_000, "<p>" * 30_000, "</a" * 200_000, "<table>" + "<tr><td>x" * 10_000, "<span>" * 20_000 + "</i>" * 20_000, "<table>" + "<i>x</i>" * 3_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    from pagequery.operators.html_tree import parse
+    from pagequery.operators.text import outer_html, text
+
+    began = time.process_time()
+    tree = parse(source)
+    text(tree)
+    outer_html(tree)
+    assert time.process_time() - began < 5  # quadratic work takes minutes
+
+
+def test_tags_as_the_standard_has_them():
+    from pagequery.operators.html_tree import parse, tokens
+
+    kinds = [(k, v, a) for k, v, a in tokens("a<b c='1>2' d=\"3\" e=4/5 F g = h c=9>x</b foo><br/><!-- - -->&lt;</><!x><?y><!--><!---->1 < 2<!DOCTYPE html><a \"")]
+    assert kinds == [
+        ("text", "a", {}), ("start", "b", {"c": "1>2", "d": "3", "e": "4/5", "f": "", "g": "h"}), ("text", "x", {}), ("end", "b", {}), ("start", "br", {}), ("comment", " - ", {}), ("text", "<", {}),
+        ("comment", "!x", {}), ("comment", "?y", {}), ("comment", "", {}), ("comment", "", {}), ("text", "1 < 2", {}), ("doctype", "!DOCTYPE html", {}),
+    ]
+    assert [n.tag for n in parse("<p>1<p>2</p><ul><li>a<li>b</ul>").descendants()] == ["html", "head", "body", "p", "p", "ul", "li", "li"]
+
+
+def test_sibling_selectors_take_linear_time():
+    import time
+
+    from pagequery.operators.css import select
+    from pagequery.operators.html_tree import parse
+
+    tree = parse("<ul>" + "<li class=a>x</li>" * 20_000 + "</ul>")
+    began = time.process_time()
+    assert [len(select(tree, s)) for s in ("li ~ li", "p ~ li", "li + li", ":nth-child(2n)", "li:nth-last-of-type(1)", "li:eq(7)")] == [19_999, 0, 19_999, 10_001, 1, 1]
+    assert time.process_time() - began < 3
+    held = parse("<ul><li>1</li><li>2</li></ul>")
+    item = select(held, "li")[0]
+    item.detach()
+    assert [n.place() for n in select(held, "li")] == [0]
+
+
+def test_shelf_refresh(spark):
+    from pagequery.operators.by_source import refresh_shelf
+
+    books = spark.createDataFrame([("a", "Old", 0, 1), ("b", "B", 0, 2), ("c", "C", 0, 3)], "book_url string, name string, dur_chapter_index int, total_chapter_num int")
+    details = spark.createDataFrame([("a", "New", None), ("b", None, "snapshot_miss")], "book_url string, name string, _error string")
+    entries = spark.createDataFrame([("a", 0, "1", None), ("a", 1, "2", None), ("b", 0, "1", None), ("c", None, None, "toc_empty")], "book_url string, index int, title string, _error string")
+    after, kept = refresh_shelf(books, details, entries)
+    got = {r["book_url"]: (r["name"], r["total_chapter_num"], r["_error"]) for r in after.collect()}
+    assert got == {"a": ("New", 2, None), "b": ("B", 1, None), "c": ("C", 3, "toc_empty")} and kept.count() == 3
+
+
+def test_elements_in_scripts():
+    from pagequery.operators.elements import Elements
+    from pagequery.operators.evaluate import Context, Evaluator
+    from pagequery.plans.scripts import ScriptRegistry
+
+    page = "<ul><li class=a>1</li><li>2</li><li class=a>3</li></ul>"
+    e = Elements.of(page)
+    li = e.select("li")
+    assert (li.size(), li.text(), li.first().text(), li.last().text(), li.eq(1).text(), li.eq(-1).text(), li.attr("class"), li.get(0).tag) == (3, "1 2 3", "1", "3", "2", "3", "a", "li")
+    assert li.without(".a").text() == "2" and li.parent().size() == 1 and [n.tag for n in li] == ["li"] * 3 and len(li.to_array()) == 3
+    seen = []
+    li.for_each(lambda x: seen.append(x.html()))
+    li.eq(1).remove()
+    assert seen == ["1", "2", "3"] and e.select("li").text() == "1 3"
+    scripts = ScriptRegistry({"pick()": lambda v, c: Elements.of(v).select(".a"), "map()": lambda v, c: {"k": "v", "n": 1}})
+    run = Evaluator(page, Context(scripts=scripts))
+    assert run.string("<js>pick()</js>tag.li.1@text") in ("3", "") and len(run.items("<js>pick()</js>")) == 2 and run.string("@js:map()\n") != "" and run.string("<js>map()</js>k") == "v"
+
+
+def test_java_hash_and_order():
+    from pagequery.functions.render import hash_map_order, java_hash, pretty_json
+
+    assert [java_hash(x) for x in ("", "a", "hello", "Aa", "BB", "polygenelubricants")] == [0, 97, 99162322, 2112, 2112, -2147483648]
+    assert hash_map_order(["banana", "apple", "cherry"]) == ["banana", "apple", "cherry"] and hash_map_order(["b", "a", "q", "b"]) == ["a", "q", "b"]
+    assert pretty_json({"a": [1, "é"], "b": {}}) == '{\n  "a": [\n    1,\n    "é"\n  ],\n  "b": {}\n}'
+
+
+def test_a_pattern_without_end_fails_its_rule_only(monkeypatch):
+    from pagequery.functions import java_regex
+    from pagequery.operators.kernel import Spec, evaluate_page, rule_field
+
+    monkeypatch.setattr(java_regex, "LIMIT", 0.2)
+    spec = Spec((rule_field("slow", "tag.p@text##(?:a|aa)+(?:a|aa)+$b##x"), rule_field("fine", "tag.b@text")))
+    out = evaluate_page(spec, "<p>" + "a" * 200 + "c</p><b>ok</b>", "u")
+    assert out["fine"] == "ok" and (out["slow"] is None and "TimeoutError" in out["_field_errors"][0] or out["slow"].startswith("aa"))
