@@ -73,7 +73,7 @@ def test_stages_with_repeated_and_null_ids(spark, sf):
     out = cp.exact(spark, frame, path)
     assert out.columns == frame.columns
     assert sorted(x.replace("None)", "'')") for x in got(out)) == text([(5, b), (9, a), (None, near_b), (None, leak), (7, leak + " z"), (7, "short one"), (None, "")])
-    assert got(cp.near(spark, frame, path)) == text([(5, b), (5, a), (None, leak), (7, leak + " z"), (7, "short one"), (None, ""), (None, None)])
+    assert got(cp.near(spark, frame, path)) == text([(5, b), (5, a), (7, leak + " z"), (7, "short one"), (None, ""), (None, None)])
     assert got(cp.leaks(spark, frame, path)) == text([d for d in docs if "q w e" not in (d[1] or "")])
 
 
