@@ -89,7 +89,13 @@ class Node:
 
     def descendants(self) -> Iterator[Node]:
         """This element and the elements below it."""
-        return (n for n in self.walk() if n.tag[0] != "#")
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            if n.tag[0] != "#":
+                yield n
+            if n.children:
+                stack += [c for c in reversed(n.children) if c.tag[0] != "#"]
 
     def ancestors(self) -> Iterator[Node]:
         n = self.parent
@@ -286,12 +292,12 @@ class _Builder:
 
     @property
     def current(self) -> Node:
-        return self.open[-1] if self.open else self.doc
+        return self._open[-1] if self._open else self.doc
 
     def in_scope(self, tag: str, extra: frozenset = frozenset()) -> bool:
-        if not self.open.has(tag):
+        if not self._open.has(tag):
             return False
-        for n in reversed(self.open):
+        for n in reversed(self._open):
             if n.tag == tag:
                 return True
             if n.tag in _SCOPE or n.tag in extra:
@@ -299,13 +305,13 @@ class _Builder:
         return False
 
     def pop_to(self, tag: str) -> None:
-        while self.open:
-            if self.open.pop().tag == tag:
+        while self._open:
+            if self._open.pop().tag == tag:
                 return
 
     def implied(self, but: str = "") -> None:
-        while self.open and self.open[-1].tag in _IMPLIED and self.open[-1].tag != but:
-            self.open.pop()
+        while self._open and self._open[-1].tag in _IMPLIED and self._open[-1].tag != but:
+            self._open.pop()
 
     def close_p(self) -> None:
         if self.in_scope("p", frozenset(["button"])):
@@ -333,10 +339,10 @@ class _Builder:
         """Parent for a new node, and the sibling before which it goes when content strays inside a table."""
         target = self.current
         if target.tag in ("table", "tbody", "tfoot", "thead", "tr"):
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag == "table":
-                    table = self.open[i]
-                    return (table.parent, table) if table.parent is not None else (self.open[i - 1], None)
+            for i in range(len(self._open) - 1, -1, -1):
+                if self._open[i].tag == "table":
+                    table = self._open[i]
+                    return (table.parent, table) if table.parent is not None else (self._open[i - 1], None)
         return target, None
 
     def put(self, node: Node, foster: bool = True) -> Node:
@@ -349,7 +355,7 @@ class _Builder:
 
     def push(self, tag: str, attrs: dict[str, str], foster: bool = True) -> Node:
         node = self.put(Node(tag, attrs), foster)
-        self.open.append(node)
+        self._open.append(node)
         return node
 
     def text(self, value: str) -> None:
@@ -376,14 +382,14 @@ class _Builder:
             parent.insert_before(Node("#text", text=value), before)
 
     def frameset(self) -> bool:
-        return self.open.has("frameset")
+        return self._open.has("frameset")
 
     # --- formatting elements
     def reconstruct(self) -> None:
-        if not self.active or self.active[-1] is None or self.open.holds(self.active[-1]):
+        if not self.active or self.active[-1] is None or self._open.holds(self.active[-1]):
             return
         i = len(self.active) - 1
-        while i and self.active[i - 1] is not None and not self.open.holds(self.active[i - 1]):
+        while i and self.active[i - 1] is not None and not self._open.holds(self.active[i - 1]):
             i -= 1
         for j in range(i, len(self.active)):
             old = self.active[j]
@@ -392,7 +398,7 @@ class _Builder:
     def adopt(self, tag: str) -> None:
         """End tag of a formatting element."""
         if self.current.tag == tag and not any(self.current is n for n in self.active):
-            self.open.pop()
+            self._open.pop()
             return
         for _ in range(8):
             element, where = None, 0
@@ -405,24 +411,24 @@ class _Builder:
             if element is None:
                 self.any_end(tag)
                 return
-            depth = self.open.at(element)
+            depth = self._open.at(element)
             if depth is None:
                 del self.active[where]
                 return
             if not self.in_scope(tag):
                 return
-            block = next((i for i in range(depth + 1, len(self.open)) if self.open[i].tag in _SPECIAL), None)
+            block = next((i for i in range(depth + 1, len(self._open)) if self._open[i].tag in _SPECIAL), None)
             if block is None:
-                del self.open[depth:]
+                del self._open[depth:]
                 del self.active[where]
                 return
-            furthest, above = self.open[block], self.open[depth - 1]
+            furthest, above = self._open[block], self._open[depth - 1]
             bookmark, last = where, furthest
             i, inner = block, 0
             while True:
                 inner += 1
                 i -= 1
-                node = self.open[i]
+                node = self._open[i]
                 if node is element:
                     break
                 known = next((k for k, a in enumerate(self.active) if a is node), None)
@@ -431,15 +437,15 @@ class _Builder:
                     bookmark -= known < bookmark
                     known = None
                 if known is None:
-                    del self.open[i]
+                    del self._open[i]
                     continue
                 copy = Node(node.tag, dict(node.attrs))
-                self.active[known] = self.open[i] = copy
+                self.active[known] = self._open[i] = copy
                 if last is furthest:
                     bookmark = known + 1
                 copy.append(last)
                 last = copy
-            keep = self.open
+            keep = self._open
             self.open = list(keep[: keep.at(above) + 1])
             if above.tag in ("table", "tbody", "tfoot", "thead", "tr"):
                 last.detach() if last.parent else None
@@ -455,17 +461,17 @@ class _Builder:
             gone = next(k for k, a in enumerate(self.active) if a is element)
             del self.active[gone]
             self.active.insert(bookmark - (gone < bookmark), copy)
-            del self.open[self.open.at(element)]
-            self.open.insert(self.open.at(furthest) + 1, copy)
+            del self._open[self._open.at(element)]
+            self._open.insert(self._open.at(furthest) + 1, copy)
 
     def any_end(self, tag: str) -> None:
-        if not self.open.has(tag):
+        if not self._open.has(tag):
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        for i in range(len(self._open) - 1, -1, -1):
+            if self._open[i].tag == tag:
+                del self._open[i:]
                 return
-            if self.open[i].tag in _SPECIAL:
+            if self._open[i].tag in _SPECIAL:
                 return
 
     # --- tags
@@ -511,10 +517,10 @@ class _Builder:
         if tag in _CLOSES_P:
             self.close_p()
             if tag in _HEADINGS and self.current.tag in _HEADINGS:
-                self.open.pop()
+                self._open.pop()
         elif tag in ("li", "dd", "dt"):
             same = ("li",) if tag == "li" else ("dd", "dt")
-            for n in reversed(self.open):
+            for n in reversed(self._open):
                 if n.tag in same:
                     self.implied(n.tag)
                     self.pop_to(n.tag)
@@ -524,9 +530,9 @@ class _Builder:
             self.close_p()
         elif tag in ("option", "optgroup"):
             if self.current.tag == "option":
-                self.open.pop()
+                self._open.pop()
             if tag == "optgroup" and self.current.tag == "optgroup":
-                self.open.pop()
+                self._open.pop()
         elif tag == "button" and self.in_scope("button"):
             self.implied()
             self.pop_to("button")
@@ -569,11 +575,11 @@ class _Builder:
         del self.active[max(self.marker() - 1, 0) :]
 
     def to_context(self, *tags: str) -> None:
-        while self.open and self.current.tag not in tags and self.current.tag not in ("html", "template"):
-            self.open.pop()
+        while self._open and self.current.tag not in tags and self.current.tag not in ("html", "template"):
+            self._open.pop()
 
     def table_start(self, tag: str, attrs: dict[str, str]) -> bool:
-        if not self.open.has("table"):
+        if not self._open.has("table"):
             # Table parts outside a table are dropped.
             return tag in ("caption", "col", "colgroup", "tbody", "td", "tfoot", "th", "thead", "tr")
         inside = self.in_cell()
@@ -609,21 +615,21 @@ class _Builder:
         if inside or any(n.tag == "caption" for n in self.since_table()):
             return False
         if self.current.tag == "colgroup":
-            self.open.pop()
+            self._open.pop()
         if self.current.tag not in ("table", "tbody", "thead", "tfoot", "tr"):
             return False
         if tag in ("style", "script", "template") or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
             node = self.put(Node(tag, attrs), False)
             if tag != "input":
-                self.open.append(node)
+                self._open.append(node)
             return True
         if tag == "table":
             self.end("table")
         return False
 
     def since_table(self) -> list[Node]:
-        i = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == "table"), 0) if self.open.has("table") else 0
-        return list(self.open[i:])
+        i = next((k for k in range(len(self._open) - 1, -1, -1) if self._open[k].tag == "table"), 0) if self._open.has("table") else 0
+        return list(self._open[i:])
 
     def in_cell(self) -> str:
         return next((n.tag for n in reversed(self.since_table()) if n.tag in ("td", "th")), "")
@@ -652,7 +658,7 @@ class _Builder:
             self.close_p()
             return
         if self.body is None:
-            if self.open.has(tag) and any(n.tag == tag for n in self.open[2:]):
+            if self._open.has(tag) and any(n.tag == tag for n in self._open[2:]):
                 self.pop_to(tag)
             return
         if tag in FORMATTING:
@@ -660,18 +666,18 @@ class _Builder:
         elif tag in _HEADINGS:
             if any(self.in_scope(h) for h in _HEADINGS):
                 self.implied()
-                while self.open and self.open.pop().tag not in _HEADINGS:
+                while self._open and self._open.pop().tag not in _HEADINGS:
                     pass
         elif tag in ("td", "th"):
             if self.in_scope(tag):
                 self.close_cell(tag)
         elif tag == "form":
             node, self.form = self.form, None
-            if node is not None and self.open.holds(node):
+            if node is not None and self._open.holds(node):
                 self.implied()
-                self.open = [n for n in self.open if n is not node]
+                self.open = [n for n in self._open if n is not node]
         elif tag in ("table", "caption", "tbody", "thead", "tfoot", "tr"):
-            if self.open.has(tag) and (tag == "table" or any(n.tag == tag for n in self.since_table())):
+            if self._open.has(tag) and (tag == "table" or any(n.tag == tag for n in self.since_table())):
                 cell = self.in_cell()
                 if cell:
                     self.close_cell(cell)
