@@ -70,6 +70,8 @@ def hash_map_order(keys: list[str]) -> list[str]:
 
 def java_string(v: Any) -> str:
     """String.valueOf of a value: ``null``, ``[a, b]``, ``{k=v}``; numbers in Java's layout."""
+    if type(v) is str:
+        return v
     from ..operators.text import outer_html
 
     if v is None:
@@ -89,6 +91,8 @@ def java_string(v: Any) -> str:
 
 def value_string(v: Any) -> str:
     """A rule's value as text: nodes as HTML lines, JSON arrays as JSON, maps as ``{k=v}``, integral template numbers without a fraction."""
+    if type(v) is str:
+        return v
     from ..operators.text import outer_html
 
     if isinstance(v, list) and v and all(isinstance(x, Node) for x in v):

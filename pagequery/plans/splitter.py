@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 
 class RuleError(ValueError):
@@ -48,6 +49,13 @@ def group_end(s: str, i: int, code: bool) -> int:
 
 
 def split_rule(rule: str, separators: list[str], code: bool = False) -> tuple[list[str], str]:
+    """See ``_split``; rules meet page after page, so what they split into is kept."""
+    parts, separator = _split(rule, tuple(separators), code)
+    return list(parts), separator
+
+
+@lru_cache(maxsize=4096)
+def _split(rule: str, separators: tuple[str, ...], code: bool) -> tuple[list[str], str]:
     """Parts and the separator they were split at. The first separator that is found outside brackets decides; others after it are text."""
     parts: list[str] = []
     chosen, start, i = "", 0, 0
