@@ -5,8 +5,8 @@ Both sides are cut into k-grams of words; of each run of ``window - k + 1`` cons
 it. Selected fingerprints of documents are joined with those of the benchmark; each pair of places is extended to the words before and after it, as
 far as a window around the fingerprint reaches, and the words are compared byte by byte. Spans of ``window`` words or more are hits.
 
-The benchmark side travels to the workers in blocks of bounded size (``BLOCK`` words); each block is one pass over the
-documents and the hits are put together by document. Documents are never joined with each other, and a
+The benchmark side travels to the workers in blocks of bounded size (``BLOCK`` words). Where there are several, the fingerprints of all go first and leave the documents that
+have one of them; each block is then a pass over those, and the hits are put together by document. Documents are never joined with each other, and a
 passage that is in every document costs each of them a few look-ups only.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .shared import cut
 BLOCK = 1_000_000
 #: Words of a k-gram.
 K = 5
+#: Most fingerprints that are sent to find the texts that any of several blocks could hit, at 8 bytes each.
+PRINTS = 1 << 23
 #: Pairs of places that are extended at once.
 PAIRS = 1 << 14
 
@@ -172,15 +175,16 @@ def decontaminate(
     if n_blocks == 1:
         sent = spark.sparkContext.broadcast(pickle.dumps(Index(next(blocks), window)))
         return slim.mapInArrow(_kernel(sent), kind).withColumnRenamed("id", id_col)
-    # Several blocks: rows are numbered once, in a table that every block reads; only documents with hits meet again.
-    rows = cut(slim.withColumn("n", F.monotonically_increasing_id()), "numbered")
-    parts = []
-    for block in blocks:
+    # Several blocks: one pass keeps the texts with any of their fingerprints (all texts, if these are too many to send), numbered in a table; each block then goes through those alone.
+    sent = spark.sparkContext.broadcast(pickle.dumps(_prints(blocks, window)))
+    counted = cut(slim.mapInArrow(_maybe(sent), "id long, n_words long, t string").withColumn("n", F.monotonically_increasing_id()), "numbered")
+    maybe = counted.where("t is not null").select("n", "t")
+    hits = []
+    for block in _blocks(benchmark, item_col, item_text_col)[1]:
         sent = spark.sparkContext.broadcast(pickle.dumps(Index(block, window)))
-        found = rows.select("n", "t").mapInArrow(_kernel(sent), kind).where("size(items) > 0" if parts else "true")
-        parts.append(cut(found.withColumnRenamed("id", "n"), "hits"))
-    counted = rows.select("n", "id").join(parts[0].select("n", "n_words"), "n")
-    hits = _union([p.where("size(items) > 0").select("n", "spans", "items") for p in parts])
+        found = maybe.mapInArrow(_kernel(sent), kind).where("size(items) > 0")
+        hits.append(cut(found.select(F.col("id").alias("n"), "spans", "items"), "hits"))
+    hits = _union(hits)
     merged = hits.groupBy("n").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     joined = counted.select("n", "id", "n_words").join(merged, "n", "left")
     none = F.array().cast("array<struct<a:long,b:long>>")
@@ -190,6 +194,41 @@ def decontaminate(
     )
 
 
+def _prints(blocks: Iterator[list[tuple[str, bytes]]], window: int) -> dict[int, np.ndarray] | None:
+    """Fingerprints of all blocks by window size; None where they are more than PRINTS."""
+    found: dict[int, list[np.ndarray]] = {}
+    total = 0
+    for block in blocks:
+        for size, x in Index(block, window).sizes.items():
+            found.setdefault(size, []).append(x["prints"])
+            total += len(x["prints"])
+        if total > PRINTS:
+            return None
+    return {size: np.unique(np.concatenate(x)) for size, x in found.items()}
+
+
+def _maybe(sent):
+    """Words of each text, and the text itself if it has one of the fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = pickle.loads(sent.value)
+        for batch in batches:
+            at = 0
+            for ids, data, offs in slices(batch.column(0), batch.column(1)):
+                w = words(LOWER[data], offs, ALNUM)
+                some = np.full(len(ids), prints is None)
+                for size, known in (prints or {}).items():
+                    starts = np.flatnonzero(np.arange(len(w.hash)) + size <= w.last_of_doc())
+                    if len(starts):
+                        place, g = select(w.hash, size, starts)
+                        there = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+                        some[np.searchsorted(w.first, place[there], side="right") - 1] = True
+                texts = batch.column(1).slice(at, len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(w.count, pa.int64()), pc.if_else(pa.array(some), texts, pa.scalar(None, texts.type))], names=["id", "n_words", "t"])
+
+    return run
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

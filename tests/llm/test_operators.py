@@ -283,11 +283,12 @@ def test_components(spark):
 # --- 8
 
 
-@pytest.mark.parametrize("block", [10**6, 8])
-def test_decontaminate(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,prints", [(10**6, 1 << 23), (60, 1 << 23), (60, 5)])
+def test_decontaminate(spark, monkeypatch, block, prints):
     from pagequery.llm import decontaminate as m
 
     monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "PRINTS", prints)
     rng = random.Random(3)
     items = [(j, prose(rng, rng.randint(1, 40), WORDS[:12])) for j in range(12)] + [(90, None), (91, ""), (92, "!!!"), (93, "Only Three words"), (94, "Only Three words")]
     docs = [(i, prose(rng, rng.randint(5, 200), WORDS[:12])) for i in range(25)] + [(50, None), (51, ""), (52, "only-three WORDS!"), (53, "é" + (items[3][1] or "")), (54, "x " * 20000 + items[5][1].upper())]
