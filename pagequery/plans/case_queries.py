@@ -168,6 +168,9 @@ _URLS = {
     "option": (lambda u: "|".join(map(str, url.split_option(u))), ('http://h/a , {"b":1}',), 'http://h/a|{"b":1}'), "no option": (lambda u: str(url.split_option(u)[1]), ("http://h/a,b",), "None"), "page 2": (lambda u: url.page_list(u, 2), ("/p<1,2,3>",), "/p2"), "page beyond": (lambda u: url.page_list(u, 9), ("/p<,2,3>",), "/p3"),
     "query": (url.encode_query, ("q=中 a",), "q=%E4%B8%AD%20a"), "query gbk": (lambda t: url.encode_query(t, "gbk"), ("你",), "%C4%E3"), "encoded": (url.encode_query, ("q=%E4%B8%AD",), "q=%E4%B8%AD"), "form": (url.encode_form, ("a=b c&d=中",), "a=b+c&d=%E4%B8%AD"), "escape": (url.js_escape, ("a 中é",), "a%20%u4E2D%E9"),
     "is absolute": (lambda u: str(url.is_absolute(u)), ("HTTP://x",), "True"), "is data": (lambda u: str(url.is_data_url(u)), ("data:x;base64,",), "True"), "is json": (lambda u: str(url.is_json(u)), (" [1] ",), "True"), "is xml": (lambda u: str(url.is_xml(u)), ("<a>",), "True"),
+    "canonical": (url.canonical, ("HTTP://User:p@EXAMPLE.com:80/a b/./c/../d?q=中 '#f",), "http://User:p@example.com/a%20b/d?q=%E4%B8%AD%20%27#f"), "canonical empty": (url.canonical, ("https://h:443",), "https://h/"), "canonical port": (url.canonical, ("http:\\\\h:8080\\x\\",), "http://h:8080/x/"),
+    "canonical idn": (url.canonical, ("http://bücher.example/é%2f",), "http://xn--bcher-kva.example/%C3%A9%2f"), "canonical bad": (url.canonical, ("ftp://h/",), None), "http relative": (url.canonical, ("../x?y", "http://h/a/b/c?d#e"), "http://h/a/x?y"), "http same": (url.canonical, ("#z", "http://h/a?d"), "http://h/a?d#z"),
+    "http scheme": (url.canonical, ("//o/p", "https://h/a"), "https://o/p"), "http query": (url.canonical, ("?n=1", "http://h/a/b?d"), "http://h/a/b?n=1"), "http up": (url.canonical, ("/a/../../%2e%2E/b", "http://h/"), "http://h/b"), "http v6": (url.canonical, ("http://[0:0::1]/",), "http://[::1]/"),
     "key": (lambda u: requests.request_key("GET", u, None), ("http://h/",), None), "java double": (lambda v: render.java_double(float(v)), ("1e10",), "1.0E10"), "java small": (lambda v: render.java_double(float(v)), ("0.0001",), "1.0E-4"), "json text": (lambda v: render.json_text(json.loads(v)), ('{"a":[1,2.0]}',), '{"a":[1,2.0]}'),
     "render map": (lambda v: render.value_string(json.loads(v)), ('{"a":[1,null,true]}',), "{a=[1, null, true]}"),
 }
