@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .shared import read
 
 
+def fold(n: int, k: int):
+    """Whether an id belongs to the k-th of n folds; a null id belongs to none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)) == k, F.lit(False))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -18,7 +23,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learn, score
 
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = fold(5, 0)
     lexicon = learn(docs, labels.where(~held_out))
     return score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms")
 
@@ -27,7 +32,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import fit, score
 
     docs = read(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    held_out = fold(5, 1)
     model, counts = fit(docs.where(~held_out))
     scored = score(docs, model, counts)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -52,7 +57,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
     docs = read(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = fold(4, 2)
     model = fit(docs.where(~held_out))
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
@@ -116,4 +121,25 @@ ORACLES = {
         SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::bigint AS n FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 199, 0))) AS i FROM n)),
+        r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+        p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+        k AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans
+          FROM p JOIN n USING (doc_id) GROUP BY doc_id)
+        SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
+        n AS (SELECT doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b, c = na.n AND c = nb.n AS same FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        e AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b), d.doc_id)) AS class FROM d LEFT JOIN l ON l.a = d.doc_id AND same GROUP BY d.doc_id),
+        m AS (SELECT l.a, count(DISTINCT e.class) AS n_links FROM l JOIN e ON e.doc_id = l.b WHERE NOT same GROUP BY l.a)
+        SELECT n.doc_id, n.n::bigint AS n_shingles, k.component_id, coalesce(m.n_links, 0)::bigint AS n_links FROM n JOIN k ON k.a = n.doc_id LEFT JOIN m ON m.a = n.doc_id""",
 }

@@ -96,7 +96,7 @@ def test_queries_are_registered(spark):
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
 
 
-@pytest.mark.parametrize("name", ["op7_exact_dedup", "op8_decontaminate", "op9_warc"])
+@pytest.mark.parametrize("name", ["op5_suffix_dedup", "op7_exact_dedup", "op8_decontaminate", "op9_warc", "op10_jaccard"])
 def test_query_against_sql(spark, name):
     import os
 
