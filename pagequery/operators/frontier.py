@@ -24,23 +24,21 @@ def follow(start: DataFrame, responses: DataFrame, read: Callable[[DataFrame], D
     ``read`` takes pages (key, url, page, body) and returns them with ``next_urls``; a page that has no response ends its branch with
     ``_error`` ``snapshot_miss``. Chains end where a url was visited before, however long they are.
     """
-    frontier = hold(start.select(key, "url").distinct().withColumn("page", F.lit(0)).withColumn("path", F.array(F.lit(0))), "frontier")
+    frontier = start.select(key, "url").distinct().withColumn("page", F.lit(0)).withColumn("path", F.array(F.lit(0)))
     slim = responses.select("url", "body")
     rounds: list[DataFrame] = []
-    frontiers: list[DataFrame] = []
     while True:
         met = frontier.join(slim, "url", "left")
         got = hold(read(met).withColumn("_error", F.when(F.col("body").isNull(), F.lit("snapshot_miss"))), "pages")
+        if got.isEmpty():
+            return _union(rounds or [got])
         rounds.append(got)
-        frontiers.append(frontier)
+        if len(rounds) > FOLD:
+            rounds = [_folded(rounds[:-1], "pages"), got]
         grown = got.select(key, "page", "path", F.posexplode_outer("next_urls").alias("k", "url")).where("url is not null and url <> ''")
         grown = grown.select(key, "url", (F.col("page") + 1).alias("page"), F.concat("path", F.array("k")).alias("path"))
         grown = grown.groupBy(key, "url").agg(F.min(F.struct("path", "page")).alias("x")).select(key, "url", "x.page", "x.path")
-        frontier = hold(grown.join(_union([f.select(key, "url") for f in frontiers]), [key, "url"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return _union(rounds)
-        if len(rounds) == FOLD:
-            rounds, frontiers = [_folded(rounds, "pages")], [_folded(frontiers, "visited")]
+        frontier = grown.join(_union([r.select(key, "url") for r in rounds]), [key, "url"], "left_anti")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
